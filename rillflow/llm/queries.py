@@ -27,9 +27,29 @@ def op3_bpe(spark, d):
     return encoded_and_decoded(documents(spark, d), tokenizer_path())
 
 
+def op5_mixing(spark, d):
+    from rillflow.llm.mixing import fair_mix
+
+    return fair_mix(documents(spark, d))
+
+
+def op6_sharding(spark, d):
+    from rillflow.llm.sharding import sharded
+
+    return sharded(documents(spark, d))
+
+
+def op8_lines(spark, d):
+    from rillflow.llm.lines import template_dedup
+
+    return template_dedup(documents(spark, d).select("doc_id", "text"))
+
+
 def queries():
-    return {f.__name__: f for f in (op2_repetition, op3_bpe)}
+    return {f.__name__: f for f in (op2_repetition, op3_bpe, op5_mixing, op6_sharding, op8_lines)}
 
 
 def oracle_sql():
-    return {}
+    from rillflow.llm import mixing
+
+    return {"op5_mixing": mixing.SQL}
