@@ -45,8 +45,14 @@ def op8_lines(spark, d):
     return template_dedup(documents(spark, d).select("doc_id", "text"))
 
 
+def op10_probminhash(spark, d):
+    from rillflow.llm.neardup import near_duplicates
+
+    return near_duplicates(documents(spark, d)).drop("node")
+
+
 def queries():
-    return {f.__name__: f for f in (op2_repetition, op3_bpe, op5_mixing, op6_sharding, op8_lines)}
+    return {f.__name__: f for f in (op2_repetition, op3_bpe, op5_mixing, op6_sharding, op8_lines, op10_probminhash)}
 
 
 def oracle_sql():
