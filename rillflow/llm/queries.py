@@ -27,6 +27,12 @@ def op3_bpe(spark, d):
     return encoded_and_decoded(documents(spark, d), tokenizer_path())
 
 
+def op4_ctw(spark, d):
+    from rillflow.llm.lm import score
+
+    return score(documents(spark, d))
+
+
 def op5_mixing(spark, d):
     from rillflow.llm.mixing import fair_mix
 
@@ -52,7 +58,7 @@ def op10_probminhash(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_repetition, op3_bpe, op5_mixing, op6_sharding, op8_lines, op10_probminhash)}
+    return {f.__name__: f for f in (op2_repetition, op3_bpe, op4_ctw, op5_mixing, op6_sharding, op8_lines, op10_probminhash)}
 
 
 def oracle_sql():
