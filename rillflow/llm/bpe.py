@@ -26,14 +26,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm.common import checkpointed, parts_for, text_chunks
 
 #: Text in a block at most, in bytes; a longer text is a block of its own.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 20_000_000
 #: What the fast splitter takes: printable ASCII, tab and line ends, and precomposed Latin letters and punctuation that
 #: neither compose further nor count as numbers. All else goes through the library.
 PLAIN = re.compile("[\t\n\r\x20-\x7e¡-±´-¸º»¿-įı-ňŊ-ž‐-‧‰-‾€]*")
@@ -97,11 +97,12 @@ def byte_letters(kept: dict = {}) -> dict[int, str]:
 
 
 def packed(x: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
+    """Small integers, byte plane by byte plane: the upper planes are nearly all zeros."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
-def unpacked(x: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), dtype=kind)
+def unpacked(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def code_blocks(docs: DataFrame, key: str, text: str, path: str, parts: int) -> DataFrame:
@@ -123,18 +124,23 @@ def code_blocks(docs: DataFrame, key: str, text: str, path: str, parts: int) ->
                 ranked = sorted(range(len(words)), key=lambda k: (part[k], words[k]))
                 place = np.empty(len(words), dtype=np.int32)
                 place[ranked] = np.arange(len(words), dtype=np.int32)
-                coded = packed(place[np.concatenate(codes)] if words else np.zeros(0, np.int32))
+                # frequent words get the small codes, which pack well; where each stands among the answers goes along
+                flat = np.concatenate(codes)
+                often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+                code = np.empty(len(words), dtype=np.int32)
+                code[often] = np.arange(len(words), dtype=np.int32)
+                coded, places = packed(code[flat]), packed(place[often])
                 keys = batch.column(0).slice(at, stop - at)
                 name = hashlib.blake2b(coded + repr(keys.to_pylist()).encode() + repr(lengths).encode() + "\x01".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                rows = [(-1, coded, lengths, keys.to_pylist())]
+                rows = [(-1, coded, lengths, keys.to_pylist(), places)]
                 bounds = np.searchsorted(part[ranked], np.arange(parts + 1))
                 for p in range(parts):
                     if bounds[p] < bounds[p + 1]:
                         own = [words[k].encode("utf-8", "surrogatepass") for k in ranked[bounds[p] : bounds[p + 1]]]
-                        rows.append((p, zlib.compress(b"".join(own), 1), [len(w) for w in own], []))
-                yield pa.RecordBatch.from_pydict({"block": pa.array([name] * len(rows), pa.binary()), "part": pa.array([r[0] for r in rows], pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary()), "lengths": pa.array([r[2] for r in rows], pa.list_(pa.int32())), "keys": pa.array([r[3] for r in rows], pa.list_(pa.int64()))})
+                        rows.append((p, zstandard.ZstdCompressor(level=3).compress(b"".join(own)), [len(w) for w in own], [], b""))
+                yield pa.RecordBatch.from_pydict({"block": pa.array([name] * len(rows), pa.binary()), "part": pa.array([r[0] for r in rows], pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary()), "lengths": pa.array([r[2] for r in rows], pa.list_(pa.int32())), "keys": pa.array([r[3] for r in rows], pa.list_(pa.int64())), "places": pa.array([r[4] for r in rows], pa.binary())})
 
-    return docs.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`")).mapInArrow(split, "block binary, part int, data binary, lengths array<int>, keys array<long>")
+    return docs.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`")).mapInArrow(split, "block binary, part int, data binary, lengths array<int>, keys array<long>, places binary")
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", finish=None, schema: str = "doc_id long, ids binary") -> DataFrame:
@@ -149,7 +155,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         bpe = WordBPE.at(path)
         groups = []
         for data, lengths in zip(table.column("data").to_pylist(), table.column("lengths").to_pylist(), strict=True):
-            raw, ends = zlib.decompress(data), np.cumsum(lengths)
+            raw, ends = zstandard.ZstdDecompressor().decompress(data), np.cumsum(lengths)
             groups.append([raw[e - n : e].decode("utf-8", "surrogatepass") for e, n in zip(ends, lengths, strict=True)])
         words = list(dict.fromkeys(w for g in groups for w in g))
         ids = dict(zip(words, bpe.encode_words(words), strict=True))
@@ -168,12 +174,12 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         made = finish or default
         right = right.sort_by("part")
         data, counts = right.column("data").to_pylist(), right.column("lengths").to_pylist()
-        ids = np.concatenate([np.zeros(0, np.uint32), *(unpacked(x, "<u4") for x in data)])
+        ids = np.concatenate([np.zeros(0, np.uint32), *(unpacked(x) for x in data)])
         count = np.array([n for c in counts for n in c], dtype=np.int64)
         first = np.concatenate([[0], np.cumsum(count)])[:-1].astype(np.int64) if len(count) else np.zeros(0, np.int64)
         tables = []
-        for coded, lengths, keys in zip(*(left.column(c).to_pylist() for c in ("data", "lengths", "keys")), strict=True):
-            codes = unpacked(coded, "<i4")
+        for coded, lengths, keys, places in zip(*(left.column(c).to_pylist() for c in ("data", "lengths", "keys", "places")), strict=True):
+            codes = unpacked(places)[unpacked(coded)]
             n = count[codes]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
@@ -183,7 +189,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             tables.append(made(keys, np.split(flat, cut[:-1])))
         return pa.concat_tables(tables)
 
-    texts = blocks.filter("part < 0").select("block", "data", "lengths", "keys")
+    texts = blocks.filter("part < 0").select("block", "data", "lengths", "keys", "places")
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(placed, schema)
 
 

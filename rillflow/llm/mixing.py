@@ -86,6 +86,21 @@ def fair_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     return queued.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", most_epochs: int = 3) -> DataFrame:
+    """The mix itself: every document as often as it is taken. Columns and their order stay."""
+    mix = fair_mix(docs, key, text, source, most_epochs).filter("taken > 0")
+    mix = checkpointed(mix.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), (F.col("taken") / F.col("size")).cast("int").alias("_times")))
+    sized = docs.withColumn("_words", n_words(F.col(f"`{text}`")))
+    match = F.col(f"`{key}`").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size"))
+    if mix.groupBy("_id", "_size").count().filter("count > 1").limit(1).count():
+        # rows of one key and size: the first of them gets the most copies
+        mix = mix.withColumn("_nth", F.row_number().over(W.partitionBy("_id", "_size").orderBy(F.desc("_times"))))
+        sized = sized.withColumn("_row", F.row_number().over(W.partitionBy(key, "_words").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))))
+        match = match & (F.col("_nth") == F.col("_row"))
+    return sized.join(mix, match).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+
+
 SQL = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5(CAST(doc_id AS VARCHAR)) AS draw FROM documents

@@ -57,8 +57,14 @@ def op10_probminhash(spark, d):
     return near_duplicates(documents(spark, d)).drop("node")
 
 
+def pipeline(spark, d):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)
+
+
 def queries():
-    return {f.__name__: f for f in (op2_repetition, op3_bpe, op4_ctw, op5_mixing, op6_sharding, op8_lines, op10_probminhash)}
+    return {f.__name__: f for f in (op2_repetition, op3_bpe, op4_ctw, op5_mixing, op6_sharding, op8_lines, op10_probminhash, pipeline)}
 
 
 def oracle_sql():
