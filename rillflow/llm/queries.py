@@ -45,12 +45,27 @@ def op6_sharding(spark, d):
     return sharded(documents(spark, d))
 
 
+def op7_quality(spark, d):
+    from rillflow.llm.quality import classified
+
+    return classified(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet"))
+
+
 def op8_lines(spark, d):
     from rillflow.llm.lines import template_dedup
 
     return template_dedup(documents(spark, d).select("doc_id", "text"))
 
 
+def op9_packing(spark, d):
+    from pyspark.sql import functions as F
+
+    from rillflow.llm.packing import encoded_and_packed
+
+    rows = encoded_and_packed(documents(spark, d), tokenizer_path())
+    return rows.select("row", "n_tokens", "doc_ids", "pieces", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
+
+
 def op10_probminhash(spark, d):
     from rillflow.llm.neardup import near_duplicates
 
@@ -64,7 +79,7 @@ def pipeline(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_repetition, op3_bpe, op4_ctw, op5_mixing, op6_sharding, op8_lines, op10_probminhash, pipeline)}
+    return {f.__name__: f for f in (op2_repetition, op3_bpe, op4_ctw, op5_mixing, op6_sharding, op7_quality, op8_lines, op9_packing, op10_probminhash, pipeline)}
 
 
 def oracle_sql():
