@@ -14,6 +14,12 @@ def documents(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
+def op1_embeddings(spark, d):
+    from rillflow.llm.embeddup import linked
+
+    return linked(spark.read.parquet(f"{d}/embeddings.parquet"))
+
+
 def op2_repetition(spark, d):
     from rillflow.llm.repetition import repetition_rules
 
@@ -79,7 +85,7 @@ def pipeline(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_repetition, op3_bpe, op4_ctw, op5_mixing, op6_sharding, op7_quality, op8_lines, op9_packing, op10_probminhash, pipeline)}
+    return {f.__name__: f for f in (op1_embeddings, op2_repetition, op3_bpe, op4_ctw, op5_mixing, op6_sharding, op7_quality, op8_lines, op9_packing, op10_probminhash, pipeline)}
 
 
 def oracle_sql():
