@@ -7,6 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillflow import operators as O
+from rillflow.functions import dates, graph, strings, texts, udf_of
+from rillflow.operators import Chain, aggs
+from rillflow.ordered import numbered
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,9 +32,335 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("SELECT o_orderstatus AS key, count(*) AS num, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
-def group_count_sum(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("key")).agg(F.count(F.lit(1)).alias("num"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+def chained(name: str, *ops):
+    """A query that applies operators to a table."""
+    return lambda spark, d: Chain(*ops)(table(spark, d, name))
+
+
+def register(name: str, f, sql: str | None = None):
+    QUERIES[name] = f
+    if sql:
+        ORACLES[name] = sql
+
+
+def functions_of(name: str, source: str, columns: dict, sql: str | None = None, keep: tuple = ()):
+    """A query that computes columns from functions."""
+    register(name, lambda spark, d: table(spark, d, source).select(*keep, *[c().alias(k) for k, c in columns.items()]), sql)
+
+
+# --- groups and reductions
+
+register("group_count_sum", chained("orders", O.Group("o_orderstatus", emit_fast=False), aggs.Count(target_key="num"), aggs.Sum("o_totalprice", target_key="total"), O.Map("lambda t: round(t, 2)", key="total")), "SELECT o_orderstatus AS key, count(*) AS num, round_even(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+register("group_min_max_mean", chained("lineitem", O.Group("l_returnflag", emit_fast=False), aggs.Min("l_extendedprice", target_key="mn"), aggs.Max("l_extendedprice", target_key="mx"), aggs.Mean("l_quantity", target_key="avg"), O.Map("lambda t: round(t, 6)", key="avg")), "SELECT l_returnflag AS key, min(l_extendedprice) AS mn, max(l_extendedprice) AS mx, round(avg(l_quantity), 6) AS avg FROM lineitem GROUP BY 1")
+register("group_std", chained("orders", O.Group("o_orderstatus", emit_fast=False), aggs.Std("o_totalprice", target_key="sd"), O.Map("lambda t: round(t, 3)", key="sd")), "SELECT o_orderstatus AS key, round(stddev_pop(o_totalprice), 3) AS sd FROM orders GROUP BY 1")
+register("group_var", chained("lineitem", O.Group("l_linestatus", emit_fast=False), aggs.Var("l_quantity", target_key="var"), O.Map("lambda t: round(t, 4)", key="var")), "SELECT l_linestatus AS key, round(var_pop(l_quantity), 4) AS var FROM lineitem GROUP BY 1")
+register("group_var_compat", chained("lineitem", O.Group("l_linestatus", emit_fast=False), aggs.Var("l_quantity", target_key="sd", compat=True), O.Map("lambda t: round(t, 5)", key="sd")), "SELECT l_linestatus AS key, round(stddev_pop(l_quantity), 5) AS sd FROM lineitem GROUP BY 1")
+register("group_first_last", chained("orders", O.Group("o_custkey", emit_fast=False, order="o_orderkey"), aggs.First(target_key="f"), aggs.Last(target_key="l"), O.Select("key", "f.o_orderkey", "l.o_orderkey"), O.RenameFields({"f.o_orderkey": "first_key", "l.o_orderkey": "last_key"})), "SELECT CAST(o_custkey AS VARCHAR) AS key, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders GROUP BY 1")
+register("group_nth", chained("lineitem", O.Group("l_orderkey", emit_fast=False, order="l_linenumber"), aggs.Nth(1, target_key="r"), O.Select("key", "r.l_partkey", short_key=True), O.Filter("lambda r: r['l_partkey'] is not None")), "SELECT CAST(l_orderkey AS VARCHAR) AS key, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) rn FROM lineitem) WHERE rn = 2")
+register("group_head", chained("lineitem", O.Group("l_orderkey", emit_fast=False, order="l_linenumber"), aggs.Head(2), O.Flat("values", target_key="r", inherit_props=True), O.Select("key", "r.l_linenumber", short_key=True)), "SELECT CAST(l_orderkey AS VARCHAR) AS key, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) rn FROM lineitem) WHERE rn <= 2")
+register("group_tail", chained("lineitem", O.Group("l_orderkey", emit_fast=False, order="l_linenumber"), aggs.Tail(2), O.Flat("values", target_key="r", inherit_props=True), O.Select("key", "r.l_linenumber", short_key=True)), "SELECT CAST(l_orderkey AS VARCHAR) AS key, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) rn FROM lineitem) WHERE rn <= 2")
+register("group_tail_compat", chained("lineitem", O.Group("l_orderkey", emit_fast=False, order="l_linenumber"), aggs.Tail(2, compat=True), O.Flat("values", target_key="r", inherit_props=True), O.Select("key", "r.l_linenumber", short_key=True)), "SELECT CAST(l_orderkey AS VARCHAR) AS key, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) rn FROM lineitem) WHERE rn > 2")
+register("group_collect", chained("orders", O.Group("o_custkey", emit_fast=False, order="o_orderkey"), aggs.Collect("o_orderstatus", target_key="v"), O.Map("lambda v: ','.join(v)", key="v")), "SELECT CAST(o_custkey AS VARCHAR) AS key, string_agg(o_orderstatus, ',' ORDER BY o_orderkey) AS v FROM orders GROUP BY 1")
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS key, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_totalprice, o_orderkey) AS v FROM orders GROUP BY 1")
+def group_orderby(spark, d):
+    out = Chain(O.Group("o_custkey", emit_fast=False), aggs.OrderBy("o_totalprice"))(table(spark, d, "orders"))
+    return out.select("key", F.array_join(F.transform("values", lambda r: r["o_orderkey"].cast("string")), ",").alias("v"))
+
+
+register("group_distinct", chained("events", O.Group("user_id", emit_fast=False), aggs.Distinct("event_type", target_key="v"), O.Map("lambda v: ','.join(v)", key="v")), "SELECT CAST(user_id AS VARCHAR) AS key, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS v FROM events GROUP BY 1")
+register("group_reduceby", chained("lineitem", O.Group("l_orderkey", emit_fast=False, order="l_linenumber"), aggs.ReduceBy(lambda x: x, lambda total, x: total + x, field="l_quantity", target_key="val")), "SELECT CAST(l_orderkey AS VARCHAR) AS key, sum(l_quantity) AS val FROM lineitem GROUP BY 1")
+register("group_runs", chained("events", O.Group("event_type", order="event_id"), aggs.Count(target_key="n"), aggs.Sum("value", target_key="total"), O.Map("lambda t: round(t, 3)", key="total")), "SELECT key, n, total FROM (SELECT run, event_type AS key, count(*) AS n, round(sum(value), 3) AS total FROM (SELECT *, sum(brk) OVER (ORDER BY event_id) run FROM (SELECT *, CASE WHEN lag(event_type) OVER (ORDER BY event_id) IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END brk FROM events)) GROUP BY 1, 2)")
+
+
+@query("SELECT coalesce(nullif(o_orderpriority, '1-URGENT'), 'None') AS key, count(*) AS n FROM orders GROUP BY 1")
+def group_none_key(spark, d):
+    df = table(spark, d, "orders").withColumn("p", F.nullif("o_orderpriority", F.lit("1-URGENT")))
+    return Chain(O.Group("p", emit_fast=False), aggs.Count(target_key="n"))(df)
+
+
+@query("SELECT key, count(*) AS n FROM (SELECT CAST(l_orderkey AS VARCHAR) AS key FROM lineitem) GROUP BY 1")
+def group_unfused(spark, d):
+    """Records gathered first and counted then: what fusion avoids, with the same result."""
+    out = Chain(O.Group("l_orderkey", emit_fast=False))(table(spark, d, "lineitem"))
+    return out.select("key", F.size("values").cast("long").alias("n"))
+
+
+@query()
+def group_sample(spark, d):
+    return Chain(O.Group("event_type", emit_fast=False), aggs.Sample(0.5, target_key="v"))(table(spark, d, "events")).select("key", F.size("v").alias("n"))
+
+
+# --- fields
+
+register("select_nested", lambda spark, d: O.Select("event_id", "props.k", short_key=True)(table(spark, d, "events").withColumn("props", F.from_json("props", "k long"))), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+register("json_field", chained("events", O.Select("event_id", "props.k", short_key=True)), "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+register("json_variant", lambda spark, d: O.Select("event_id", "v.k", short_key=True)(table(spark, d, "events").withColumn("v", F.parse_json("props"))), "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+register("select_val", lambda spark, d: O.SelectVal("c", inherit_props=True)(table(spark, d, "customer").select("c_custkey", F.struct("c_name", "c_nationkey").alias("c"))), "SELECT c_name, c_nationkey, c_custkey FROM customer")
+register("rename_fields", chained("customer", O.RenameFields(c_name="name", c_custkey="id")), "SELECT c_custkey AS id, c_name AS name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+register("remove_fields", chained("customer", O.RemoveFields("c_name", "c_acctbal")), "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer")
+register("add_fields", chained("region", O.AddFields(kind="r", r_name="none")), "SELECT r_regionkey, coalesce(r_name, 'none') AS r_name, 'r' AS kind FROM region")
+register("replace_fields", chained("region", O.ReplaceFields(r_name="x")), "SELECT r_regionkey, 'x' AS r_name FROM region")
+register("copy_fields", chained("nation", O.CopyFields(copy="n_name")), "SELECT *, n_name AS copy FROM nation")
+register("merge_fields", lambda spark, d: O.MergeFields(a="b")(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("a"), F.col("l_tax").alias("b"))), "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount <> 0 THEN l_discount ELSE l_tax END AS a, l_tax AS b FROM lineitem")
+register("concat_fields", chained("part", O.ConcatFields("label", "p_brand", "p_size", separator="|", prefix="<", suffix=">"), O.Select("p_partkey", "label")), "SELECT p_partkey, '<' || p_brand || '|' || CAST(p_size AS VARCHAR) || '>' AS label FROM part")
+
+
+@query("SELECT doc_id, string_agg(x, '|' ORDER BY k) AS v FROM (SELECT doc_id, 1 AS k, lang AS x FROM documents UNION ALL SELECT doc_id, 2, source FROM documents) GROUP BY 1")
+def concat_array(spark, d):
+    df = table(spark, d, "documents").select("doc_id", F.array("lang").alias("a"), "source")
+    return O.ConcatArray("a", "source", target_key="v")(df).select("doc_id", F.array_join("v", "|").alias("v"))
+
+
+register("min_value", chained("lineitem", O.MinValue("m", "l_discount", "l_tax"), O.Select("l_orderkey", "l_linenumber", "m")), "SELECT l_orderkey, l_linenumber, least(nullif(l_discount, 0), nullif(l_tax, 0)) AS m FROM lineitem")
+register("max_value", chained("lineitem", O.MaxValue("m", "l_discount", "l_tax"), O.Select("l_orderkey", "l_linenumber", "m")), "SELECT l_orderkey, l_linenumber, greatest(nullif(l_discount, 0), nullif(l_tax, 0)) AS m FROM lineitem")
+
+
+@query("SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS BIGINT) AS n FROM documents")
+def remove_empty(spark, d):
+    df = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    return O.RemoveEmptyOrNullFields()(df).select("doc_id", F.size("lines").cast("long").alias("n"))
+
+
+@query("SELECT c.*, n.n_name AS nation FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey")
+def inject_field(spark, d):
+    return O.InjectField(table(spark, d, "nation").select("n_nationkey", "n_name"), "nation", "c_nationkey")(table(spark, d, "customer"))
+
+
+@query("SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'AFRICA' WHEN 1 THEN 'AMERICA' ELSE CAST(n_regionkey AS VARCHAR) END AS region FROM nation")
+def map_fill(spark, d):
+    return O.Select("n_nationkey", "region")(O.MapFill({"0": "AFRICA", "1": "AMERICA"}, "region", "n_regionkey")(table(spark, d, "nation")))
+
+
+register("to_dict", lambda spark, d: O.ToDict("d")(table(spark, d, "region").select(F.col("r_name").alias("value"))), "SELECT r_name AS d FROM region")
+register("to_array", lambda spark, d: O.ToArray()(table(spark, d, "region").select(F.col("r_name").alias("value"))).select(F.array_join("value", ",").alias("v")), "SELECT r_name AS v FROM region")
+register("repeat", chained("region", O.Repeat(3)), "SELECT region.* FROM region, range(3)")
+register("map_rules", chained("nation", O.MapRules(["id:@n_nationkey", "name:@n_name", "kind:nation"])), "SELECT n_nationkey AS id, n_name AS name, 'nation' AS kind FROM nation")
+register("map_lambda", chained("lineitem", O.Map("lambda p, q: p * (1 - q)", key=["l_extendedprice", "l_discount"], target_key="net"), O.Select("l_orderkey", "l_linenumber", "net")), "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
+register("map_multi", chained("customer", O.MapMulti("lambda s: s.lower()", "c_name", c_mktsegment="segment"), O.Select("c_custkey", "c_name", "segment")), "SELECT c_custkey, lower(c_name) AS c_name, lower(c_mktsegment) AS segment FROM customer")
+register("map_python", chained("part", O.Map(texts.split_words, key="p_name", target_key="words", returns="array<string>"), O.Map("lambda w: len(w)", key="words"), O.Select("p_partkey", "words")), "SELECT p_partkey, CAST(len(list_filter(string_split(p_name, ' '), lambda x: x <> '')) AS BIGINT) AS words FROM part")
+register("function_record", chained("region", O.Function("lambda r: r['r_name'] + '!'")), "SELECT r_name || '!' AS value FROM region")
+
+# --- filters
+
+register("filter_lambda", chained("orders", O.Filter("lambda r: r['o_totalprice'] > 100000 and r['o_orderstatus'] in ['F', 'O']"), O.Select("o_orderkey")), "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_orderstatus IN ('F', 'O')")
+register("filter_sql", chained("lineitem", O.Filter("sql:l_quantity BETWEEN 10 AND 20"), O.Select("l_orderkey", "l_linenumber")), "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 20")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def whitelist(spark, d):
+    side = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")
+    return O.Select("o_orderkey")(O.WhiteList(side, "o_custkey")(table(spark, d, "orders")))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def blacklist(spark, d):
+    side = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")
+    return O.Select("o_orderkey")(O.BlackList(side, "o_custkey")(table(spark, d, "orders")))
+
+
+register("blacklist_literal", chained("orders", O.BlackList({"F", "P"}, "o_orderstatus"), O.Select("o_orderkey")), "SELECT o_orderkey FROM orders WHERE o_orderstatus NOT IN ('F', 'P')")
+register("distinct_first", chained("documents", O.Select("doc_id", "text"), O.Distinct("text", order="doc_id"), O.Select("doc_id")), "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
+register("distinct_key", chained("events", O.Select("user_id", "event_type"), O.Distinct()), "SELECT DISTINCT user_id, event_type FROM events")
+register("distinct_by_db", lambda spark, d: O.DistinctByDatabase(table(spark, d, "labels"), "doc_id")(table(spark, d, "documents")).select("doc_id"), "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+register("take_n", chained("orders", O.TakeN(25, order="o_orderkey"), O.Select("o_orderkey")), "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 25")
+register("skip_n", chained("orders", O.SkipN(100, order="o_orderkey"), O.Select("o_orderkey")), "SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 100")
+register("limit_skip", chained("orders", O.Limit(10, 20, order="o_orderkey"), O.Select("o_orderkey")), "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 10")
+register("fields_nonempty", chained("lineitem", O.FieldsNonEmpty("l_discount", "l_tax"), O.Select("l_orderkey", "l_linenumber")), "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount <> 0 AND l_tax <> 0")
+register("fields_exist", chained("region", O.FieldsExist("r_name")), "SELECT * FROM region")
+register("all_any_not", chained("lineitem", O.Filter(O.All(O.Any(O.FieldsNonEmpty("l_discount"), "lambda r: r['l_quantity'] > 40"), O.Not("lambda r: r['l_returnflag'] == 'N'"))), O.Select("l_orderkey", "l_linenumber")), "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_discount <> 0 OR l_quantity > 40) AND l_returnflag <> 'N'")
+register("keyword_drop", chained("documents", O.KeywordFilter("text", ["licensed", "THE!!"]), O.Select("doc_id")), "SELECT doc_id FROM documents WHERE NOT (contains(lower(text), 'licensed') OR contains(lower(text), 'the!!'))")
+register("keyword_keep", chained("documents", O.KeywordFilter("text", ["licensed"], action="keep"), O.Select("doc_id")), "SELECT doc_id FROM documents WHERE contains(lower(text), 'licensed')")
+register("keyword_v2", chained("documents", O.KeywordFilterV2("text", ["Licensed", "THE!!"], action="keep"), O.Select("doc_id")), "SELECT doc_id FROM documents WHERE contains(text, 'Licensed') OR contains(text, 'THE!!')")
+register("keyword_many", chained("documents", O.KeywordFilterV2("text", ["THE!!", *[f"zq{k}x" for k in range(80)]], action="keep"), O.Select("doc_id")), "SELECT doc_id FROM documents WHERE contains(text, 'THE!!')")
+register("length_filter", chained("documents", O.LengthFilter("text", 100, 2000), O.Select("doc_id")), "SELECT doc_id FROM documents WHERE length(text) BETWEEN 100 AND 2000")
+register("simple_match", chained("documents", O.SimpleMatch(lang="en", source="src0"), O.Select("doc_id")), "SELECT doc_id FROM documents WHERE lang = 'en' AND source = 'src0'")
+register("jsonpath_match", chained("events", O.JsonPathMatch("$.k", key="props"), O.Select("event_id")), "SELECT event_id FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+register("filter_by_time", lambda spark, d: O.FilterByTime("ms")(table(spark, d, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))).select("event_id"), "SELECT event_id FROM events WHERE ts <= now()::TIMESTAMP")
+register("sample_hash", chained("documents", O.Sample(0.3, "doc_id", seed=1), O.Select("doc_id")))
+
+# --- flattening
+
+register("flat_lines", lambda spark, d: O.Flat("line", inherit_props=True)(table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("line"))), "SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents")
+register("flat_kv", lambda spark, d: O.Flat()(table(spark, d, "nation").select("n_name", F.col("n_regionkey").cast("string").alias("n_regionkey"))), "SELECT 'n_name' AS key, n_name AS value FROM nation UNION ALL SELECT 'n_regionkey', CAST(n_regionkey AS VARCHAR) FROM nation")
+register("flat_key", lambda spark, d: O.Flat(flat_mode="key")(table(spark, d, "nation").select("n_name", "n_regionkey")), "SELECT unnest(['n_name', 'n_regionkey']) AS value FROM nation")
+register("flat_value", lambda spark, d: O.Flat(flat_mode="value")(table(spark, d, "lineitem").select("l_discount", "l_tax")), "SELECT l_discount AS value FROM lineitem UNION ALL SELECT l_tax FROM lineitem")
+register("flat_property", lambda spark, d: O.FlatProperty("a", "b", inherit_props=True)(table(spark, d, "orders").select("o_orderkey", F.struct(F.col("o_orderstatus").alias("v")).alias("a"), F.struct(F.col("o_orderpriority").alias("v")).alias("b"))), "SELECT o_orderkey, o_orderstatus AS v FROM orders UNION ALL SELECT o_orderkey, o_orderpriority FROM orders")
+register("flatmap_words", chained("part", O.FlatMap("lambda s: s.split(' ')", key="p_name"), O.Group("value", emit_fast=False), aggs.Count(target_key="n")), "SELECT w AS key, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY 1")
+
+# --- control
+
+register("if_only", chained("orders", O.Select("o_orderkey", "o_totalprice"), O.If(O.ReplaceFields(o_totalprice=0.0), "lambda r: r['o_totalprice'] > 100000")), "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 0.0::DOUBLE ELSE o_totalprice END AS o_totalprice FROM orders")
+register("if_else", chained("orders", O.Select("o_orderkey", "o_totalprice"), O.IfElse(O.AddFields(size="big"), O.AddFields(size="small"), "lambda r: r['o_totalprice'] > 100000")), "SELECT o_orderkey, o_totalprice, CASE WHEN o_totalprice > 100000 THEN 'big' ELSE 'small' END AS size FROM orders")
+
+
+@query("SELECT 'a' AS branch, count(*) AS n FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'b', count(*) FROM orders WHERE o_totalprice > 100000")
+def fork_union(spark, d):
+    fork = O.Fork(O.Filter("lambda r: r['o_orderstatus'] == 'F'"), O.Filter("lambda r: r['o_totalprice'] > 100000"))
+    fork(table(spark, d, "orders"))
+    a, b = (r.agg(F.count(F.lit(1)).alias("n")) for r in fork.results)
+    return a.select(F.lit("a").alias("branch"), "n").unionByName(b.select(F.lit("b").alias("branch"), "n"))
+
+
+register("while_double", chained("region", O.Select("r_regionkey"), O.Map("lambda r: int(r['r_regionkey']) + 1", target_key="d"), O.While(O.Map("lambda d: d * 2", key="d"), "lambda r: r['d'] < 10", max_iterations=5)), "SELECT r_regionkey, CAST(CASE r_regionkey WHEN 0 THEN 16 WHEN 1 THEN 16 WHEN 2 THEN 12 WHEN 3 THEN 16 ELSE 10 END AS BIGINT) AS d FROM region")
+register("buffer_batches", lambda spark, d: O.Buffer(64, order="o_orderkey")(table(spark, d, "orders").select("o_orderkey")).select("batch", F.size("values").cast("long").alias("n"), F.get("values", F.lit(0))["o_orderkey"].alias("first")), "SELECT CAST(floor((rn - 1) / 64) AS BIGINT) AS batch, count(*) AS n, min(o_orderkey) AS first FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) rn FROM orders) GROUP BY 1")
+register("sort_topk", chained("lineitem", O.Select("l_orderkey", "l_linenumber", "l_extendedprice"), O.Sort(key="l_extendedprice", reverse=True), O.TakeN(10)), "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC LIMIT 10")
+register("multi_union", lambda spark, d: table(spark, d, "customer").select(F.col("c_name").alias("name")).unionByName(table(spark, d, "supplier").select(F.col("s_name").alias("name"))), "SELECT c_name AS name FROM customer UNION ALL SELECT s_name FROM supplier")
+register("row_numbers", lambda spark, d: numbered(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), [F.col("o_orderdate"), F.col("o_orderkey")], "n").select("o_orderkey", "n"), "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS n FROM orders")
+register("uuid_unique", lambda spark, d: O.UUID()(table(spark, d, "region")).select(F.length("_id").alias("n"), "r_name"), "SELECT 36 AS n, r_name FROM region")
+register("add_ts", lambda spark, d: O.AddTS("t")(table(spark, d, "region")).select("r_name", (F.col("t") > 1_600_000_000_000).alias("ok")), "SELECT r_name, true AS ok FROM region")
+
+# --- functions
+
+c = F.col
+functions_of("digests", "customer", {"md5": lambda: strings.md5(c("c_name")), "short": lambda: strings.md5_simple(c("c_name"), 16), "sha": lambda: strings.sha256(c("c_name")), "pad": lambda: strings.pad20(c("c_custkey")), "b64": lambda: strings.base64(c("c_name"))}, "SELECT c_custkey, md5(c_name) AS md5, md5(c_name)[1:16] AS short, sha256(c_name) AS sha, lpad(CAST(c_custkey AS VARCHAR), 20, '0') AS pad, base64(encode(c_name)) AS b64 FROM customer", ("c_custkey",))
+functions_of("sha256_id", "customer", {"id": lambda: strings.sha256_id(c("c_name"), 7).cast("long")}, "SELECT c_custkey, CAST('0x' || sha256(c_name)[1:14] AS BIGINT) AS id FROM customer", ("c_custkey",))
+functions_of("urls", "pages", {"host": lambda: strings.host_from_url(c("url")), "bare": lambda: strings.host_from_url(c("url"), False), "path": lambda: strings.path_from_url(c("url")), "first": lambda: strings.path_from_url(c("url"), "first"), "last": lambda: strings.path_from_url(c("url"), "last"), "base": lambda: strings.basename(c("url"))}, r"""SELECT page_id, proto || host AS host, host AS bare, path, string_split(inner_path, '/')[1] AS first, string_split(inner_path, '/')[-1] AS last, string_split(url, '/')[-1] AS base FROM (
+  SELECT *, regexp_replace(regexp_replace(path, '^/', ''), '/$', '') AS inner_path FROM (
+  SELECT page_id, url, CASE WHEN starts_with(url, 'https://') THEN 'https://' ELSE 'http://' END AS proto, regexp_extract(url, '^(?:https?://)?([^/]*)', 1) AS host, CASE WHEN regexp_matches(regexp_replace(url, '^https?://', ''), '/') THEN regexp_extract(regexp_replace(url, '^https?://', ''), '/.*') ELSE '/' END AS path FROM pages))""", ("page_id",))
+functions_of("dates", "orders", {"day": lambda: dates.millis2datetime(F.unix_millis(c("o_orderdate").cast("timestamp")), "%Y-%m-%d"), "ts": lambda: dates.date2ts(F.date_format("o_orderdate", "yyyy-MM-dd")), "leap": lambda: dates.is_leap_year(F.year("o_orderdate")), "days": lambda: dates.month_days(F.year("o_orderdate"), F.month("o_orderdate"))}, "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) AS ts, CASE WHEN year(o_orderdate) % 400 = 0 OR (year(o_orderdate) % 4 = 0 AND year(o_orderdate) % 100 <> 0) THEN 1 ELSE 0 END AS leap, CAST(day(last_day(o_orderdate)) AS INTEGER) AS days FROM orders", ("o_orderkey",))
+
+
+@query("SELECT o_orderkey, CAST(epoch(date_trunc('month', o_orderdate)) AS BIGINT) AS start, CAST(epoch(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH) AS BIGINT) AS stop FROM orders")
+def expand_date_range(spark, d):
+    r = dates.expand_date_range(F.date_format("o_orderdate", "yyyy-MM"))
+    return table(spark, d, "orders").select("o_orderkey", r["start"].alias("start"), r["end"].alias("stop"))
+
+
+functions_of("normalize_time", "events", {"ms": lambda: dates.normalize_time(F.date_format("ts", "yyyy/MM/dd HH:mm:ss")), "iso": lambda: dates.normalize_time(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))), "none": lambda: dates.normalize_time(c("event_type")).isNull()}, "SELECT event_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) * 1000 AS ms, CAST(epoch(date_trunc('second', ts)) AS BIGINT) * 1000 AS iso, event_type NOT LIKE '%-%' AND event_type NOT LIKE '%/%' AS none FROM events", ("event_id",))
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS key, count(*) AS n FROM events GROUP BY 1")
+def time_histogram(spark, d):
+    df = table(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return Chain(O.Group("day", emit_fast=False), aggs.Count(target_key="n"))(df)
+
+
+functions_of("clean_extra_whitespace", "documents", {"t": lambda: strings.clean_extra_whitespace(c("text"))}, r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\xA0\n]', ' ', 'g'), ' {2,}', ' ', 'g')) AS t FROM documents", ("doc_id",))
+functions_of("clean_dashes", "documents", {"t": lambda: strings.clean_dashes(c("text"))}, "SELECT doc_id, trim(regexp_replace(text, '[-–]', ' ', 'g')) AS t FROM documents", ("doc_id",))
+functions_of("clean_trailing_punctuation", "documents", {"t": lambda: strings.clean_trailing_punctuation(c("text"))}, "SELECT doc_id, regexp_replace(trim(text), '[.,:;]+$', '') AS t FROM documents", ("doc_id",))
+functions_of("remove_punctuation", "documents", {"t": lambda: strings.remove_punctuation(c("text"))}, r"SELECT doc_id, regexp_replace(text, '\p{P}', '', 'g') AS t FROM documents", ("doc_id",))
+functions_of("clean_non_ascii", "documents", {"t": lambda: strings.clean_non_ascii_chars(c("text"))}, r"SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS t FROM documents", ("doc_id",))
+functions_of("clean_bullets", "documents", {"t": lambda: strings.clean_bullets(c("text")), "is": lambda: strings.is_bulleted_text(c("text"))}, f"SELECT doc_id, regexp_replace(text, '^\\s*[{strings.BULLETS.replace('*', chr(92) + '*')}]\\s*', '') AS t, regexp_matches(text, '^\\s*[{strings.BULLETS.replace('*', chr(92) + '*')}]') AS is FROM documents".replace(" AS is", ' AS "is"'), ("doc_id",))
+functions_of("clean_composite", "documents", {"t": lambda: strings.clean(c("text"), extra_whitespace=True, lowercase=True, trailing_punctuation=True)}, r"SELECT doc_id, trim(trim(regexp_replace(regexp_replace(regexp_replace(trim(lower(text)), '[.,:;]+$', ''), '[\xA0\n]', ' ', 'g'), ' {2,}', ' ', 'g'))) AS t FROM documents", ("doc_id",))
+functions_of("extract_emails", "documents", {"v": lambda: F.array_join(strings.extract_email_address(c("text")), "|")}, rf"SELECT doc_id, coalesce(array_to_string(regexp_extract_all(lower(text), '{strings.EMAIL}'), '|'), '') AS v FROM documents", ("doc_id",))
+functions_of("extract_ips", "documents", {"v": lambda: F.array_join(strings.extract_ip_address(c("text")), "|")}, rf"SELECT doc_id, coalesce(array_to_string(regexp_extract_all(text, '\b{strings.IP}\b'), '|'), '') AS v FROM documents", ("doc_id",))
+functions_of("extract_image_urls", "pages", {"v": lambda: F.array_join(strings.extract_image_urls_from_html(c("html")), "|")}, None, ("page_id",))
+functions_of("phone_numbers", "documents", {"has": lambda: strings.contains_us_phone_number(c("text"))}, rf"SELECT doc_id, regexp_matches(text, '{strings.PHONE}') AS has FROM documents", ("doc_id",))
+functions_of("text_kinds", "documents", {"title": lambda: strings.is_possible_title(F.substring("text", 1, 60)), "prose": lambda: strings.is_possible_narrative_text(c("text")), "caps": lambda: strings.exceeds_cap_ratio(c("text")), "alpha": lambda: strings.under_non_alpha_ratio(c("text"))}, None, ("doc_id",))
+functions_of("sentence_count", "documents", {"n": lambda: strings.sentence_count(c("text"))}, None, ("doc_id",))
+functions_of("paragraphs", "documents", {"t": lambda: strings.new_line_grouper(c("text"))}, r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10)) AS t FROM documents", ("doc_id",))
+functions_of("ngram_overlap", "benchmark", {"share": lambda: F.round(strings.shared_ngram_share(c("text"), F.lower("text"), 2), 6)}, None, ("item_id",))
+functions_of("numbers_in_text", "part", {"a": lambda: strings.parse_int(F.concat(c("p_size").cast("string"), F.lit(",000"))), "b": lambda: strings.extract_num(F.format_number("p_retailprice", 2))}, "SELECT p_partkey, CAST(p_size AS BIGINT) * 1000 AS a, round_even(p_retailprice, 2) AS b FROM part", ("p_partkey",))
+functions_of("split_simple", "documents", {"n": lambda: F.size(udf_of(texts.split_simple)(c("text"))).cast("long")}, None, ("doc_id",))
+functions_of("split_recursive", "documents", {"n": lambda: F.size(udf_of(texts.split_recursive)(c("text"))).cast("long")}, None, ("doc_id",))
+functions_of("split_char", "documents", {"n": lambda: F.size(udf_of(texts.split_char)(c("text"))).cast("long")}, None, ("doc_id",))
+functions_of("split_chinese", "documents", {"n": lambda: F.size(udf_of(texts.split_chinese)(c("text"))).cast("long")}, None, ("doc_id",))
+functions_of("token_windows", "documents", {"n": lambda: F.size(udf_of(texts.token_windows)(c("text"))).cast("long")}, r"SELECT doc_id, CAST(CASE WHEN n = 0 THEN 0 ELSE ceil(greatest(1, n - 20) / 80) END AS BIGINT) AS n FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n FROM documents)", ("doc_id",))
+functions_of("keywords_top10", "documents", {"v": lambda: F.array_join(F.array_sort(F.map_keys(udf_of(texts.keywords)(c("text")))), ",")}, None, ("doc_id",))
+functions_of("summarize", "documents", {"v": lambda: F.array_join(udf_of(texts.summarize)(c("text")), "\n")}, None, ("doc_id",))
+functions_of("markdown_sections", "documents", {"n": lambda: F.size(udf_of(texts.markdown_sections)(F.concat(F.lit("# T\n"), c("text")))).cast("long")}, None, ("doc_id",))
+functions_of("html_title", "pages", {"title": lambda: udf_of(texts.html_title)(c("html"))}, None, ("page_id",))
+functions_of("html_links", "pages", {"n": lambda: F.size(udf_of(texts.html_links)(c("html"), c("url"))).cast("long")}, None, ("page_id",))
+functions_of("html_text", "pages", {"t": lambda: udf_of(texts.html_text)(c("html"))}, None, ("page_id",))
+functions_of("html_content", "pages", {"t": lambda: udf_of(texts.html_content)(c("html"))["content"]}, None, ("page_id",))
+functions_of("html_article", "pages", {"t": lambda: udf_of(texts.html_article)(c("html"))["title"]}, None, ("page_id",))
+functions_of("html_elements", "pages", {"n": lambda: F.size(udf_of(texts.html_elements)(c("html"))).cast("long")}, None, ("page_id",))
+functions_of("sentiment_vote", "events", {"s": lambda: strings.sent2text_sentiment(F.array(F.when(c("value") > 50, "positive").otherwise("negative"), F.when(c("value") > 75, "positive").otherwise("negative"), F.lit("neutral")))}, "SELECT event_id, CASE WHEN value > 75 THEN 'positive' WHEN value > 50 THEN 'neutral' ELSE 'negative' END AS s FROM events", ("event_id",))
+
+# --- graphs, joins, vectors
+
+
+@query("SELECT l_orderkey AS e, string_agg(a || '=' || v, ',' ORDER BY a) AS v FROM (SELECT l_orderkey, 'p' || CAST(l_linenumber % 2 AS VARCHAR) AS a, CAST(arg_max(l_partkey, l_linenumber * 1000000 + l_partkey) AS VARCHAR) AS v FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+def triples_to_entity(spark, d):
+    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("e"), F.concat(F.lit("p"), (F.col("l_linenumber") % 2).cast("string")).alias("a"), F.col("l_partkey").cast("string").alias("v"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("o"))
+    out = graph.compress_triples(t, order="o")
+    return out.select("e", F.array_join(F.transform(F.map_entries("attributes"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",").alias("v"))
+
+
+@query("SELECT h, string_agg(r || '=' || v, ';' ORDER BY r) AS v FROM (SELECT l_suppkey AS h, l_returnflag AS r, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_orderkey, l_linenumber, l_partkey) AS v FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+def group2dict(spark, d):
+    t = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("h"), F.col("l_returnflag").alias("r"), F.col("l_partkey").cast("string").alias("t"), ((F.col("l_orderkey") * 100 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("o"))
+    out = graph.group2dict(t, order="o")
+    return out.select("h", F.array_join(F.transform(F.map_entries("properties"), lambda x: F.concat(x["key"], F.lit("="), F.array_join(x["value"], ","))), ";").alias("v"))
+
+
+@query("SELECT 'Q' || CAST(p_partkey AS VARCHAR) AS subject_id, 'P31' AS relation, 'Q' || CAST(p_size AS VARCHAR) AS object_id FROM part UNION ALL SELECT 'Q' || CAST(p_partkey AS VARCHAR), 'P17', 'Q' || CAST(p_size % 7 AS VARCHAR) FROM part")
+def relation_edges(spark, d):
+    claim = lambda v: F.array(F.struct(F.lit("wikibase-entityid").alias("datatype"), F.concat(F.lit("Q"), v.cast("string")).alias("datavalue")))
+    items = table(spark, d, "part").select(F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("labels"), F.create_map(F.lit("P31"), claim(F.col("p_size")), F.lit("P17"), claim(F.col("p_size") % 7)).alias("claims"))
+    return graph.Relation()(items).select("subject_id", "relation", "object_id")
+
+
+@query("SELECT 'Q' || CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_size % 7 = 3")
+def wikidata_match(spark, d):
+    items = table(spark, d, "part").select(F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("id"), F.create_map(F.lit("P17"), F.array(F.struct(F.lit("wikibase-entityid").alias("datatype"), F.concat(F.lit("Q"), (F.col("p_size") % 7).cast("string")).alias("datavalue")))).alias("claims"))
+    return O.WikidataMatchNew(P17=["Q3"], P39=False)(items).select("id")
+
+
+@query("SELECT p.p_partkey, p.p_name, s.s_name FROM part p LEFT JOIN supplier s ON p.p_size = s.s_suppkey")
+def json_join(spark, d):
+    return graph.json_join(table(spark, d, "part"), "p_size", table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey").select("p_partkey", "p_name", "s_name")
+
+
+@query("SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) q ORDER BY 2 DESC, 1 LIMIT 10")
+def vector_topk(spark, d):
+    df = table(spark, d, "embeddings")
+    query_vector = df.orderBy("vec_id").first()["embedding"]
+    return graph.vector_topk(df, query_vector, 10).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS key, string_agg(event_type || '=' || CAST(n AS VARCHAR), ',' ORDER BY event_type) AS v FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
+def polls_pivot(spark, d):
+    counts = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    out = counts.groupBy(F.col("user_id").cast("string").alias("key")).agg(F.array_sort(F.collect_list(F.struct("event_type", "n"))).alias("r"))
+    return out.select("key", F.array_join(F.transform("r", lambda x: F.concat(x["event_type"], F.lit("="), x["n"].cast("string"))), ",").alias("v"))
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS v FROM conversations GROUP BY 1")
+def conversation_merge(spark, d):
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("r"))
+    return rows.select("conv_id", F.array_join(F.transform("r", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("v"))
+
+
+# --- flows
+
+
+@query("SELECT o_orderstatus AS key, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY 1 ORDER BY 2 DESC")
+def flow_yaml(spark, d):
+    from rillflow.plans.flow import Flow
+
+    return Flow.from_dict({"loader": f"Parquet('{d}/orders.parquet')", "consts": {"least": 1000}, "nodes": {"big": "Filter(lambda r: r['o_totalprice'] > 1000)", "grp": "Group(by='o_orderstatus', emit_fast=False)"}, "processor": "Chain(big, grp, aggs.Count(target_key='n'), Sort(key='n', reverse=True))"}).plan(spark)
+
+
+# --- streams
+
+
+def _stream(spark, d, transform, mode="append"):
+    import uuid
+
+    from rillflow.records import checkpointed
+    from rillflow.streaming import collected
+
+    checkpointed(spark.range(1))
+    root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    source = f"{root}/in"
+    table(spark, d, "events").repartition(4).write.parquet(source)
+    stream = spark.readStream.schema(table(spark, d, "events").schema).option("maxFilesPerTrigger", 2).parquet(source)
+    return collected(transform(stream), f"{root}/checkpoint", f"{root}/out", mode)
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_dedup(spark, d):
+    from rillflow.streaming import deduplicated
+
+    return _stream(spark, d, lambda s: deduplicated(s, "user_id").select("user_id"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def stream_count(spark, d):
+    return _stream(spark, d, lambda s: s.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "complete")
 
 
 def queries():

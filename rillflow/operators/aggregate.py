@@ -195,7 +195,7 @@ class Tail(Head):
 
 
 class ReduceSample(Reduce):
-    """Each record of a group with a probability."""
+    """Each record of a group with a probability, by a hash of the record, so that reruns agree."""
 
     def __init__(self, rate: float = 0.01, target_key: str | None = None, seed: int = 0):
         super().__init__(target_key=target_key)
@@ -203,7 +203,8 @@ class ReduceSample(Reduce):
 
     def value(self, g):
         row = F.struct(*[plain(c) for c in g.df.columns if c not in ("_key", "_run")])
-        return F.collect_list(F.when(F.rand(self.seed) <= self.rate, row))
+        drawn = F.pmod(F.xxhash64(row, F.lit(self.seed)), F.lit(1 << 30)) < F.lit(int(self.rate * (1 << 30)))
+        return F.collect_list(F.when(drawn, row))
 
 
 class OrderBy(Reduce):

@@ -57,6 +57,14 @@ class RemoveFields(Op):
         return df.select(*[plain(c) for c in df.columns if c not in self.keys])
 
 
+def filled_pair(kind):
+    return lambda _, v: filled(v, kind)
+
+
+def filled_value(kind):
+    return lambda v: filled(v, kind)
+
+
 class RemoveEmptyOrNullFields(Op):
     """Empty values become null and empty entries leave maps and arrays; zero and false are not empty."""
 
@@ -66,10 +74,10 @@ class RemoveEmptyOrNullFields(Op):
             c = plain(f.name)
             if isinstance(f.dataType, T.MapType):
                 kind = f.dataType.valueType
-                c = F.map_filter(c, lambda _, v, kind=kind: filled(v, kind))
+                c = F.map_filter(c, filled_pair(kind))
             elif isinstance(f.dataType, T.ArrayType):
                 kind = f.dataType.elementType
-                c = F.filter(c, lambda v, kind=kind: filled(v, kind))
+                c = F.filter(c, filled_value(kind))
             out.append((F.when(filled(c, f.dataType), c) if df.columns != ["value"] else c).alias(f.name))
         return df.select(*out)
 

@@ -351,6 +351,9 @@ class WikidataMatch(Filter):
         snak = claim["mainsnak"]
         return F.when(snak["datatype"].isin(*self.kinds), snak["datavalue"]["value"]["id"])
 
+    def among(self, values: list):
+        return lambda c: F.coalesce(self.entity(c).isin(values), F.lit(False))
+
     def keeps(self, df):
         claims = plain("claims")
         out = F.lit(True)
@@ -360,7 +363,7 @@ class WikidataMatch(Filter):
                 out = out & (has if wanted else ~has)
             else:
                 values = [wanted] if isinstance(wanted, str) else list(wanted)
-                out = out & F.coalesce(F.exists(F.try_element_at(claims, F.lit(p)), lambda c, values=values: F.coalesce(self.entity(c).isin(values), F.lit(False))), F.lit(False))
+                out = out & F.coalesce(F.exists(F.try_element_at(claims, F.lit(p)), self.among(values)), F.lit(False))
         return out
 
 

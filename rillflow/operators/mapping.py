@@ -63,7 +63,8 @@ def _pandas(one: Callable, kind):
             if not isinstance(series, tuple):
                 series = (series,)
             rows = zip(*(s.to_dict("records") if isinstance(s, pd.DataFrame) else s for s in series), strict=True)
-            yield pd.Series([one(*r) for r in rows], dtype=object)
+            out = [one(*r) for r in rows]
+            yield pd.DataFrame([r or {} for r in out], columns=kind.names) if isinstance(kind, T.StructType) else pd.Series(out, dtype=object)
 
     from collections.abc import Iterator
 
@@ -76,7 +77,7 @@ def _pandas(one: Callable, kind):
     def call(*columns):
         # the type hints are read when the UDF is made
         f = single if len(columns) == 1 else several
-        f.__annotations__ = {"batches": Iterator[pd.Series] if len(columns) == 1 else Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
+        f.__annotations__ = {"batches": Iterator[pd.Series] if len(columns) == 1 else Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame if isinstance(kind, T.StructType) else pd.Series]}
         return F.pandas_udf(f, kind)(*columns)
 
     return call

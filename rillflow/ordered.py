@@ -37,14 +37,14 @@ def runs(df: DataFrame, key: Column, order: list[Column], to: str = "run") -> Da
 
     Within a slice a run begins where the key changes; the first row of a slice is compared with the last of the slice before.
     """
-    cut = sliced(df.withColumn("_key", key), order)
+    cut = sliced(df.withColumn("_runkey", key), order)
     w = W.partitionBy("_slice").orderBy(*order)
-    changed = F.when(F.row_number().over(w) == 1, 0).otherwise((~F.lag("_key").over(w).eqNullSafe(F.col("_key"))).cast("int"))
+    changed = F.when(F.row_number().over(w) == 1, 0).otherwise((~F.lag("_runkey").over(w).eqNullSafe(F.col("_runkey"))).cast("int"))
     cut = cut.withColumn("_own", F.sum(changed).over(w.rowsBetween(W.unboundedPreceding, 0)))
     position = F.struct(*order)
-    ends = cut.groupBy("_slice").agg(F.max("_own").alias("_most"), F.min_by(F.struct("_key"), position)["_key"].alias("_first"), F.max_by(F.struct("_key"), position)["_key"].alias("_last"))
+    ends = cut.groupBy("_slice").agg(F.max("_own").alias("_most"), F.min_by(F.struct("_runkey"), position)["_runkey"].alias("_first"), F.max_by(F.struct("_runkey"), position)["_runkey"].alias("_last"))
     v = W.orderBy("_slice")
     opens = F.when(F.row_number().over(v) == 1, 1).otherwise((~F.lag("_last").over(v).eqNullSafe(F.col("_first"))).cast("int"))
     ends = ends.withColumn("_opens", opens)
     before = ends.select("_slice", (F.sum("_opens").over(v.rowsBetween(W.unboundedPreceding, 0)) + F.coalesce(F.sum("_most").over(v.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
-    return cut.join(before, "_slice").withColumn(to, (F.col("_own") + F.col("_before")).cast("long")).drop("_own", "_before", "_slice", "_key")
+    return cut.join(before, "_slice").withColumn(to, (F.col("_own") + F.col("_before")).cast("long")).drop("_own", "_before", "_slice", "_runkey")
