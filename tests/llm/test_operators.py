@@ -1,0 +1,503 @@
+"""The operators of the subpackage against plain versions, with odd rows."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from rillflow.llm.queries import tokenizer_path
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = [None, "", " \n\t", "one", "a b c d e " * 40, "Zeile eins\nzwei drei 12\n" * 3, "x" * 5000, "<|startoftext|> Hi <|endoftext|>", "İΣ ½ é日本 \x1c a\xa0b", "it's 12_3 '' don't", "a\x00b"]
+
+
+@pytest.fixture(scope="module")
+def words():
+    rng = random.Random(3)
+    return ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(400)]
+
+
+@pytest.fixture(scope="module")
+def corpus(words):
+    """(doc_id, text, lang, source): plain texts, exact and near copies, repeated passages, odd ones."""
+    rng = random.Random(5)
+    text = lambda n: "\n".join(" ".join(rng.choices(words, k=12)) for _ in range(n // 12))
+    out = [text(rng.choice([60, 120, 300])) for _ in range(60)]
+    out += [out[0]] * 5
+    near = out[1].split(" ")
+    for k in range(6):
+        own = list(near)
+        own[10 + 3 * k] = f"new{k}"
+        out.append(" ".join(own))
+    line = " ".join(rng.choices(words, k=20))
+    out += [text(120) + "\n" + line + f" {k}" for k in range(5)]
+    out += ODD
+    rows = [(k, t, "en", f"src{k % 4}" if k % 9 else None) for k, t in enumerate(out)]
+    return [*rows, rows[3], (None, "a null key here", None, "src0")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    return spark.createDataFrame(corpus, "doc_id long, text string, lang string, source string").repartition(3)
+
+
+# --- quality rules
+
+
+def plain_repeats(text, least):
+    w = text.split()
+    n = len(w)
+    longest = [0] * n
+    for i in range(n):
+        for j in range(n):
+            if i != j:
+                k = 0
+                while i + k < n and j + k < n and w[i + k] == w[j + k]:
+                    k += 1
+                longest[i] = max(longest[i], k)
+    covered = set()
+    for i, k in enumerate(longest):
+        if k >= least:
+            covered |= set(range(i, i + k))
+    windows = collections.Counter(tuple(w[i : i + 8]) for i in range(n - 7))
+    repeated = {i + k for i in range(n - 7) if windows[tuple(w[i : i + 8])] > 1 for k in range(8)}
+    return len(covered), max([k for k in longest if k >= least], default=0), len(repeated)
+
+
+def test_repeats_like_brute_force():
+    from rillflow.llm.repetition import measured
+
+    rng = random.Random(1)
+    texts = ["", "a", "a a", "a a a a a a a a a a", *(" ".join(rng.choices("abc", k=rng.randint(1, 60))) for _ in range(40)), *(" ".join(rng.choices("abcdefghijklmno", k=80)) for _ in range(10))]
+    for least in (3, 5):
+        found = measured(pa.array(texts), least)
+        for k, t in enumerate(texts):
+            assert (found["n_covered_words"][k], found["longest_repeat"][k], found["n_repeat_words"][k]) == plain_repeats(t, least), t
+
+
+def test_quality_measures(docs, corpus):
+    from rillflow.llm.repetition import repetition_rules
+
+    got = {(r.doc_id, r.text): r for r in repetition_rules(docs.withColumn("kept", F.lit("clash"))).collect()}
+    for doc_id, text, *_ in corpus:
+        t, r = text or "", got[doc_id, text]
+        w = WORD.findall(t)
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)))
+        assert r.base_failed == (len(w) < 20 or 100 * r.n_repeat_words > 30 * len(w)) and (not r.base_failed or not r.kept)
+    assert repetition_rules(docs.limit(0)).count() == 0
+
+
+# --- BPE
+
+
+@pytest.mark.parametrize("twice", [True, False])
+def test_bpe_like_the_library(docs, corpus, twice):
+    from tokenizers import Tokenizer
+
+    from rillflow.llm.bpe import decode, encode
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    source = docs.sparkSession.createDataFrame(corpus, docs.schema)
+    got = decode(encode(source, tokenizer_path(), twice=twice), tokenizer_path()).collect()
+    truth = collections.Counter()
+    for doc_id, text, *_ in corpus:
+        ids = tok.encode(text or "", add_special_tokens=False).ids
+        truth[doc_id, tuple(ids), tok.decode(ids, skip_special_tokens=False)] += 1
+    assert collections.Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist()), r.decoded) for r in got) == truth
+    assert encode(docs.limit(0), tokenizer_path()).count() == 0
+
+
+# --- language model
+
+
+def test_lm_base_and_distribution(docs, corpus):
+    from rillflow.llm.lm import score
+
+    rows = score(docs).collect()
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    count, ends = collections.Counter(), 0
+    for i, t, *_ in corpus:
+        if not held(i):
+            count.update(WORD.findall(low(t)))
+            ends += 1
+    n, v = sum(count.values()) + ends, len(count) + 1
+    text = {(i, len(low(t).encode())): t for i, t, *_ in corpus}
+    assert len(rows) == len(corpus)
+    for r in rows:
+        w = WORD.findall(low(text[r.doc_id, r.n_bytes]))
+        base = sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1))
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w) + 1, sum(count[x] > 0 for x in w) + 1, n, held(r.doc_id))
+        assert math.isclose(base, r.base_score, rel_tol=1e-9) and r.score < 0
+    assert score(docs.limit(0)).count() == 0
+
+
+def plain_ctw(stream, query, depth):
+    """log P of the last byte of the query by the definition, recursively."""
+    lg = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    total = 0.0
+    x = query[-1]
+    for bit in range(8):
+        node = (1 << bit) | (x >> (8 - bit))
+
+        def counts(context):
+            c = [0, 0]
+            for i in range(depth, len(stream)):
+                y = stream[i]
+                if ((1 << bit) | (y >> (8 - bit))) == node and all(stream[i - 1 - k] == b for k, b in enumerate(context)):  # noqa: B023
+                    c[(y >> (7 - bit)) & 1] += 1  # noqa: B023
+            return c
+
+        def weighted(context):
+            a, b = counts(context)
+            own = lg(a, b)
+            if len(context) == depth or a + b == 0:
+                return own, own, None
+            seen = {stream[i - 1 - len(context)] for i in range(depth, len(stream)) if all(stream[i - 1 - k] == c for k, c in enumerate(context))}
+            below = sum(weighted((*context, c))[0] for c in seen)
+            return np.logaddexp(own, below) + math.log(0.5), own, below
+
+        def predict(context, above):
+            a, b = counts(context)
+            if a + b == 0 and context:
+                return above
+            p = (b + 0.5) / (a + b + 1)
+            if len(context) == depth:
+                return p
+            _, own, below = weighted(context)
+            stop = math.exp(own - np.logaddexp(own, below if below is not None else 0.0))
+            return stop * p + (1 - stop) * predict((*context, query[-2 - len(context)]), p)
+
+        p = predict((), 0.5)
+        total += math.log(p if (x >> (7 - bit)) & 1 else 1 - p)
+    return total
+
+
+def test_ctw_like_the_definition():
+    from rillflow.llm import ctw
+
+    rng = random.Random(2)
+    depth = 3
+    stream = bytes(depth) + bytes(rng.choices(b"abc", k=60))
+    queries = [bytes(rng.choices(b"abcd", k=depth + 1)) for _ in range(12)]
+    seen, times = np.unique(ctw.grams(np.frombuffer(stream, np.uint8), depth), return_counts=True)
+    asked = np.concatenate([ctw.grams(np.frombuffer(q, np.uint8), depth) for q in queries])
+    code = np.union1d(seen, asked)
+    count = np.zeros(len(code), np.int64)
+    count[np.searchsorted(code, seen)] = times
+    found = ctw.log_probabilities(code, count, depth, ctw.Top(ctw.summary(code, count, depth)))
+    for q, a in zip(queries, asked, strict=True):
+        assert math.isclose(found[np.searchsorted(code, a)], plain_ctw(stream, q, depth), rel_tol=1e-9)
+
+
+def test_ctw_sums_to_one():
+    from rillflow.llm import ctw
+
+    data = np.frombuffer(b"\0\0\0" + b"the cat sat on the mat and the rat " * 4, np.uint8)
+    seen, times = np.unique(ctw.grams(data, 3), return_counts=True)
+    for context in (b"the", b"xyz", b"at "):
+        head = (context[2] << 24) | (context[1] << 16) | (context[0] << 8)
+        code = np.union1d(seen, head + np.arange(256))
+        count = np.zeros(len(code), np.int64)
+        count[np.searchsorted(code, seen)] = times
+        found = ctw.log_probabilities(code, count, 3, ctw.Top(ctw.summary(code, count, 3)))
+        assert math.isclose(np.exp(found[np.searchsorted(code, head + np.arange(256))]).sum(), 1, rel_tol=1e-6)
+
+
+# --- mixing, sharding
+
+
+def plain_mix(corpus):
+    size = lambda t: len(WORD.findall(t or ""))
+    total = collections.Counter()
+    for _, t, _, s in corpus:
+        total[s] += size(t)
+    sources = sorted(total, key=lambda s: (s is None, s))
+    weight = {s: k % 3 + 1 for k, s in enumerate(sources)}
+    target, open_, rest = {}, set(sources), float(sum(total.values()))
+    while open_:
+        share = rest / sum(weight[s] for s in open_)
+        over = {s for s in open_ if weight[s] * share > 3 * total[s]}
+        if not over:
+            target |= {s: weight[s] * share for s in open_}
+            break
+        for s in over:
+            target[s] = 3.0 * total[s]
+            rest -= target[s]
+        open_ -= over
+    return target, total
+
+
+def test_mixing(docs, corpus):
+    from rillflow.llm.mixing import fair_mix, mixed_documents
+
+    target, total = plain_mix(corpus)
+    rows = fair_mix(docs).collect()
+    assert len(rows) == len(corpus)
+    source = {(i, len(WORD.findall(t or ""))): s for i, t, _, s in corpus}
+    taken, most = collections.Counter(), max(r.size for r in rows)
+    for r in rows:
+        s = source[r.doc_id, r.size]
+        assert r.source_size == total[s] and math.isclose(r.target, target[s], rel_tol=1e-9)
+        assert 0 <= r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0)
+        taken[s] += r.taken
+    assert sum(taken.values()) <= sum(total.values()) and all(abs(taken[s] - target[s]) <= 2 * most for s in target)
+    key = lambda rs: sorted(map(tuple, rs), key=repr)
+    assert key(rows) == key(fair_mix(docs.repartition(5)).collect())
+    mix = mixed_documents(docs)
+    assert mix.columns == docs.columns and sum(len(WORD.findall(r.text or "")) for r in mix.collect()) == sum(taken.values())
+    assert fair_mix(docs.limit(0)).count() == 0 and mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_sharding(docs, spark, corpus):
+    from rillflow.llm.sharding import place, sharded, topology
+
+    rows = sharded(docs).collect()
+    assert len(rows) == len(corpus)
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+        assert r.grown_shard in (r.shard, 16)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    text = {(i, len((t or "").encode()) + 1): t for i, t, *_ in corpus}
+    assert all(r.text_crc32 == zlib.crc32((text[r.doc_id, r["size"]] or "").encode()) for r in rows)
+    many = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
+    weights = [1.0] * 15 + [3.0]
+    old, new = topology(16), topology(16, weights)
+    out = many.select(place(F.col("k"), old).alias("a"), place(F.col("k"), new).alias("b")).groupBy("a", "b").count().collect()
+    total = collections.Counter()
+    for r in out:
+        total[r.b] += r["count"]
+        # what moves between subtrees moves towards the region and rack that grew
+        assert r.a == r.b or r.b // 8 == 1
+    assert abs(total[15] / 20_000 - 3 / 18) < 0.02 and all(abs(total[k] / 20_000 - 1 / 18) < 0.012 for k in range(15))
+    assert sharded(docs.limit(0)).count() == 0
+
+
+# --- line dedup
+
+
+def test_line_dedup(spark, docs):
+    from rillflow.llm.lines import template_dedup
+
+    rows = [(k, f"{chr(97 + k)}own {chr(97 + k)}line number of {chr(97 + k)}this\nShared words 12:0{k} go on and on for ever\n\nlast {chr(97 + k) * 3}") for k in range(4)]
+    rows += [(10, None), (11, ""), (12, rows[0][1]), (13, "Shared words 12:09 go on and on for ever"), (13, "Shared words 12:09 go on and on for ever")]
+    got = {r.doc_id: r for r in template_dedup(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("clash"))).collect()}
+    assert got[0].text == got[12].text == rows[0][1] and got[0].dropped_lines == []
+    for k in (1, 2, 3):
+        lines = rows[k][1].split("\n")
+        assert got[k].text == "\n".join([lines[0], lines[2], lines[3]]) and got[k].dropped_lines == [1] and got[k].n_lines == 3
+    assert got[10].text is None and got[11].text == "" and got[13].text == ""
+    assert template_dedup(docs).count() == docs.count() and template_dedup(docs.limit(0)).count() == 0
+
+
+# --- near-dedup
+
+
+def plain_groups(corpus, width=5, least=0.8):
+    def shingles(t):
+        w = WORD.findall(t or "")
+        return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+    sets = [shingles(t) for _, t, *_ in corpus]
+    up = list(range(len(corpus)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(corpus)):
+        for j in range(i):
+            same = (corpus[i][1] or "") == (corpus[j][1] or "")
+            if same or (sets[i] and sets[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])):
+                up[top(i)] = top(j)
+    out = collections.defaultdict(list)
+    for k in range(len(corpus)):
+        out[top(k)].append(corpus[k][0])
+    return out.values()
+
+
+def test_near_duplicates(docs, corpus):
+    from rillflow.llm.neardup import deduplicated, near_duplicates
+
+    rows = near_duplicates(docs).collect()
+    truth = collections.Counter()
+    for group in plain_groups(corpus):
+        for i in group:
+            truth[i, min((x for x in group if x is not None), default=None)] += 1
+    assert collections.Counter((r.doc_id, r.component_id) for r in rows) == truth
+    groups = len(plain_groups(corpus))
+    assert sum(r.kept for r in rows) == groups
+    out = deduplicated(docs)
+    assert out.columns == docs.columns and out.count() == groups
+    assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_full_comparison_in_blocks(spark, words, monkeypatch):
+    """A chain of near copies, each like its neighbours only, in small blocks and without leaders."""
+    from rillflow.llm import neardup
+
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = random.Random(9)
+    base = rng.choices(words, k=120)
+    texts = []
+    for k in range(20):
+        base = list(base)
+        base[(k * 7) % 110] = f"w{k}"
+        texts.append(" ".join(base))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = neardup.near_duplicates(df, bands=30, rows=2, rounds=1).collect()
+    assert {r.component_id for r in found} == {min(g) for g in plain_groups([(k, t) for k, t in enumerate(texts)])}
+
+
+def test_probminhash_estimates_jaccard():
+    from rillflow.llm.probminhash import jaccard, shingles, signatures
+
+    rng = random.Random(4)
+    w = [f"w{k}" for k in range(500)]
+    a = rng.choices(w, k=200)
+    b = a[:150] + rng.choices(w, k=50)
+    texts = pa.array([" ".join(a), " ".join(b), "", "one"])
+    v, t, c = shingles(texts, 5)
+    sig = signatures(v, t, c.astype(float), 4, 2000)
+    true = jaccard(texts.take(pa.array([0])), texts.take(pa.array([1])), 5)[0]
+    assert abs((sig[0] == sig[1]).mean() - true) < 0.05 and not sig[2].any() and len(set(sig[3].tolist())) == 1
+
+
+def test_components(spark):
+    from rillflow.llm.common import components
+
+    rng = random.Random(8)
+    edges = [(k, k + 1) for k in range(60)] + [(100 + rng.randint(0, 40), 100 + rng.randint(0, 40)) for _ in range(30)]
+    up = {x: x for e in edges for x in e}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: top(x) for x in linked}
+
+
+# --- embeddings
+
+
+@pytest.mark.parametrize("most_members", [4096, 40])
+def test_embeddings(spark, most_members):
+    from rillflow.llm.embeddup import linked
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 16))
+    x[100:140] = x[0] + rng.normal(scale=0.1, size=(40, 16))
+    x[140:150] = x[1]
+    x[150] = 3 * x[2]
+    rows = [(k, [float(np.float32(v)) for v in r]) for k, r in enumerate(x)]
+    odd = [(400, None), (401, [0.0] * 16), (402, [float("nan")] + [1.0] * 15), (403, [None] + [1.0] * 15), (404, [1.0] * 3), (405, []), (406, [float("inf")] + [1.0] * 15), (5, rows[5][1]), (None, rows[6][1])]
+    df = spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<float>")
+    got = linked(df, cell=60, most_members=most_members).collect()
+    good = [*rows, odd[-2], odd[-1]]
+    m = np.array([r[1] for r in good])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    near = m @ m.T >= 0.9
+    comp = list(range(len(good)))
+    for _ in range(5):
+        comp = [min(comp[j] for j in np.flatnonzero(near[k])) for k in range(len(good))]
+    ids = [g[0] for g in good]
+    least = {c: min((ids[k] for k in range(len(good)) if comp[k] == c and ids[k] is not None), default=None) for c in set(comp)}
+    truth = collections.Counter((ids[k], int(near[k].sum()) - 1, least[comp[k]]) for k in range(len(good)))
+    truth.update((i, 0, i) for i, _ in odd[:7])
+    assert collections.Counter((r.vec_id, r.n_links, r.component_id) for r in got) == truth
+    assert linked(df.limit(0)).count() == 0
+    assert linked(spark.createDataFrame(odd[:2], df.schema)).count() == 2
+
+
+# --- classifier, packing
+
+
+def test_classifier(spark, words):
+    from rillflow.llm.quality import classified
+
+    rng = random.Random(7)
+    good, bad = words[:200], [w.upper() + "!!" for w in words[200:260]]
+    rows = [(k, " ".join(rng.choices(good if k % 3 else bad, k=60))) for k in range(600)] + [(900, None), (901, ""), (902, "x " * 3000), (None, "null key")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(600)] + [(7, None), (9999, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in classified(docs, labels).collect()}
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
+    held = [r for i, r in got.items() if i is not None and i < 600 and zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(r.held_out for r in held) and np.mean([r.predicted == (r.doc_id % 3 > 0) for r in held]) > 0.97
+    assert {r.score for r in classified(docs, labels.limit(0)).collect()} == {0.5}
+    assert classified(docs.limit(0), labels).count() == 0
+
+
+def test_best_fit():
+    from rillflow.llm.packing import best_fit
+
+    rng = random.Random(1)
+    lengths = [rng.randint(0, 50) for _ in range(300)]
+    rows = best_fit(np.array(lengths), 50)
+    assert sorted(k for r in rows for k in r) == list(range(300)) and all(sum(lengths[k] for k in r) <= 50 for r in rows)
+    left, truth = [], []
+    for k in sorted(range(300), key=lambda k: (-lengths[k], k)):
+        fits = [x for x in left if x >= lengths[k]]
+        if fits:
+            left.remove(min(fits))
+        left.append((min(fits) if fits else 50) - lengths[k])
+        truth.append(k)
+    assert sorted(50 - sum(lengths[k] for k in r) for r in rows) == sorted(left)
+
+
+def test_packing_is_lossless(docs, corpus, spark, tmp_path):
+    from rillflow.llm.bpe import encode
+    from rillflow.llm.packing import encoded_and_packed, matrices, packed_rows, unpacked_documents, write_matrices
+
+    own = spark.createDataFrame([r for r in corpus if r[0] is not None and r is not corpus[-2]], docs.schema)
+    ids = encode(own, tokenizer_path())
+    rows = packed_rows(ids, 64)
+    truth = {r.doc_id: bytes(r.ids) for r in ids.collect()}
+    assert {r.doc_id: bytes(r.ids) for r in unpacked_documents(rows).collect()} == truth
+    for r in rows.collect():
+        positions = np.frombuffer(r.positions, "<i4")
+        assert len(r.ids) == 4 * 64 and r.cu_seqlens[-1] == r.n_tokens <= 64
+        for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:], strict=False):
+            assert positions[a:b].tolist() == list(range(b - a))
+    write_matrices(rows, str(tmp_path / "m"), capacity=64, height=8)
+    got = spark.read.parquet(str(tmp_path / "m")).collect()
+    assert sum(r.height for r in got) == rows.count() and all(len(r.ids) == 4 * 64 * r.height for r in got)
+    assert encoded_and_packed(docs.limit(0), tokenizer_path()).count() == 0 and matrices(rows.limit(0)).count() == 0
+
+
+# --- pipeline
+
+
+def test_pipeline(spark, docs, tmp_path):
+    import corpus_pipeline as P
+
+    folder = str(tmp_path)
+    table = docs.withColumn("n_chars", F.length("text").cast("long"))
+    table.write.parquet(f"{folder}/documents.parquet")
+    now = spark.read.parquet(f"{folder}/documents.parquet")
+    for k, (name, stage) in enumerate(P.STAGES):
+        out = stage(spark, now, folder)
+        if k < len(P.STAGES) - 1:
+            assert out.columns == table.columns, name
+        out.write.parquet(f"{folder}/{k}")
+        now = spark.read.parquet(f"{folder}/{k}")
+    assert now.count() == P.run(spark, folder).count() > 0
+    kept = spark.read.parquet(f"{folder}/0")
+    assert kept.filter("size(split(text, ' ')) < 5").count() == 0
+    assert spark.read.parquet(f"{folder}/2").count() < spark.read.parquet(f"{folder}/1").count()
