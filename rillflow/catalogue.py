@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow import operators as O
-from rillflow.functions import dates, graph, strings, texts, udf_of
+from rillflow.functions import dates, domain, graph, strings, texts, udf_of
 from rillflow.operators import Chain, aggs
 from rillflow.ordered import numbered
 
@@ -324,6 +324,38 @@ def conversation_merge(spark, d):
     return rows.select("conv_id", F.array_join(F.transform("r", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("v"))
 
 
+# --- particular fields
+
+functions_of("arxiv_ids", "part", {"id": lambda: domain.arxiv_int_id(F.format_string("2501.%05d", c("p_partkey"))), "name": lambda: domain.arxiv_make_id(F.format_string("2501.%05dv2.pdf", c("p_partkey")), False), "pdf": lambda: domain.url4pdf(c("p_brand"))}, "SELECT p_partkey, 250100000 + p_partkey AS id, 'arxiv:2501.' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') AS name, 'http://arxiv.org/pdf/' || p_brand AS pdf FROM part", ("p_partkey",))
+functions_of("code_urls", "supplier", {"zip": lambda: domain.code_url(F.concat(F.lit("https://github.com/u/r"), c("s_suppkey").cast("string"))), "raw": lambda: domain.code_url(F.concat(F.lit("https://github.com/u/r/blob/main/f"), c("s_suppkey").cast("string"), F.lit(".py"))), "file": lambda: domain.code_filename(F.lit("https://github.com/u/r/blob/main/a/f.py"))}, "SELECT s_suppkey, 'https://github.com/u/r' || CAST(s_suppkey AS VARCHAR) || '/archive/refs/heads/master.zip' AS zip, 'https://raw.githubusercontent.com/u/r/main/f' || CAST(s_suppkey AS VARCHAR) || '.py' AS raw, 'code.py' AS file FROM supplier", ("s_suppkey",))
+functions_of("entity_types", "nation", {"t": lambda: domain.normal_type(F.when(c("n_regionkey") == 0, "PER").when(c("n_regionkey") == 1, "ORG").otherwise("Date"))}, "SELECT n_name, CASE n_regionkey WHEN 0 THEN 'human' WHEN 1 THEN 'organization' ELSE 'date' END AS t FROM nation", ("n_name",))
+
+
+@query("SELECT event_type AS key, row_number() OVER (ORDER BY min(event_id)) - 1 AS id FROM events GROUP BY 1")
+def string_ids(spark, d):
+    return domain.string_ids(table(spark, d, "events"), "event_type", "event_id")
+
+
+@query("SELECT s_suppkey, s_name AS url, CAST(s_suppkey * 10 AS BIGINT) AS file_size FROM supplier")
+def file_list(spark, d):
+    lines = table(spark, d, "supplier").select(F.concat((F.col("s_suppkey") * 10).cast("string"), F.lit(" x "), F.col("s_name"), F.lit(" "), F.col("s_suppkey").cast("string")).alias("value"))
+    out = domain.file_list(lines)
+    return out.select((F.col("file_size") / 10).cast("long").alias("s_suppkey"), "url", "file_size")
+
+
+@query("SELECT p_partkey * 100 + k AS _id, k AS index, CAST(p_partkey AS VARCHAR) AS paper_id, 'x' AS paper_store_path, w AS data FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, CAST(generate_subscripts(string_split(p_name, ' '), 1) - 1 AS INTEGER) AS k FROM part)")
+def paper_parts(spark, d):
+    df = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("_id"), F.lit("x").alias("store_path"), F.split("p_name", " ").alias("images"))
+    return domain.image_list(df)
+
+
+@query("SELECT s_suppkey, n_name, CASE WHEN n_name LIKE 'A%' THEN 1.0::DOUBLE END AS lat, CASE WHEN n_name LIKE 'A%' THEN 2.0::DOUBLE END AS lon FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name LIKE 'A%'")
+def centroid(spark, d):
+    places = spark.createDataFrame([("A", 1.0, 2.0)], "name string, lat double, lon double")
+    df = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name").filter("n_name LIKE 'A%'")
+    return domain.centroid(df, "n_name", places)
+
+
 # --- flows
 
 

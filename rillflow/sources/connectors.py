@@ -237,3 +237,35 @@ class Kafka(Database):
         if df.isStreaming:
             return out.writeStream.format("kafka").options(**self.options).option("topic", self.topic).option("checkpointLocation", checkpoint).start()
         return out.write.format("kafka").options(**self.options).option("topic", self.topic).save()
+
+
+# --- the same as functions, for flows
+
+
+def tables(spark: SparkSession, db: Database) -> DataFrame:
+    return db.list_tables(spark)
+
+
+def scroll(spark: SparkSession, db: Database, **options) -> DataFrame:
+    return db.scroll(spark, **options)
+
+
+def search(spark: SparkSession, db: Database, **options) -> DataFrame:
+    return db.search(spark, **options)
+
+
+def upsert(df: DataFrame, db: Database, **options) -> DataFrame:
+    db.upsert(df, **options)
+    return df
+
+
+def exists(df: DataFrame, db: Database, key: str, **options) -> DataFrame:
+    return db.exists(df, key, **options)
+
+
+def get(df: DataFrame, db: Database, key: str, **options) -> DataFrame:
+    return db.get(df, key, **options)
+
+
+def delete(spark: SparkSession, db: Database, ids: list, **options) -> None:
+    db.delete(spark, ids, **options)
