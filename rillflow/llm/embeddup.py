@@ -185,3 +185,16 @@ def linked(table: DataFrame, key: str = "vec_id", embedding: str = "embedding",
     named = named.join(groups, "root").select("node", "n_links", "component_id")
     out = good.select("vec_id", "node").join(named, "node").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
     return out.unionByName(alone).withColumn("recall", F.lit(recall))
+
+
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.9
+), reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), degree AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT r.a AS vec_id, coalesce(max(d.n), 0) AS n_links, min(r.b) AS component_id, min(r.b) = r.a AS kept, 1.0::DOUBLE AS recall
+FROM reached r LEFT JOIN degree d ON d.a = r.a GROUP BY r.a
+"""

@@ -65,3 +65,34 @@ def template_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", dep
     left = F.when(F.col("dropped_lines").isNull(), F.col(text)).otherwise(F.array_join(F.filter(split, lambda line, at: ~F.array_contains(F.col("dropped_lines"), at)), "\n"))
     count = F.coalesce(F.size(F.filter(split, lambda line: line.rlike(r"\S"))), F.lit(0)).cast("long")
     return out.select(*[left.alias(c) if c == text else F.col(f"`{c}`") for c in columns], count.alias("n_lines"), F.coalesce("dropped_lines", F.array().cast("array<int>")).alias("dropped_lines"))
+
+
+SQL = r"""
+WITH l AS (
+  SELECT doc_id, text, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS pos, unnest(string_split(text, chr(10))) AS raw FROM documents WHERE text IS NOT NULL
+), t AS (
+  SELECT doc_id, text, pos, list_transform(list_filter(regexp_split_to_array(raw, '\s+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l
+), m AS (
+  SELECT *, len(w) AS n, array_to_string(w, ' ') AS line, array_to_string(w[1:3], ' ') AS head FROM t WHERE len(w) > 0
+), shared AS (
+  SELECT n, head FROM m GROUP BY 1, 2 HAVING count(DISTINCT text) > 1
+), held AS (
+  SELECT m.* FROM m JOIN shared USING (n, head)
+), leader AS (
+  SELECT n, head, min(line) AS lead FROM held GROUP BY 1, 2
+), named AS (
+  SELECT held.*, CASE WHEN list_sum(list_transform(list_zip(held.w, string_split(lead, ' ')), lambda p: CASE WHEN p[1] = p[2] THEN 1 ELSE 0 END)) >= 0.85::DOUBLE * n THEN lead || chr(1) ELSE line END AS template
+  FROM held JOIN leader USING (n, head)
+), recurring AS (
+  SELECT n, head, template, arg_min(text, doc_id) AS keeper FROM named GROUP BY 1, 2, 3 HAVING count(DISTINCT text) >= 3
+), dropped AS (
+  SELECT doc_id, named.text, list_sort(list(DISTINCT pos)) AS gone FROM named JOIN recurring USING (n, head, template) WHERE named.text <> keeper GROUP BY 1, 2
+), lines AS (
+  SELECT d.doc_id, d.text, x.gone, string_split(d.text, chr(10)) AS all_lines FROM documents d LEFT JOIN dropped x ON d.doc_id = x.doc_id AND d.text = x.text
+)
+SELECT doc_id,
+  CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(len(all_lines)), lambda k: NOT list_contains(gone, CAST(k AS INTEGER))), lambda k: all_lines[k + 1]), chr(10)) END AS text,
+  CAST(coalesce(len(list_filter(all_lines, lambda x: regexp_matches(x, '\S'))), 0) AS BIGINT) AS n_lines,
+  coalesce(array_to_string(gone, ','), '') AS dropped_lines
+FROM lines
+"""

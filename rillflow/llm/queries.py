@@ -58,9 +58,11 @@ def op7_quality(spark, d):
 
 
 def op8_lines(spark, d):
+    from pyspark.sql import functions as F
+
     from rillflow.llm.lines import template_dedup
 
-    return template_dedup(documents(spark, d).select("doc_id", "text"))
+    return template_dedup(documents(spark, d).select("doc_id", "text")).withColumn("dropped_lines", F.array_join("dropped_lines", ","))
 
 
 def op9_packing(spark, d):
@@ -89,6 +91,6 @@ def queries():
 
 
 def oracle_sql():
-    from rillflow.llm import mixing
+    from rillflow.llm import embeddup, lines, mixing
 
-    return {"op5_mixing": mixing.SQL}
+    return {"op1_embeddings": embeddup.SQL, "op5_mixing": mixing.SQL, "op8_lines": lines.SQL}
