@@ -267,6 +267,9 @@ functions_of("html_text", "pages", {"t": lambda: udf_of(texts.html_text)(c("html
 functions_of("html_content", "pages", {"t": lambda: udf_of(texts.html_content)(c("html"))["content"]}, None, ("page_id",))
 functions_of("html_article", "pages", {"t": lambda: udf_of(texts.html_article)(c("html"))["title"]}, None, ("page_id",))
 functions_of("html_elements", "pages", {"n": lambda: F.size(udf_of(texts.html_elements)(c("html"))).cast("long")}, None, ("page_id",))
+functions_of("chunk_by_title", "pages", {"n": lambda: F.size(udf_of(texts.chunk_by_title)(udf_of(texts.html_elements)(c("html")))).cast("long")}, None, ("page_id",))
+functions_of("text_elements", "documents", {"n": lambda: F.size(udf_of(texts.text_elements)(c("text"))).cast("long")}, None, ("doc_id",))
+functions_of("detect_language", "documents", {"l": lambda: udf_of(texts.detect_language)(c("text"))}, None, ("doc_id",))
 functions_of("sentiment_vote", "events", {"s": lambda: strings.sent2text_sentiment(F.array(F.when(c("value") > 50, "positive").otherwise("negative"), F.when(c("value") > 75, "positive").otherwise("negative"), F.lit("neutral")))}, "SELECT event_id, CASE WHEN value > 75 THEN 'positive' WHEN value > 50 THEN 'neutral' ELSE 'negative' END AS s FROM events", ("event_id",))
 
 # --- graphs, joins, vectors

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from rillflow.records import ORD, plain
 
-__all__ = ["CSV", "EML", "PDF", "WET", "Archive", "Array", "BinaryFile", "Directory", "Docx", "Excel", "ExcelStream", "FunctionSource", "GdeltTable", "Json", "JsonArray", "JsonFree", "JsonLine", "MultiLoader", "PPTX", "Parquet", "Random", "Rar", "SevenZip", "Source", "String", "Tar", "Text", "TextPlain", "TimedLoader", "Warc", "WikiXml", "WikidataDump", "Yaml", "Zip", "file_source", "parse_files"]
+__all__ = ["CSV", "EML", "MSG", "OST", "PDF", "PPT", "PST", "WET", "Archive", "Array", "BinaryFile", "Directory", "Doc", "Docx", "Excel", "ExcelStream", "FunctionSource", "GdeltTable", "Input", "Json", "JsonArray", "JsonFree", "JsonLine", "MultiLoader", "PPTX", "Parquet", "QueueLoader", "Random", "Rar", "SevenZip", "Source", "String", "Tar", "Text", "TextPlain", "TimedLoader", "Warc", "WikiXml", "WikidataDump", "Yaml", "Zip", "file_source", "parse_files"]
 
 
 class Source:
@@ -241,7 +241,7 @@ SUFFIXES = {"txt": Text, "csv": CSV, "tsv": CSV, "json": Json, "jsonl": JsonLine
 
 def file_source(kind: str, *args, **kwargs) -> Source:
     """The source of a suffix."""
-    more = {"eml": EML, "zip": Zip, "tar": Tar, "7z": SevenZip, "xls": Excel, "xlsx": Excel, "docx": Docx, "pptx": PPTX, "pdf": PDF, "warc": Warc, "wet": WET}
+    more = {"doc": Doc, "ppt": PPT, "pst": PST, "ost": OST, "msg": MSG, "rar": Rar, "eml": EML, "zip": Zip, "tar": Tar, "7z": SevenZip, "xls": Excel, "xlsx": Excel, "docx": Docx, "pptx": PPTX, "pdf": PDF, "warc": Warc, "wet": WET}
     return {**SUFFIXES, **more}[kind.lstrip(".").lower()](*args, **kwargs)
 
 
@@ -388,6 +388,98 @@ class PPTX(_File):
         return parse_files(spark, self.path, rows, "filename string, page int, content array<string>")
 
 
+def converted(content: bytes, suffix: str, to: str) -> bytes:
+    """An old office file in another format, by the office suite that must be on the executors."""
+    import subprocess
+    import tempfile
+    from pathlib import Path
+
+    with tempfile.TemporaryDirectory() as d:
+        old = Path(d, f"in{suffix}")
+        old.write_bytes(content)
+        subprocess.run(["soffice", "--headless", "--convert-to", to, "--outdir", d, str(old)], check=True, capture_output=True, timeout=300)
+        return Path(d, f"in.{to}").read_bytes()
+
+
+class Doc(_File):
+    """As Docx, for files that are converted first."""
+
+    def __call__(self, spark):
+        def rows(name, content):
+            for _, texts in office_texts(converted(content, ".doc", "docx"), r"word/document\.xml", "p"):
+                for t in texts:
+                    if t.strip():
+                        yield {"filename": name.rsplit("/", 1)[-1], "style": None, "text": t}
+
+        return parse_files(spark, self.path, rows, "filename string, style string, text string")
+
+
+class PPT(_File):
+    """As PPTX, for files that are converted first."""
+
+    def __call__(self, spark):
+        def rows(name, content):
+            for k, (_, texts) in enumerate(office_texts(converted(content, ".ppt", "pptx"), r"ppt/slides/slide\d+\.xml", "p"), 1):
+                yield {"filename": name.rsplit("/", 1)[-1], "page": k, "content": [t for t in texts if t.strip()]}
+
+        return parse_files(spark, self.path, rows, "filename string, page int, content array<string>")
+
+
+class PST(_File):
+    """The mails of a mailbox file, through readpst, which must be on the executors."""
+
+    def __call__(self, spark):
+        def rows(name, content):
+            import subprocess
+            import tempfile
+            from pathlib import Path
+
+            with tempfile.TemporaryDirectory() as d:
+                box = Path(d, "in.pst")
+                box.write_bytes(content)
+                subprocess.run(["readpst", "-e", "-o", d, str(box)], check=True, capture_output=True)
+                for f in sorted(Path(d).rglob("*.eml")):
+                    yield mail(f.read_bytes())
+
+        return parse_files(spark, self.path, rows, MAIL)
+
+
+OST = PST
+
+
+class MSG(_File):
+    """Outlook messages; needs extract_msg on the executors."""
+
+    def __call__(self, spark):
+        def rows(name, content):
+            import extract_msg
+
+            return [mail(extract_msg.openMsg(content).asEmailMessage().as_bytes())]
+
+        return parse_files(spark, self.path, rows, MAIL)
+
+
+class QueueLoader(Source):
+    """What a list holds; the list is emptied."""
+
+    def __init__(self, queue: list):
+        self.queue = queue
+
+    def __call__(self, spark):
+        held = [self.queue.pop(0) for _ in range(len(self.queue))]
+        return Array(held)(spark)
+
+
+class Input(Source):
+    """Lines from the terminal up to exit; blank ones are skipped."""
+
+    def __init__(self, msg: str | None = None):
+        self.msg = msg or ""
+
+    def __call__(self, spark):
+        return Array([x for x in iter(lambda: input(self.msg), "exit") if x.strip()])(spark)
+
+
 class PDF(_File):
     """A row for each page: {page, content}; needs pypdf on the executors."""
 

@@ -82,3 +82,11 @@ def test_triples(spark):
     t = spark.createDataFrame([(0, "x", "a", "1"), (1, "x", "a", "2"), (2, "y", "b", "3"), (3, "x", "a", "4")], "o int, n string, p string, v string")
     out = graph.triplets2dict(t, "n", "p", "v", "o").collect()
     assert sorted((r["_name"], str(dict(r.properties))) for r in out) == [("x", "{'a': ['1', '2']}"), ("x", "{'a': ['4']}"), ("y", "{'b': ['3']}")]
+
+
+def test_elements():
+    elements = texts.text_elements("A Title\n\nSome text that ends here.\n\n- item\n\nOther Title\n\nMore text.")
+    assert [e["type"] for e in elements] == ["Title", "NarrativeText", "ListItem", "Title", "NarrativeText"]
+    assert len(texts.chunk_by_title(elements)) == 2
+    assert all(len(x) <= 20 for x in texts.chunk_elements(elements, 20))
+    assert texts.detect_language("der Hund und die Katze") == "de" and texts.detect_language("123") is None
