@@ -4,15 +4,17 @@
 white space dropped). Three steps:
 
 1. Tasks split their texts into words and write one row per block of texts: the words by code, and each text as codes.
-   A block is named by a digest of its content, so a task that runs again names it alike.
+   A block is named by a digest of its content, so a task that runs again names it alike. Tasks that run again must see
+   the same rows in the same order, as they do when the texts are read from files.
 2. The words of all blocks are dealt by their hash over parts; a part holds a word from every block that has it, encodes
    it once and answers every block. Words travel packed, one array for each block and part.
 3. A block meets its answers again and puts the ids in place of the codes, by position.
 
 ``decode`` turns ids into text by a lookup of id to piece; a tokenizer without a decoder joins pieces with a blank.
 
-Splitting follows the file's normaliser and pattern. Texts of common Latin characters are split by one regular
-expression; all others go through the library's own normaliser and splitter, as do texts with a special token's string.
+Splitting follows the file's normaliser and pattern. Texts of common Latin characters are cut at white space, in Arrow,
+and each distinct word once more by one regular expression; all others go through the library's own normaliser and
+splitter, as do texts with a special token's string.
 
 Defined results: a null text counts as an empty one; an empty text has no tokens. Texts of any length are read whole.
 Equal rows get equal results, each its own row. Extra columns are not carried; the key column may be null.
@@ -26,11 +28,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import checkpointed, parts_for, text_chunks
+from rillflow.llm.common import checkpointed, parts_for, split_words, text_chunks
 
 #: Text in a block at most, in bytes; a longer text is a block of its own.
 BLOCK_BYTES = 20_000_000
@@ -66,8 +69,6 @@ class WordBPE:
 
     def words(self, text: str) -> list[str]:
         """The words that the file's normaliser and splitter make of a text."""
-        if PLAIN.fullmatch(text) and "<|" not in text:
-            return SPLIT.findall(text.lower())
         out = []
         for k, part in enumerate(self.marks.split(text)):
             if k % 2:
@@ -77,11 +78,13 @@ class WordBPE:
                     out.append(bytes(self.bytes[c] for c in piece).decode("utf-8", "surrogatepass"))
         return out
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word."""
+    def encode_word(self, word: str) -> list[int]:
+        """The ids of a word, or of the words within what stands between white space of a plain text."""
+        if word.startswith(SPECIAL):
+            return [self.special[word[len(SPECIAL) :]]]
         letters = byte_letters()
-        model = self.tok.model
-        return [[self.special[w[len(SPECIAL) :]]] if w.startswith(SPECIAL) else [t.id for t in model.tokenize("".join(letters[b] for b in w.encode("utf-8", "surrogatepass")))] for w in words]
+        own = SPLIT.findall(word.lower()) if PLAIN.fullmatch(word) else [word]
+        return [t.id for w in own for t in self.tok.model.tokenize("".join(letters[b] for b in w.encode("utf-8", "surrogatepass")))]
 
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(self.pieces[ids])
@@ -105,6 +108,26 @@ def unpacked(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def block_words(bpe: WordBPE, texts: pa.Array) -> tuple[np.ndarray, list[int], list[str]]:
+    """Codes of the words of all texts, how many each text has, and the words.
+
+    Nothing of the file's splitting reaches over white space, so plain texts are cut there, and within a word once it
+    is encoded.
+    """
+    plain = pc.and_(pc.match_substring_regex(texts, f"^(?:{PLAIN.pattern})$"), pc.invert(pc.match_substring(texts, "<|")))
+    codes, offsets, dictionary = split_words(pc.if_else(plain, texts, ""))
+    words, lengths = dictionary.to_pylist(), np.diff(offsets)
+    odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+    if len(odd):
+        seen = {w: k for k, w in enumerate(words)}
+        pieces = np.split(codes, offsets[1:-1])
+        for k in odd.tolist():
+            pieces[k] = np.array([seen.setdefault(w, len(seen)) for w in bpe.words(texts[k].as_py())], dtype=np.int64)
+            lengths[k] = len(pieces[k])
+        codes, words = np.concatenate(pieces), list(seen)
+    return codes, lengths.tolist(), words
+
+
 def code_blocks(docs: DataFrame, key: str, text: str, path: str, parts: int) -> DataFrame:
     """(block, part, data): part -1 holds the texts as codes, part p the words of the block that hash to p."""
 
@@ -112,24 +135,18 @@ def code_blocks(docs: DataFrame, key: str, text: str, path: str, parts: int) ->
         bpe = WordBPE.at(path)
         for batch in batches:
             for at, stop in text_chunks(batch.column(1), BLOCK_BYTES):
-                seen: dict[str, int] = {}
-                codes, lengths = [], []
-                for t in batch.column(1).slice(at, stop - at):
-                    own = [seen.setdefault(w, len(seen)) for w in bpe.words(t.as_py() or "")]
-                    codes.append(np.array(own, dtype=np.int32))
-                    lengths.append(len(own))
-                words = list(seen)
+                texts = pc.fill_null(batch.column(1).slice(at, stop - at), "")
+                codes, lengths, words = block_words(bpe, texts)
                 # by part, and in order within it, so that a position in the answer tells the word
                 part = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % parts for w in words), dtype=np.int64, count=len(words))
                 ranked = sorted(range(len(words)), key=lambda k: (part[k], words[k]))
                 place = np.empty(len(words), dtype=np.int32)
                 place[ranked] = np.arange(len(words), dtype=np.int32)
                 # frequent words get the small codes, which pack well; where each stands among the answers goes along
-                flat = np.concatenate(codes)
-                often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+                often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
                 code = np.empty(len(words), dtype=np.int32)
                 code[often] = np.arange(len(words), dtype=np.int32)
-                coded, places = packed(code[flat]), packed(place[often])
+                coded, places = packed(code[codes]), packed(place[often])
                 keys = batch.column(0).slice(at, stop - at)
                 name = hashlib.blake2b(coded + repr(keys.to_pylist()).encode() + repr(lengths).encode() + "\x01".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 rows = [(-1, coded, lengths, keys.to_pylist(), places)]
@@ -137,35 +154,39 @@ def code_blocks(docs: DataFrame, key: str, text: str, path: str, parts: int) ->
                 for p in range(parts):
                     if bounds[p] < bounds[p + 1]:
                         own = [words[k].encode("utf-8", "surrogatepass") for k in ranked[bounds[p] : bounds[p + 1]]]
-                        rows.append((p, zstandard.ZstdCompressor(level=3).compress(b"".join(own)), [len(w) for w in own], [], b""))
+                        rows.append((p, zstandard.ZstdCompressor(level=3).compress(b"".join(own)), [], [], packed(np.array([len(w) for w in own]))))
                 yield pa.RecordBatch.from_pydict({"block": pa.array([name] * len(rows), pa.binary()), "part": pa.array([r[0] for r in rows], pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary()), "lengths": pa.array([r[2] for r in rows], pa.list_(pa.int32())), "keys": pa.array([r[3] for r in rows], pa.list_(pa.int64())), "places": pa.array([r[4] for r in rows], pa.binary())})
 
     return docs.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`")).mapInArrow(split, "block binary, part int, data binary, lengths array<int>, keys array<long>, places binary")
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", finish=None, schema: str = "doc_id long, ids binary") -> DataFrame:
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", finish=None, schema: str = "doc_id long, ids binary", twice: bool = False) -> DataFrame:
     """One row per text: the key and its ids as little-endian unsigned 32-bit integers.
 
     finish: makes the columns of a block's texts from (keys, list of id arrays), to spare a second pass; with schema.
+    twice: split the texts once for their words and once more for their codes, and not keep both in a checkpoint: half the
+    disk for more CPU time. Only for texts as read from files, which have the same order each time.
     """
     parts = parts_for(docs)
-    blocks = checkpointed(code_blocks(docs, key, text, path, parts))
+    blocks = code_blocks(docs, key, text, path, parts).withColumn("key", F.when(F.col("part") < 0, F.hex("block")).otherwise(F.col("part").cast("string")))
+    if not twice:
+        blocks = checkpointed(blocks)
 
     def answer(key, table):
         bpe = WordBPE.at(path)
         groups = []
-        for data, lengths in zip(table.column("data").to_pylist(), table.column("lengths").to_pylist(), strict=True):
-            raw, ends = zstandard.ZstdDecompressor().decompress(data), np.cumsum(lengths)
-            groups.append([raw[e - n : e].decode("utf-8", "surrogatepass") for e, n in zip(ends, lengths, strict=True)])
-        words = list(dict.fromkeys(w for g in groups for w in g))
-        ids = dict(zip(words, bpe.encode_words(words), strict=True))
+        for data, lengths in zip(table.column("data").to_pylist(), table.column("places").to_pylist(), strict=True):
+            raw, sizes = zstandard.ZstdDecompressor().decompress(data), unpacked(lengths).tolist()
+            ends = np.cumsum(sizes).tolist()
+            groups.append([raw[e - n : e].decode("utf-8", "surrogatepass") for e, n in zip(ends, sizes, strict=True)])
+        ids = {w: bpe.encode_word(w) for w in dict.fromkeys(w for g in groups for w in g)}
         out, counts = [], []
         for g in groups:
-            counts.append([len(ids[w]) for w in g])
+            counts.append(packed(np.array([len(ids[w]) for w in g])))
             out.append(packed(np.array([i for w in g for i in ids[w]], dtype=np.uint32)))
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "data": pa.array(out, pa.binary()), "lengths": pa.array(counts, pa.list_(pa.int32()))})
+        return pa.table({"key": [b.hex().upper() for b in table.column("block").to_pylist()], "part": table.column("part"), "data": pa.array(out, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
-    answers = blocks.filter("part >= 0").select("block", "part", "data", "lengths").groupBy("part").applyInArrow(answer, "block binary, part int, data binary, lengths array<int>")
+    answers = blocks.filter("part >= 0").groupBy("key").applyInArrow(answer, "key string, part int, data binary, counts binary")
 
     def default(keys, ids):
         return pa.table({"doc_id": pa.array(keys, pa.int64()), "ids": pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())})
@@ -173,13 +194,16 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     def placed(left, right):
         made = finish or default
         right = right.sort_by("part")
-        data, counts = right.column("data").to_pylist(), right.column("lengths").to_pylist()
+        data, counts = right.column("data").to_pylist(), right.column("counts").to_pylist()
         ids = np.concatenate([np.zeros(0, np.uint32), *(unpacked(x) for x in data)])
-        count = np.array([n for c in counts for n in c], dtype=np.int64)
+        count = np.concatenate([np.zeros(0, np.int64), *(unpacked(x).astype(np.int64) for x in counts)])
         first = np.concatenate([[0], np.cumsum(count)])[:-1].astype(np.int64) if len(count) else np.zeros(0, np.int64)
         tables = []
         for coded, lengths, keys, places in zip(*(left.column(c).to_pylist() for c in ("data", "lengths", "keys", "places")), strict=True):
-            codes = unpacked(places)[unpacked(coded)]
+            where = unpacked(places)
+            if len(where) != len(count):  # a block that was made again from rows in another order is not mixed up with the first
+                raise RuntimeError("the words of a block of texts are incomplete: read the texts from files")
+            codes = where[unpacked(coded)]
             n = count[codes]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
@@ -189,8 +213,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             tables.append(made(keys, np.split(flat, cut[:-1])))
         return pa.concat_tables(tables)
 
-    texts = blocks.filter("part < 0").select("block", "data", "lengths", "keys", "places")
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(placed, schema)
+    return blocks.filter("part < 0").groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(placed, schema)
 
 
 def encoded_and_decoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -207,7 +230,7 @@ def encoded_and_decoded(docs: DataFrame, path: str, key: str = "doc_id", text: s
             }
         )
 
-    return encode(docs, path, key, text, digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode(docs, path, key, text, digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", twice=True)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
