@@ -33,7 +33,7 @@ from rillflow.llm import ctw
 from rillflow.llm.bpe import packed, unpacked
 from rillflow.llm.common import checkpointed, mixed, parts_for, split_words, text_chunks
 
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 8_000_000
 TEXTS, WORDS, GRAMS = 0, 1, 2
 
 
