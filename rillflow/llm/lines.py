@@ -50,14 +50,17 @@ def template_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", dep
     docs = docs.select(*[F.col(f"`{c}`") for c in columns])
     lines = template_lines(docs, key, text, depth)
     shared = lines.groupBy("_leaf").agg(F.min("_text").alias("_a"), F.max("_text").alias("_b")).filter("_a <> _b").select("_leaf")
+    # written first, so that the join has an exchange on either side, whose large partitions Spark can split
+    shared = checkpointed(shared)
     held = checkpointed(lines.join(shared, "_leaf", "left_semi"))
-    leaders = held.groupBy("_leaf", "_n").agg(F.min("_line").alias("_lead"))
+    leaders = checkpointed(held.groupBy("_leaf", "_n").agg(F.min("_line").alias("_lead")))
     led = held.join(leaders, ["_leaf", "_n"])
     near = (F.col("_line") == F.col("_lead")) | (agreement(F.col("_line"), F.col("_lead")) >= similarity * F.col("_n"))
     named = led.select("_key", "_text", "_pos", F.when(near, F.xxhash64("_leaf", "_lead")).otherwise(F.xxhash64("_leaf", "_line", F.lit("own"))).alias("_template"))
     named = checkpointed(named)
     # a row for each template and text before the texts are counted, so a frequent line is no one task's work
     recurring = named.groupBy("_template", "_text").agg(F.min("_key").alias("_key")).groupBy("_template").agg(F.count(F.lit(1)).alias("_docs"), F.min(F.struct("_key", "_text")).alias("_first")).filter(F.col("_docs") >= min_docs).select("_template", F.col("_first._text").alias("_keeper"))
+    recurring = checkpointed(recurring)
     dropped = named.join(recurring, "_template").filter("_text <> _keeper").groupBy("_key", "_text").agg(F.array_sort(F.collect_set("_pos")).alias("dropped_lines"))
     whole = docs.withColumn("_hash", F.xxhash64(text))
     out = whole.join(dropped, F.col(f"`{key}`").eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_text")), "left")
