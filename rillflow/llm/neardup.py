@@ -152,7 +152,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     links, roots = joined(compared_in_full(rooted(filed, "node", "root"), texts, width, least))
     classes = rooted(signed.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")), "node", "root")
     groups = classes.groupBy("root").agg(F.min("class_id").alias("component_id"), F.min("best")["row"].alias("keeper"))
-    named = classes.join(groups, "root").select("node", "class_id", "component_id", "keeper")
+    # written first, so that the last join has an exchange on either side, whose large partitions Spark can split
+    named = checkpointed(classes.join(groups, "root").select("node", "class_id", "component_id", "keeper"))
     return signed.select("doc_id", "node", "row").join(named, "node").select("doc_id", "node", "class_id", "component_id", (F.col("row") == F.col("keeper")).alias("kept"))
 
 
