@@ -60,4 +60,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:  # what the stage before wrote has been read
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
     return docs
