@@ -1,7 +1,7 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
 1. Equal vectors form a class and are searched once; a class counts as many times as it has rows.
-2. Centres of cells come from a bounded sample (``sample`` vectors, as many centres as make cells of ``cell`` vectors, at most
+2. Centres of cells come from a bounded sample (some ``sample`` vectors, as many centres as make cells of ``cell`` vectors, at most
    ``most_centres``). A vector belongs to the ``overlap`` cells whose centres are nearest. A cell with more members
    than ``most_members`` is dealt over shards by a hash; each of its vectors is still searched in all of them.
 3. Each shard builds its graph. The neighbour lists that a vector has in its shards are united.
@@ -135,9 +135,18 @@ def searched(classes: DataFrame, least: float, centres: np.ndarray, overlap: int
     return found.groupBy("node").agg(F.sum("links").alias("links")), found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def audited(classes: DataFrame, counts: DataFrame, least: float, queries: int) -> float:
+def drawn(classes: DataFrame, count: int, wanted: int, salt: str) -> list:
+    """Some ``wanted`` of ``count`` rows, by a hash: no partition sends the driver more than its share."""
+    h = F.xxhash64("node", F.lit(salt))
+    some = classes.select("node", "embedding", h.alias("h"))
+    if count > wanted:
+        some = some.filter(F.pmod("h", F.lit(1 << 40)) < F.lit(int((1 << 40) * wanted / count)))
+    return sorted(some.collect(), key=lambda r: (r["h"], r["node"]))
+
+
+def audited(classes: DataFrame, counts: DataFrame, least: float, count: int, queries: int) -> float:
     """The share of links, of a drawn sample of vectors to all, that the search has found."""
-    asked = classes.select("node", "times", "embedding").orderBy(F.xxhash64("node", F.lit("audit"))).limit(queries).collect()
+    asked = drawn(classes, count, queries, "audit")
     if not asked:
         return 1.0
     q = V.unit(np.array([r["embedding"] for r in asked], dtype=np.float64))
@@ -171,11 +180,11 @@ def linked(table: DataFrame, key: str = "vec_id", embedding: str = "embedding",
     times = good.groupBy("node").agg(F.count(F.lit(1)).alias("times"), F.min("vec_id").alias("least_id"), F.min("row").alias("first"))
     classes = checkpointed(times.join(good.select("node", F.col("row").alias("first"), "embedding"), ["node", "first"]).select("node", "times", "least_id", "embedding"))
     count = classes.count()
-    drawn = np.array([r["embedding"] for r in classes.select("embedding", F.xxhash64("node", F.lit("sample")).alias("h")).orderBy("h").limit(sample).collect()], dtype=np.float64)
-    centres = centres_of(drawn, min(most_centres, max(1, math.ceil(count / cell))))
+    taught = np.array([r["embedding"] for r in drawn(classes, count, sample, "sample")], dtype=np.float64)
+    centres = centres_of(taught, min(most_centres, max(1, math.ceil(count / cell))))
     while True:
         counts, forest = searched(classes, least, centres, overlap, most_members)
-        recall = audited(classes, counts, least, queries)
+        recall = audited(classes, counts, least, count, queries)
         if recall >= least_recall or overlap >= min(most_overlap, len(centres)):
             break
         overlap += 1
