@@ -8,7 +8,7 @@ the mean and the spread of its words' context vectors, the mean of its shapes',
 The number of slots is fixed, so the table that tasks sum up and later read is bounded, whatever the input: ``SLOTS`` x
 ``SIZE`` numbers of four bytes, 4 MB.
 
-The network (one hidden layer, Adam, numpy) learns from labelled documents, at most ``most_rows`` of them, drawn by a hash
+The network (one hidden layer, Adam, numpy) learns from labelled documents, some ``most_rows`` of them at most, drawn by a hash
 of the key; a fifth of them is set aside, and there one temperature is fitted by which the logits are divided. Labels,
 language, source and key are never inputs.
 
@@ -19,8 +19,6 @@ left out, as is a null label. An empty table gives no rows. Extra columns are no
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,16 +31,15 @@ from rillflow.llm.common import checkpointed, mixed, split_words, text_chunks, w
 CHUNK_BYTES = 3_000_000
 SLOTS, SIZE, RANGES = 1 << 15, 32, 32
 FEATURES = 3 * SIZE + 1
-RUNS = re.compile(r"(.)\1+")
-SHAPE = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "0123456789"}})
+#: What a word's shape keeps of it: fixed values.
+KINDS = ((r"\p{Lu}+", "A"), (r"[\p{Ll}\p{Lo}\p{Lt}\p{Lm}\p{M}]+", "a"), (r"\p{N}+", "0"))
 
 
-def shape(word: str) -> str:
-    """The word's kinds of characters, runs as one."""
-    out = word.translate(SHAPE)
-    if not out.isascii():
-        out = "".join(("A" if c.isupper() else "a") if c.isalpha() else c for c in out)
-    return RUNS.sub(r"\1", out)
+def shapes_of(words: pa.Array) -> pa.Array:
+    """The kinds of characters of each word, runs of letters and of digits as one."""
+    for pattern, mark in KINDS:
+        words = pc.replace_substring_regex(words, pattern, mark)
+    return words
 
 
 def index_vectors(kept: list = []) -> np.ndarray:
@@ -63,8 +60,9 @@ def slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(codes):
         return codes, codes, offsets
     own = (word_hashes(words) % np.uint64(SLOTS)).astype(np.int64)
-    shapes = (word_hashes(pa.array(["\x00" + shape(w) for w in words.to_pylist()])) % np.uint64(SLOTS)).astype(np.int64)
-    return own[codes], shapes[codes], offsets
+    kinds = shapes_of(words).dictionary_encode()
+    shapes = (word_hashes(pc.binary_join_element_wise("\x00", kinds.dictionary, "")) % np.uint64(SLOTS)).astype(np.int64)
+    return own[codes], shapes[kinds.indices.to_numpy()][codes], offsets
 
 
 def near_words(slot: np.ndarray, offsets: np.ndarray, window: int = 2) -> np.ndarray:
@@ -194,8 +192,12 @@ def classified(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     base = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), (F.crc32(name) % modulus == remainder).alias("held_out"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = checkpointed(pooled(base, context_vectors(base)))
     marked = labels.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("y")).filter("y IS NOT NULL")
-    # the drawing of the sample is a top-k by hash: most_rows rows reach the driver at most
-    known = rows.filter("NOT held_out").join(marked, "doc_id").select("features", "y", F.xxhash64("doc_id", "y").alias("h")).orderBy("h").limit(most_rows).select("features", "y").collect()
+    marked = rows.filter("NOT held_out").join(marked, "doc_id").select("features", "y", F.xxhash64("doc_id", "y").alias("h"))
+    there = marked.count()
+    if there > most_rows:
+        # a share by hash, a little under most_rows: no partition sends the driver more than its part
+        marked = marked.filter(F.pmod("h", F.lit(1 << 30)) < F.lit(int((1 << 30) * 0.95 * most_rows / there)))
+    known = sorted(marked.collect(), key=lambda r: (r["h"], r["y"]))
     y = np.array([r["y"] for r in known])
     if len(known) >= 10 and 0 < (y > 0.5).sum() < len(y):
         network = Network(np.stack([np.frombuffer(r["features"], "<f4") for r in known]).astype(np.float64), (y > 0.5).astype(np.float64))
