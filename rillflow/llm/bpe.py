@@ -4,8 +4,9 @@
 white space dropped). Three steps:
 
 1. Tasks split their texts into words and write one row per block of texts: the words by code, and each text as codes.
-   A block is named by a digest of its content, so a task that runs again names it alike. Tasks that run again must see
-   the same rows in the same order, as they do when the texts are read from files.
+   A block is named by a digest of its content, so a task that runs again names it alike, and blocks of equal content share
+   their name and their answers. Tasks that run again must see the same rows in the same order, as they do when the texts
+   are read from files.
 2. The words of all blocks are dealt by their hash over parts; a part holds a word from every block that has it, encodes
    it once and answers every block. Words travel packed, one array for each block and part.
 3. A block meets its answers again and puts the ids in place of the codes, by position.
@@ -128,6 +129,14 @@ def block_words(bpe: WordBPE, texts: pa.Array) -> tuple[np.ndarray, list[int], l
     return codes, lengths.tolist(), words
 
 
+def first_rows(blocks: list[bytes]) -> list[int]:
+    """Where each block first stands; blocks of equal content have one name and need one answer."""
+    seen: dict[bytes, int] = {}
+    for k, name in enumerate(blocks):
+        seen.setdefault(name, k)
+    return list(seen.values())
+
+
 def code_blocks(docs: DataFrame, key: str, text: str, path: str, parts: int) -> DataFrame:
     """(block, part, data): part -1 holds the texts as codes, part p the words of the block that hash to p."""
 
@@ -163,7 +172,8 @@ def code_blocks(docs: DataFrame, key: str, text: str, path: str, parts: int) ->
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", finish=None, schema: str = "doc_id long, ids binary", twice: bool = False) -> DataFrame:
     """One row per text: the key and its ids as little-endian unsigned 32-bit integers.
 
-    finish: makes the columns of a block's texts from (keys, list of id arrays), to spare a second pass; with schema.
+    finish: makes the columns of a block's texts from (keys, list of id arrays, number among blocks of equal content), to
+    spare a second pass; with schema.
     twice: split the texts once for their words and once more for their codes, and not keep both in a checkpoint: half the
     disk for more CPU time. Only for texts as read from files, which have the same order each time.
     """
@@ -174,6 +184,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     def answer(key, table):
         bpe = WordBPE.at(path)
+        table = table.take(first_rows(table.column("block").to_pylist()))
         groups = []
         for data, lengths in zip(table.column("data").to_pylist(), table.column("places").to_pylist(), strict=True):
             raw, sizes = zstandard.ZstdDecompressor().decompress(data), unpacked(lengths).tolist()
@@ -188,7 +199,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     answers = blocks.filter("part >= 0").groupBy("key").applyInArrow(answer, "key string, part int, data binary, counts binary")
 
-    def default(keys, ids):
+    def default(keys, ids, copy):
         return pa.table({"doc_id": pa.array(keys, pa.int64()), "ids": pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())})
 
     def placed(left, right):
@@ -199,7 +210,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         count = np.concatenate([np.zeros(0, np.int64), *(unpacked(x).astype(np.int64) for x in counts)])
         first = np.concatenate([[0], np.cumsum(count)])[:-1].astype(np.int64) if len(count) else np.zeros(0, np.int64)
         tables = []
-        for coded, lengths, keys, places in zip(*(left.column(c).to_pylist() for c in ("data", "lengths", "keys", "places")), strict=True):
+        for copy, (coded, lengths, keys, places) in enumerate(zip(*(left.column(c).to_pylist() for c in ("data", "lengths", "keys", "places")), strict=True)):
             where = unpacked(places)
             if len(where) != len(count):  # a block that was made again from rows in another order is not mixed up with the first
                 raise RuntimeError("the words of a block of texts are incomplete: read the texts from files")
@@ -210,7 +221,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             flat = ids[np.arange(total) + np.repeat(first[codes] - (ends - n), n)]
             stops = np.cumsum(lengths)
             cut = np.concatenate([[0], ends])[stops].astype(np.int64)
-            tables.append(made(keys, np.split(flat, cut[:-1])))
+            tables.append(made(keys, np.split(flat, cut[:-1]), copy))
         return pa.concat_tables(tables)
 
     return blocks.filter("part < 0").groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(placed, schema)
@@ -219,7 +230,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 def encoded_and_decoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per text: the key, number of tokens, SHA-256 of its ids and of the text that they decode to."""
 
-    def digests(keys, ids):
+    def digests(keys, ids, copy):
         bpe = WordBPE.at(path)
         return pa.table(
             {

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm import ctw
-from rillflow.llm.bpe import packed, unpacked
+from rillflow.llm.bpe import first_rows, packed, unpacked
 from rillflow.llm.common import checkpointed, mixed, parts_for, split_words, text_chunks
 
 BLOCK_BYTES = 8_000_000
@@ -151,7 +151,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
             for w, c in zip(groups[-1], unpacked(counts).tolist(), strict=True):
                 total[w] = total.get(w, 0) + c
         known = sum(c > 0 for c in total.values())
-        out = [packed(np.array([total[w] for w in g])) for g in groups]
+        first = first_rows(table.column("block").to_pylist())
+        out = [packed(np.array([total[w] for w in groups[k]])) for k in first]
+        table = table.take(first)
         return pa.table({"block": table.column("block"), "part": table.column("part"), "kind": table.column("kind"), "data": pa.array(out, pa.binary()), "known": pa.array([known] + [0] * (len(out) - 1), pa.int64())})
 
     word_rows = checkpointed(dealt_rows.filter(F.col("kind") == WORDS).groupBy("part").applyInArrow(count_words, "block binary, part int, kind int, data binary, known long"))
@@ -178,7 +180,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
     def answer(key, table):
         code, count, own = summed(table)
         found = ctw.log_probabilities(code, count, depth, top).astype("<f4")
-        out = [squeeze(found[np.searchsorted(code, x)].tobytes()) for x in own]
+        first = first_rows(table.column("block").to_pylist())
+        out = [squeeze(found[np.searchsorted(code, own[k])].tobytes()) for k in first]
+        table = table.take(first)
         return pa.table({"block": table.column("block"), "part": table.column("part"), "kind": table.column("kind"), "data": pa.array(out, pa.binary()), "known": pa.array([0] * len(out), pa.int64())})
 
     answers = gram_rows.groupBy("part").applyInArrow(answer, "block binary, part int, kind int, data binary, known long").unionByName(word_rows)

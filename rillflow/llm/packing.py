@@ -77,8 +77,8 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return rows
 
 
-def pack_block(keys: list, ids: list[np.ndarray], capacity: int, pad: int, kind: str) -> pa.Table:
-    """The packed rows of a block of documents."""
+def pack_block(keys: list, ids: list[np.ndarray], capacity: int, pad: int, kind: str, copy: int = 0) -> pa.Table:
+    """The packed rows of a block of documents. copy: its number among blocks of equal content, which parts their rows' names."""
     doc, piece, begin, length = [], [], [], []
     for k, x in enumerate(ids):
         for p in range(max(1, -(-len(x) // capacity))):
@@ -87,7 +87,7 @@ def pack_block(keys: list, ids: list[np.ndarray], capacity: int, pad: int, kind:
             begin.append(p * capacity)
             length.append(min(capacity, len(x) - p * capacity))
     lengths = np.array(length, dtype=np.int64)
-    name = hashlib.blake2b(repr(keys).encode() + b"".join(x.astype("<u4").tobytes() for x in ids), digest_size=8).hexdigest()
+    name = hashlib.blake2b(repr(keys).encode() + b"".join(x.astype("<u4").tobytes() for x in ids), digest_size=8).hexdigest() + (f".{copy}" if copy else "")
     out: dict[str, list] = {"row": [], "n_tokens": [], "doc_ids": [], "pieces": [], "cu_seqlens": [], "ids": [], "positions": []}
     for n, row in enumerate(best_fit(lengths, capacity)):
         flat, positions, ends = np.full(capacity, pad, dtype=kind), np.zeros(capacity, dtype="<i4"), [0]
@@ -129,7 +129,7 @@ def encoded_and_packed(docs: DataFrame, path: str, capacity: int = 2048, pad: in
     """The packed rows of texts, encoded through the table of distinct words, block by block."""
     from rillflow.llm.bpe import encode
 
-    return encode(docs, path, key, text, lambda keys, ids: pack_block(keys, ids, capacity, pad, kind), SCHEMA)
+    return encode(docs, path, key, text, lambda keys, ids, copy: pack_block(keys, ids, capacity, pad, kind, copy), SCHEMA)
 
 
 def matrices(rows: DataFrame, capacity: int = 2048, kind: str = "<u4", height: int = 256) -> DataFrame:

@@ -115,6 +115,27 @@ def test_bpe_like_the_library(docs, corpus, twice):
     assert encode(docs.limit(0), tokenizer_path()).count() == 0
 
 
+def test_blocks_of_equal_content(spark):
+    """The same row alone in several partitions: its blocks share a name, and each still gives its row."""
+    from rillflow.llm.bpe import encode, encoded_and_decoded
+    from rillflow.llm.lm import score
+    from rillflow.llm.packing import encoded_and_packed
+
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(3, "the same words stand in this row")] * 3, 3), "doc_id long, text string")
+    for twice in (True, False):
+        ids = encode(df, tokenizer_path(), twice=twice).collect()
+        assert len(ids) == 3 and len({(r.doc_id, bytes(r.ids)) for r in ids}) == 1
+    assert encoded_and_decoded(df, tokenizer_path()).count() == 3
+    rows = encoded_and_packed(df, tokenizer_path(), 16).collect()
+    assert sum(len(r.doc_ids) for r in rows) == 3 and len({r.row for r in rows}) == len(rows)
+    split = score(df).collect()
+    whole = score(df.coalesce(1)).collect()
+    assert len(split) == 3 and split[0].n_known > 0
+    for x, y in zip(split, whole, strict=True):
+        assert (x.n_tokens, x.n_known, x.train_tokens) == (y.n_tokens, y.n_known, y.train_tokens)
+        assert x.score == pytest.approx(y.score) and x.base_score == pytest.approx(y.base_score)
+
+
 # --- language model
 
 
