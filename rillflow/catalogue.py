@@ -248,7 +248,7 @@ functions_of("extract_emails", "documents", {"v": lambda: F.array_join(strings.e
 functions_of("extract_ips", "documents", {"v": lambda: F.array_join(strings.extract_ip_address(c("text")), "|")}, rf"SELECT doc_id, coalesce(array_to_string(regexp_extract_all(text, '\b{strings.IP}\b'), '|'), '') AS v FROM documents", ("doc_id",))
 functions_of("extract_image_urls", "pages", {"v": lambda: F.array_join(strings.extract_image_urls_from_html(c("html")), "|")}, "SELECT page_id, coalesce(array_to_string(regexp_extract_all(html, '" + strings.IMAGE.replace("'", "''") + "'), '|'), '') AS v FROM pages", ("page_id",))
 functions_of("phone_numbers", "documents", {"has": lambda: strings.contains_us_phone_number(c("text"))}, rf"SELECT doc_id, regexp_matches(text, '{strings.PHONE}') AS has FROM documents", ("doc_id",))
-functions_of("text_kinds", "documents", {"title": lambda: strings.is_possible_title(F.substring("text", 1, 60)), "prose": lambda: strings.is_possible_narrative_text(c("text")), "caps": lambda: strings.exceeds_cap_ratio(c("text")), "alpha": lambda: strings.under_non_alpha_ratio(c("text"))}, None, ("doc_id",))
+functions_of("text_kinds", "documents", {"title": lambda: strings.is_possible_title(c("text")), "prose": lambda: strings.is_possible_narrative_text(c("text")), "caps": lambda: strings.exceeds_cap_ratio(c("text")), "alpha": lambda: strings.under_non_alpha_ratio(c("text"))}, None, ("doc_id",))
 functions_of("sentence_count", "documents", {"n": lambda: strings.sentence_count(c("text")).cast("long")}, r"SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS BIGINT) AS n FROM documents", ("doc_id",))
 functions_of("paragraphs", "documents", {"t": lambda: strings.new_line_grouper(c("text"))}, r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10)) AS t FROM documents", ("doc_id",))
 functions_of("ngram_overlap", "benchmark", {"share": lambda: F.round(strings.shared_ngram_share(c("text"), F.lower("text"), 2), 6)}, None, ("item_id",))

@@ -20,6 +20,25 @@ def test_dates(spark):
     assert one(spark, dates.ts2datetime(F.lit(None).cast("long"))) == ""
 
 
+def test_text_kinds_reads_whole_texts(spark, tmp_path):
+    from rillflow.catalogue import queries
+
+    start = "Report On The Long And Winding Roads Of The Northern Valley"
+    rows = {1: start, 2: start + " and then" * 5000, 3: "A" * 58 + " b,", 4: "A" * 70 + ",", 5: "1" * 60 + "a" * 200, 6: None, 7: ""}
+    spark.createDataFrame(list(rows.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.title for r in queries()["text_kinds"](spark, str(tmp_path)).collect()}
+
+    def plain(t):
+        """The rules by hand, for texts of one sentence."""
+        if t is None:
+            return None
+        letters = sum(x.isalpha() for x in t)
+        return bool(t.strip()) and len(t.split(" ")) <= 12 and letters >= 0.5 * sum(not x.isspace() for x in t) and not t.endswith(",") and not t.isnumeric()
+
+    assert got == {k: plain(t) for k, t in rows.items()}
+    assert got[1] and not got[2] and not got[4] and got[5]
+
+
 def test_strings(spark):
     assert one(spark, strings.extract_text_before(F.col("a"), "X", 1), a="1X 2X3") == "1X 2"
     assert one(spark, strings.extract_text_after(F.col("a"), "X", 1), a="1X 2X3X4") == "3X4"
