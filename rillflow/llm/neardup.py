@@ -1,7 +1,10 @@
 """MinHash near-dedup: ProbMinHash signatures of weighted word shingles, banding, and verification of every link.
 
 A text's shingles are its runs of ``width`` words (all its words where it has fewer), weighted by how often they occur
-in it. Equal texts form a class and are compared once. Classes whose signatures agree in a band share a bucket. Links
+in it. A text that repeats a shingle is signed once more with a weight of 1 for each, as links are defined by the plain
+sets: such signatures agree with the chance of the similarity that is verified, however often a passage repeats. In a
+text without repeats both are the same. Equal texts form a class and are compared once. Classes of which a signature
+of either kind agrees in a band share a bucket. Links
 are found in rounds: in each, every bucket draws a leader and each member in another component than its leader is
 compared with it, by the exact Jaccard similarity of the two shingle sets. A large group of near copies so takes a
 comparison for each member, bucket and round and not one for each pair. What then still shares a bucket in different
@@ -35,19 +38,30 @@ def node_of(text):
 
 
 def band_rows(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, node, bands): hashes of each band of a text's signature; none for a text without words."""
+    """(doc_id, node, bands): hashes of each band of a text's signatures; none for a text without words."""
+
+    def keys(value, text, weight, size):
+        found = signatures(value, text, weight, size, bands * rows).reshape(size, bands, rows)
+        key = np.zeros((size, bands), np.uint64)
+        for k in range(rows):
+            key = mixed(key * STEP + found[:, :, k] + np.arange(1, bands + 1, dtype=np.uint64))
+        return key
 
     def sign(batches):
         for batch in batches:
             for at, stop in text_chunks(batch.column(2), CHUNK_BYTES):
                 part = batch.slice(at, stop - at)
                 value, text, count = shingles(part.column(2), width)
-                found = signatures(value, text, count.astype(np.float64), len(part), bands * rows).reshape(len(part), bands, rows)
-                key = np.zeros((len(part), bands), np.uint64)
-                for k in range(rows):
-                    key = mixed(key * STEP + found[:, :, k] + np.arange(1, bands + 1, dtype=np.uint64))
-                some = np.bincount(text, minlength=len(part)) > 0
-                offsets = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
+                key = np.zeros((len(part), 2, bands), np.uint64)
+                key[:, 0] = keys(value, text, count.astype(np.float64), len(part))
+                some = np.zeros((len(part), 2), bool)
+                some[text, 0] = True
+                # the sets, where they are not what is signed already
+                some[text[count > 1], 1] = True
+                again = some[text, 1]
+                number = np.cumsum(some[:, 1]) - 1
+                key[some[:, 1], 1] = keys(value[again], number[text[again]], np.ones(int(again.sum())), int(some[:, 1].sum()))
+                offsets = np.concatenate([[0], np.cumsum(some.sum(axis=1) * bands)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[some].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["doc_id", "node", "bands"])
 

@@ -363,6 +363,22 @@ def test_near_duplicates(docs, corpus):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_repeat_counts_do_not_hide_near_duplicates(spark, words):
+    """Pairs of equal or similar shingle sets whose repeat counts differ, against brute force."""
+    from rillflow.llm.neardup import near_duplicates
+
+    rng = random.Random(17)
+    rows = []
+    for k in range(12):
+        body, once = rng.choices(words, k=204), rng.choices(words, k=20)
+        often = once * 30 + once[:4]
+        rows += [(2 * k, " ".join(body + once + once[:4])), (2 * k + 1, " ".join([*body[: 204 - k], *often]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = [sorted(g) for g in plain_groups(rows)]
+    assert sorted(groups) == [[2 * k, 2 * k + 1] for k in range(12)]
+    assert {r.doc_id: r.component_id for r in near_duplicates(df).collect()} == {i: g[0] for g in groups for i in g}
+
+
 def test_full_comparison_in_blocks(spark, words, monkeypatch):
     """A chain of near copies, each like its neighbours only, in small blocks and without leaders."""
     from rillflow.llm import neardup
