@@ -4,7 +4,8 @@ A line's white-space tokens that hold a digit count as variable fields. The tree
 the number of tokens, the next ``depth`` levels are the leading tokens (a variable field matches any other). Leaves that
 one text alone reaches cannot recur and are left at once, by a group-by on hashes. In the other leaves one line leads:
 lines that agree with it in ``similarity`` of their positions share a template, in which the positions that differ are
-variable; any other line is its own template, up to its variable fields.
+variable; any other line is its own template, up to its variable fields. With ``every_template`` the least line that no
+leader has taken leads next, and so on until none is left, so that a leaf holds as many templates as it needs.
 
 A template that occurs in ``min_docs`` or more different texts recurs: the text of the least document that has it keeps
 its lines, all others lose them. Equal texts count once and stay equal. The other lines, blank ones too, stay as they are.
@@ -44,8 +45,37 @@ def template_lines(docs: DataFrame, key: str, text: str, depth: int) -> DataFram
     return lines.withColumn("_n", n).withColumn("_leaf", F.xxhash64(n, F.substring_index("_line", " ", depth)))
 
 
-def template_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 3, similarity: float = 0.85, min_docs: int = 3) -> DataFrame:
-    """The documents without their recurring lines, with ``n_lines`` and ``dropped_lines`` (positions from 0)."""
+def every_leader(lines: DataFrame, similarity: float, rounds: int = 2) -> DataFrame:
+    """(_leaf, _line, _template) of each distinct line: that of the first leader that it agrees with, in the order of lines.
+
+    The first leaders are drawn in rounds, which thin out the leaves of many like lines; a fold over what is left in each
+    leaf draws all others. Both draw the least line that is left.
+    """
+    line = F.col("_line")
+    left = lines.select("_leaf", "_n", "_line").distinct()
+    # where no line can agree with another in enough positions
+    alone = F.col("_n") - 1 < similarity * F.col("_n")
+    left = checkpointed(left)
+    named = left.filter(alone).select("_leaf", "_line", line.alias("_lead"))
+    left = left.filter(~alone)
+    for _ in range(rounds):
+        leaders = left.groupBy("_leaf").agg(F.min("_line").alias("_lead"))
+        led = checkpointed(left.join(leaders, "_leaf").withColumn("_near", agreement(line, F.col("_lead")) >= similarity * F.col("_n")))
+        named = named.unionByName(led.filter("_near").select("_leaf", "_line", "_lead"))
+        left = led.filter("NOT _near").select("_leaf", "_n", "_line")
+    near = lambda a, b: agreement(a, b) >= similarity * F.col("_n")
+    leaves = left.groupBy("_leaf", "_n").agg(F.array_sort(F.collect_list("_line")).alias("_lines"))
+    leaders = F.aggregate("_lines", F.array().cast("array<string>"), lambda found, x: F.when(F.exists(found, lambda lead: near(x, lead)), found).otherwise(F.concat(found, F.array(x))))
+    leaves = leaves.withColumn("_leads", leaders).select("_leaf", F.explode(F.transform("_lines", lambda x: F.struct(x.alias("_line"), F.filter("_leads", lambda lead: near(x, lead))[0].alias("_lead")))).alias("_x"))
+    named = named.unionByName(leaves.select("_leaf", "_x._line", "_x._lead"))
+    return named.select("_leaf", "_line", F.xxhash64("_leaf", "_lead").alias("_template"))
+
+
+def template_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 3, similarity: float = 0.85, min_docs: int = 3, every_template: bool = False) -> DataFrame:
+    """The documents without their recurring lines, with ``n_lines`` and ``dropped_lines`` (positions from 0).
+
+    every_template: draw leaders until no line of a leaf is left, and not one for each leaf.
+    """
     columns = [c for c in docs.columns if c not in {"n_lines", "dropped_lines"}]
     docs = docs.select(*[F.col(f"`{c}`") for c in columns])
     lines = template_lines(docs, key, text, depth)
@@ -53,10 +83,13 @@ def template_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", dep
     # written first, so that the join has an exchange on either side, whose large partitions Spark can split
     shared = checkpointed(shared)
     held = checkpointed(lines.join(shared, "_leaf", "left_semi"))
-    leaders = checkpointed(held.groupBy("_leaf", "_n").agg(F.min("_line").alias("_lead")))
-    led = held.join(leaders, ["_leaf", "_n"])
-    near = (F.col("_line") == F.col("_lead")) | (agreement(F.col("_line"), F.col("_lead")) >= similarity * F.col("_n"))
-    named = led.select("_key", "_text", "_pos", F.when(near, F.xxhash64("_leaf", "_lead")).otherwise(F.xxhash64("_leaf", "_line", F.lit("own"))).alias("_template"))
+    if every_template:
+        named = held.join(checkpointed(every_leader(held, similarity)), ["_leaf", "_line"]).select("_key", "_text", "_pos", "_template")
+    else:
+        leaders = checkpointed(held.groupBy("_leaf", "_n").agg(F.min("_line").alias("_lead")))
+        led = held.join(leaders, ["_leaf", "_n"])
+        near = (F.col("_line") == F.col("_lead")) | (agreement(F.col("_line"), F.col("_lead")) >= similarity * F.col("_n"))
+        named = led.select("_key", "_text", "_pos", F.when(near, F.xxhash64("_leaf", "_lead")).otherwise(F.xxhash64("_leaf", "_line", F.lit("own"))).alias("_template"))
     named = checkpointed(named)
     # a row for each template and text before the texts are counted, so a frequent line is no one task's work
     recurring = named.groupBy("_template", "_text").agg(F.min("_key").alias("_key")).groupBy("_template").agg(F.count(F.lit(1)).alias("_docs"), F.min(F.struct("_key", "_text")).alias("_first")).filter(F.col("_docs") >= min_docs).select("_template", F.col("_first._text").alias("_keeper"))

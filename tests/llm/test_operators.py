@@ -320,6 +320,31 @@ def test_line_dedup(spark, docs):
     assert template_dedup(docs).count() == docs.count() and template_dedup(docs.limit(0)).count() == 0
 
 
+def test_pipeline_finds_every_template_of_a_leaf(spark):
+    """Four templates and unrelated lines in one leaf; leaders in the order of lines, against a plain loop."""
+    from corpus_pipeline import line_dedup
+
+    rng = random.Random(3)
+    heads = ["".join(rng.choices("bcdfgh", k=4)) for _ in range(4)]
+    lines = ["one leaf for aaa " + " ".join(f"un{chr(97 + k)}{chr(97 + j)}" for j in range(16)) for k in range(3)]
+    for h in heads:
+        for k in range(4):
+            body = [f"{h}{chr(97 + j)}" for j in range(16)]
+            body[5 + k] = "name" + chr(97 + k)
+            lines.append("one leaf for " + h + " " + " ".join(body))
+    rng.shuffle(lines)
+    leads, taken = [], collections.defaultdict(list)
+    for line in sorted(lines):
+        near = [x for x in leads if sum(a == b for a, b in zip(x.split(), line.split(), strict=True)) >= 0.85 * 20]
+        if not near:
+            leads.append(line)
+        taken[(near or [line])[0]].append(lines.index(line))
+    truth = {k for found in taken.values() if len(found) >= 3 for k in sorted(found)[1:]}
+    assert len(truth) == 12
+    df = spark.createDataFrame([(k, x, len(x)) for k, x in enumerate(lines)], "doc_id long, text string, n_chars long")
+    assert {r.doc_id for r in line_dedup(spark, df, "").filter("text = ''").collect()} == truth
+
+
 # --- near-dedup
 
 
