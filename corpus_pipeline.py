@@ -27,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go; n_chars follows the text."""
-    out = template_dedup(docs, every_template=True)
+    out = template_dedup(docs, every_template=True, long_words=20)
     return out.withColumn("n_chars", F.when(F.size("dropped_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

@@ -8,7 +8,8 @@ variable; any other line is its own template, up to its variable fields. With ``
 leader has taken leads next, and so on until none is left, so that a leaf holds as many templates as it needs.
 
 A template that occurs in ``min_docs`` or more different texts recurs: the text of the least document that has it keeps
-its lines, all others lose them. Equal texts count once and stay equal. The other lines, blank ones too, stay as they are.
+its lines, all others lose them. Lines of more than ``long_words`` tokens, which do not repeat by chance, recur from two
+texts on. Equal texts count once and stay equal. The other lines, blank ones too, stay as they are.
 
 Defined results: a null text stays null, has no lines and loses none; an empty text stays empty. A text that loses
 all of its lines becomes empty and its row stays. Equal rows get equal results. Extra columns are carried along, but
@@ -71,10 +72,11 @@ def every_leader(lines: DataFrame, similarity: float, rounds: int = 2) -> DataFr
     return named.select("_leaf", "_line", F.xxhash64("_leaf", "_lead").alias("_template"))
 
 
-def template_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 3, similarity: float = 0.85, min_docs: int = 3, every_template: bool = False) -> DataFrame:
+def template_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 3, similarity: float = 0.85, min_docs: int = 3, every_template: bool = False, long_words: int | None = None) -> DataFrame:
     """The documents without their recurring lines, with ``n_lines`` and ``dropped_lines`` (positions from 0).
 
     every_template: draw leaders until no line of a leaf is left, and not one for each leaf.
+    long_words: lines of more tokens recur in two texts; None: in ``min_docs``, as all others.
     """
     columns = [c for c in docs.columns if c not in {"n_lines", "dropped_lines"}]
     docs = docs.select(*[F.col(f"`{c}`") for c in columns])
@@ -84,15 +86,16 @@ def template_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", dep
     shared = checkpointed(shared)
     held = checkpointed(lines.join(shared, "_leaf", "left_semi"))
     if every_template:
-        named = held.join(checkpointed(every_leader(held, similarity)), ["_leaf", "_line"]).select("_key", "_text", "_pos", "_template")
+        named = held.join(checkpointed(every_leader(held, similarity)), ["_leaf", "_line"]).select("_key", "_text", "_pos", "_n", "_template")
     else:
         leaders = checkpointed(held.groupBy("_leaf", "_n").agg(F.min("_line").alias("_lead")))
         led = held.join(leaders, ["_leaf", "_n"])
         near = (F.col("_line") == F.col("_lead")) | (agreement(F.col("_line"), F.col("_lead")) >= similarity * F.col("_n"))
-        named = led.select("_key", "_text", "_pos", F.when(near, F.xxhash64("_leaf", "_lead")).otherwise(F.xxhash64("_leaf", "_line", F.lit("own"))).alias("_template"))
+        named = led.select("_key", "_text", "_pos", "_n", F.when(near, F.xxhash64("_leaf", "_lead")).otherwise(F.xxhash64("_leaf", "_line", F.lit("own"))).alias("_template"))
     named = checkpointed(named)
     # a row for each template and text before the texts are counted, so a frequent line is no one task's work
-    recurring = named.groupBy("_template", "_text").agg(F.min("_key").alias("_key")).groupBy("_template").agg(F.count(F.lit(1)).alias("_docs"), F.min(F.struct("_key", "_text")).alias("_first")).filter(F.col("_docs") >= min_docs).select("_template", F.col("_first._text").alias("_keeper"))
+    enough = F.lit(min_docs) if long_words is None else F.when(F.col("_n") > long_words, 2).otherwise(min_docs)
+    recurring = named.groupBy("_template", "_text").agg(F.min("_key").alias("_key"), F.min("_n").alias("_n")).groupBy("_template").agg(F.count(F.lit(1)).alias("_docs"), F.min("_n").alias("_n"), F.min(F.struct("_key", "_text")).alias("_first")).filter(F.col("_docs") >= enough).select("_template", F.col("_first._text").alias("_keeper"))
     recurring = checkpointed(recurring)
     dropped = named.join(recurring, "_template").filter("_text <> _keeper").groupBy("_key", "_text").agg(F.array_sort(F.collect_set("_pos")).alias("dropped_lines"))
     whole = docs.withColumn("_hash", F.xxhash64(text))

@@ -320,6 +320,19 @@ def test_line_dedup(spark, docs):
     assert template_dedup(docs).count() == docs.count() and template_dedup(docs.limit(0)).count() == 0
 
 
+def test_pipeline_drops_long_passages_of_two_texts(spark):
+    from corpus_pipeline import line_dedup
+
+    own = lambda name, n: " ".join(f"{name}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(n))
+    long, short = own("passage", 60), own("short", 20)
+    rows = [(k, f"{own('start' + chr(97 + k), 8)}\n{long}\n{short}\n{own('end' + chr(97 + k), 8)}") for k in range(2)]
+    rows.append((2, rows[0][1]))
+    df = spark.createDataFrame([(k, t, len(t)) for k, t in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in line_dedup(spark, df, "").collect()}
+    left = rows[1][1].replace(long + "\n", "")
+    assert got == {0: (rows[0][1], len(rows[0][1])), 1: (left, len(left)), 2: (rows[0][1], len(rows[0][1]))}
+
+
 def test_pipeline_finds_every_template_of_a_leaf(spark):
     """Four templates and unrelated lines in one leaf; leaders in the order of lines, against a plain loop."""
     from corpus_pipeline import line_dedup
