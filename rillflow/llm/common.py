@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
 import numpy as np
@@ -14,17 +15,48 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the session names.
+def shared_folder(context) -> str:
+    """``spark.checkpoint.dir`` of the session; where it is unset a new folder, on a local master alone."""
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not named and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or tempfile.mkdtemp(prefix="rillflow-")
 
-    A folder is made only where ``spark.checkpoint.dir`` is unset, as in tests.
-    """
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder that the session names."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rillflow-"))
+        context.setCheckpointDir(shared_folder(context))
     return df.checkpoint()
 
 
+def gathered(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """Rows in as many partitions as they fill, ``each`` rows in one: what is small is not written as many tiny files."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, with a number where a column has such a name (names are compared as Spark does, whatever the case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        k = 0
+        while (own := f"{name}{k or ''}").lower() in taken:
+            k += 1
+        taken.add(own.lower())
+        out.append(own)
+    return out
+
+
+def tidy() -> None:
+    """Give freed memory back to the system, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def parts_for(df: DataFrame, least: int = 1) -> int:
     """Shuffle partitions of the session, at least ``least``."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -48,7 +80,7 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     kept = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))]).astype(np.int64)
     offsets = lists.offsets.to_numpy().astype(np.int64)
     coded = words.filter(real).dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), kept[offsets - offsets[0]], coded.dictionary
+    return coded.indices.to_numpy(zero_copy_only=False), kept[offsets - offsets[0]], coded.dictionary
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
@@ -84,24 +116,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links: (node, root), root the least node that is reached.
 
-    Alternates the large-star and small-star steps, each a group-by with a min and a join on the node, until nothing
-    moves; the lineage is cut after each pair of steps. Nothing but a count and a sum reaches the driver.
-    Nodes without links do not occur.
+    Alternates the large-star and small-star steps, each a group-by with a min and a join on the node, until every node
+    has one link, to a node that has none; the lineage is cut after each pair of steps. Nothing but counts reaches the
+    driver. Nodes without links do not occur.
     """
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
-    now = checkpointed(now)
-    before = None
+    now = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct())
+    rows = now.count()
+    few = lambda df: gathered(df, rows)
+    now = few(now)
     while True:
+        # a star forest: what has a link has one, and is no other's root
+        ends = now.groupBy("u").agg(F.count(F.lit(1)).alias("n")).select(F.col("u").alias("x"), "n").unionByName(now.select(F.col("v").alias("x"), F.lit(0).cast("long").alias("n")).distinct())
+        loose = few(few(ends).groupBy("x").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sides"))).filter("n > 1 OR sides > 1").limit(1).count()
+        if not loose:
+            break
         # Large star: each node sends its larger neighbours to the least node that it knows.
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        least = few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = few(few(both.filter("v > u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v"))
+        large = checkpointed(few(large.distinct()))
         # Small star: each node sends its smaller neighbours, and itself, to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
-        now = checkpointed(small)
-        state = now.agg(F.count(F.lit(1)), F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before:
-            break
-        before = state
+        least = few(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = few(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v"))
+        now = checkpointed(few(small.distinct()))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

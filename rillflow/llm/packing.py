@@ -6,9 +6,11 @@ are found by a segment tree over the room that they have left: its leaves count
 the first leaf that is not empty from a length on takes steps in the logarithm of the row length.
 
 Blocks are packed apart, so rows of different tasks never wait for each other; a block has some million tokens, at which
-the room that stays empty is small. ``packed_rows`` has a row per packed row: ids (padded), the cumulative lengths of
-its segments, the positions that start anew with each segment, and the document and piece that each segment is.
-``matrices`` stacks them for writing as id matrices; ``unpacked_documents`` restores the ids of every document.
+the room that stays empty is small. ``packed_rows`` and ``encoded_and_packed`` have a row per packed row: ids (padded), the
+cumulative lengths of its segments, the positions that start anew with each segment, and the document and piece that each
+segment is. ``encoded_matrices`` has up to 256 of them as one id matrix, for writing; ``rows_of`` parts them again, and
+``unpacked_documents`` restores the ids of every document. An id that the chosen type of integers does not hold raises an
+error.
 
 Defined results: a document without ids (null or empty) has one empty piece in no row; it is listed in a row of its
 block with an empty segment. Equal rows are packed each on its own. An empty table gives no rows. A null key is kept.
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 #: Tokens that are packed together, about.
 BLOCK_TOKENS = 4_000_000
+MATRICES = "matrix string, height int, width int, kind string, n_tokens long, doc_ids array<array<long>>, pieces array<array<int>>, cu_seqlens array<array<int>>, ids binary, positions binary"
 SCHEMA = "row string, n_tokens long, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, ids binary, positions binary"
 
 
@@ -77,33 +80,64 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return rows
 
 
+class Packed:
+    """A block of documents, packed: the id and position matrices, and each row's segments."""
+
+    def __init__(self, keys: list, ids: list[np.ndarray], capacity: int, pad: int, kind: str, copy: int):
+        size = np.array([len(x) for x in ids], dtype=np.int64)
+        pieces = np.maximum(1, -(-size // capacity))
+        doc = np.repeat(np.arange(len(ids)), pieces)
+        piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        length = np.minimum(capacity, size[doc] - piece * capacity)
+        flat = np.concatenate([np.zeros(0, np.uint32), *ids])
+        if max(int(flat.max(initial=0)), pad) > np.iinfo(kind).max:
+            raise ValueError(f"an id does not fit {kind}")
+        rows = best_fit(length, capacity)
+        order = np.array([k for row in rows for k in row], dtype=np.int64)
+        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        length, begin = length[order], (np.cumsum(size) - size)[doc[order]] + piece[order] * capacity
+        ends = np.cumsum(length)
+        heads = np.searchsorted(row, np.arange(len(rows)))
+        room = ends - length - np.append(0, ends)[heads][row]  # where a segment begins in its row
+        within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length)
+        self.ids, self.positions = np.full((len(rows), capacity), pad, dtype=kind), np.zeros((len(rows), capacity), dtype="<i4")
+        to = np.repeat(row * capacity + room, length) + within
+        self.ids.ravel()[to] = flat[np.repeat(begin, length) + within]
+        self.positions.ravel()[to] = within
+        cuts = heads[1:]
+        self.doc_ids = [[keys[k] for k in x] for x in np.split(doc[order], cuts)]
+        self.pieces = [x.tolist() for x in np.split(piece[order], cuts)]
+        self.cu_seqlens = [[0, *np.cumsum(x).tolist()] for x in np.split(length, cuts)]
+        name = hashlib.blake2b(repr(keys).encode(), digest_size=8)
+        name.update(size.tobytes() + flat.astype("<u4").tobytes())
+        self.names = [f"{name.hexdigest()}{f'.{copy}' if copy else ''}-{n}" for n in range(len(rows))]
+
+    def rows(self) -> pa.Table:
+        return pa.table({"row": self.names, "n_tokens": pa.array([x[-1] for x in self.cu_seqlens], pa.int64()), "doc_ids": pa.array(self.doc_ids, pa.list_(pa.int64())), "pieces": pa.array(self.pieces, pa.list_(pa.int32())), "cu_seqlens": pa.array(self.cu_seqlens, pa.list_(pa.int32())), "ids": pa.array([x.tobytes() for x in self.ids], pa.binary()), "positions": pa.array([x.tobytes() for x in self.positions], pa.binary())})
+
+    def matrices(self, height: int) -> pa.Table:
+        at = range(0, len(self.names), height)
+        cut = lambda x: [x[k : k + height] for k in at]
+        lists = lambda x, t: pa.array(cut(x), pa.list_(pa.list_(t)))
+        return pa.table(
+            {
+                "matrix": [self.names[k] for k in at],
+                "height": pa.array([len(x) for x in cut(self.names)], pa.int32()),
+                "width": pa.array([self.ids.shape[1]] * len(at), pa.int32()),
+                "kind": [self.ids.dtype.str.replace("|", "<")] * len(at),
+                "n_tokens": pa.array([sum(c[-1] for c in x) for x in cut(self.cu_seqlens)], pa.int64()),
+                "doc_ids": lists(self.doc_ids, pa.int64()),
+                "pieces": lists(self.pieces, pa.int32()),
+                "cu_seqlens": lists(self.cu_seqlens, pa.int32()),
+                "ids": pa.array([x.tobytes() for x in cut(self.ids)], pa.binary()),
+                "positions": pa.array([x.tobytes() for x in cut(self.positions)], pa.binary()),
+            }
+        )
+
+
 def pack_block(keys: list, ids: list[np.ndarray], capacity: int, pad: int, kind: str, copy: int = 0) -> pa.Table:
     """The packed rows of a block of documents. copy: its number among blocks of equal content, which parts their rows' names."""
-    doc, piece, begin, length = [], [], [], []
-    for k, x in enumerate(ids):
-        for p in range(max(1, -(-len(x) // capacity))):
-            doc.append(k)
-            piece.append(p)
-            begin.append(p * capacity)
-            length.append(min(capacity, len(x) - p * capacity))
-    lengths = np.array(length, dtype=np.int64)
-    name = hashlib.blake2b(repr(keys).encode() + b"".join(x.astype("<u4").tobytes() for x in ids), digest_size=8).hexdigest() + (f".{copy}" if copy else "")
-    out: dict[str, list] = {"row": [], "n_tokens": [], "doc_ids": [], "pieces": [], "cu_seqlens": [], "ids": [], "positions": []}
-    for n, row in enumerate(best_fit(lengths, capacity)):
-        flat, positions, ends = np.full(capacity, pad, dtype=kind), np.zeros(capacity, dtype="<i4"), [0]
-        for k in row:
-            a, b = ends[-1], ends[-1] + int(lengths[k])
-            flat[a:b] = ids[doc[k]][begin[k] : begin[k] + b - a]
-            positions[a:b] = np.arange(b - a)
-            ends.append(b)
-        out["row"].append(f"{name}-{n}")
-        out["n_tokens"].append(ends[-1])
-        out["doc_ids"].append([keys[doc[k]] for k in row])
-        out["pieces"].append([piece[k] for k in row])
-        out["cu_seqlens"].append(ends)
-        out["ids"].append(flat.tobytes())
-        out["positions"].append(positions.tobytes())
-    return pa.table(out, schema=pa.schema([("row", pa.string()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())), ("cu_seqlens", pa.list_(pa.int32())), ("ids", pa.binary()), ("positions", pa.binary())]))
+    return Packed(keys, ids, capacity, pad, kind, copy).rows()
 
 
 def packed_rows(tokens: DataFrame, capacity: int = 2048, pad: int = 0, kind: str = "<u4", key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -125,29 +159,41 @@ def packed_rows(tokens: DataFrame, capacity: int = 2048, pad: int = 0, kind: str
     return tokens.select(F.col(f"`{key}`").cast("long"), F.col(f"`{ids}`")).mapInArrow(pack, SCHEMA)
 
 
-def encoded_and_packed(docs: DataFrame, path: str, capacity: int = 2048, pad: int = 0, kind: str = "<u2", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The packed rows of texts, encoded through the table of distinct words, block by block."""
+def kind_for(path: str) -> str:
+    """The narrowest type of integers that holds every id of a tokenizer file."""
+    from rillflow.llm.bpe import WordBPE
+
+    return "<u2" if max(i for i, _ in WordBPE.at(path).pieces()) < 1 << 16 else "<u4"
+
+
+def encoded_and_packed(docs: DataFrame, path: str, capacity: int = 2048, pad: int = 0, kind: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The packed rows of texts, encoded through the table of distinct words, block by block. kind: the ids' type, by default
+    the narrowest that holds the vocabulary."""
     from rillflow.llm.bpe import encode
 
-    return encode(docs, path, key, text, lambda keys, ids, copy: pack_block(keys, ids, capacity, pad, kind, copy), SCHEMA)
+    kind = kind or kind_for(path)
+    return encode(docs, path, key, text, lambda keys, ids, copy, _: pack_block(keys, ids, capacity, pad, kind, copy), SCHEMA)
+
 
+def encoded_matrices(docs: DataFrame, path: str, capacity: int = 2048, pad: int = 0, kind: str | None = None, height: int = 256, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same rows as id matrices of up to ``height`` rows, with their positions, cumulative lengths, documents and pieces."""
+    from rillflow.llm.bpe import encode
 
-def matrices(rows: DataFrame, capacity: int = 2048, kind: str = "<u4", height: int = 256) -> DataFrame:
-    """Up to ``height`` packed rows as one id matrix, with its positions and each row's cumulative lengths."""
+    kind = kind or kind_for(path)
+    return encode(docs, path, key, text, lambda keys, ids, copy, _: Packed(keys, ids, capacity, pad, kind, copy).matrices(height), MATRICES)
 
-    def stack(batches):
-        for batch in batches:
-            for at in range(0, len(batch), height):
-                part = batch.slice(at, height)
-                joined = lambda c: b"".join(part.column(c).to_pylist())  # noqa: B023, E731
-                yield pa.RecordBatch.from_pydict({"height": pa.array([len(part)], pa.int32()), "width": pa.array([capacity], pa.int32()), "kind": [kind], "ids": pa.array([joined("ids")], pa.binary()), "positions": pa.array([joined("positions")], pa.binary()), "rows": pa.array([part.column("row").to_pylist()], pa.list_(pa.string())), "cu_seqlens": pa.array([part.column("cu_seqlens").to_pylist()], pa.list_(pa.list_(pa.int32())))})
 
-    return rows.select("row", "cu_seqlens", "ids", "positions").mapInArrow(stack, "height int, width int, kind string, ids binary, positions binary, rows array<string>, cu_seqlens array<array<int>>")
+def rows_of(matrices: DataFrame) -> DataFrame:
+    """The packed rows of id matrices."""
+    width = F.when(F.col("kind") == "<u2", 2).otherwise(4)
+    part = lambda c, w: F.expr(f"substring({c}, cast(at * width * {w} + 1 AS int), cast(width * {w} AS int))")
+    rows = matrices.withColumn("w", width).select("*", F.posexplode(F.arrays_zip("doc_ids", "pieces", "cu_seqlens")).alias("at", "s"))
+    return rows.select(F.concat_ws("-", F.col("matrix"), F.col("at").cast("string")).alias("row"), F.element_at("s.cu_seqlens", -1).cast("long").alias("n_tokens"), "s.doc_ids", "s.pieces", "s.cu_seqlens", part("ids", "w").alias("ids"), part("positions", "4").alias("positions"))
 
 
-def write_matrices(rows: DataFrame, path: str, **options) -> None:
+def write_matrices(matrices: DataFrame, path: str) -> None:
     """Write the id matrices as Parquet, which any executor and any store can take."""
-    matrices(rows, **options).write.mode("overwrite").parquet(path)
+    matrices.write.mode("overwrite").parquet(path)
 
 
 def unpacked_documents(rows: DataFrame, width: int = 4) -> DataFrame:

@@ -68,10 +68,10 @@ def op8_lines(spark, d):
 def op9_packing(spark, d):
     from pyspark.sql import functions as F
 
-    from rillflow.llm.packing import encoded_and_packed
+    from rillflow.llm.packing import encoded_matrices
 
-    rows = encoded_and_packed(documents(spark, d), tokenizer_path())
-    return rows.select("row", "n_tokens", "doc_ids", "pieces", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
+    made = encoded_matrices(documents(spark, d), tokenizer_path())
+    return made.select("matrix", "height", "width", "kind", "n_tokens", "doc_ids", "pieces", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
 
 
 def op10_probminhash(spark, d):

@@ -106,15 +106,40 @@ def test_bpe_like_the_library(docs, corpus, twice):
 
     tok = Tokenizer.from_file(tokenizer_path())
     source = docs.sparkSession.createDataFrame(corpus, docs.schema)
-    got = decode(encode(source, tokenizer_path(), twice=twice), tokenizer_path()).collect()
-    truth = collections.Counter()
+    coded = encode(source, tokenizer_path(), twice=twice)
+    truth, texts = collections.Counter(), collections.Counter()
     for doc_id, text, *_ in corpus:
         ids = tok.encode(text or "", add_special_tokens=False).ids
-        truth[doc_id, tuple(ids), tok.decode(ids, skip_special_tokens=False)] += 1
-    assert collections.Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist()), r.decoded) for r in got) == truth
+        truth[doc_id, tuple(ids)] += 1
+        texts[doc_id, tok.decode(ids, skip_special_tokens=False)] += 1
+    assert collections.Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in coded.collect()) == truth
+    assert collections.Counter((r.doc_id, r.decoded) for r in decode(coded, tokenizer_path()).collect()) == texts
+    nulls = source.sparkSession.createDataFrame([(1, None), (2, bytearray()), (3, bytearray(b"\x01\0\0\0"))], "k long, i binary")
+    assert {r.k: r.decoded for r in decode(nulls, tokenizer_path(), "k", "i").collect()} == {1: None, 2: "", 3: tok.decode([1])}
     assert encode(docs.limit(0), tokenizer_path()).count() == 0
 
 
+def test_bpe_digests_of_files(spark, corpus, docs, tmp_path):
+    """The query's own way: texts from files, split twice, ids joined with their pieces."""
+    from tokenizers import Tokenizer
+
+    from rillflow.llm import bpe
+
+    long = " ".join(f"w{k % 977}x é{k % 31}" for k in range(60_000)) * 3
+    rows = [*corpus, (999, long, "en", None)]
+    spark.createDataFrame(rows, docs.schema).repartition(3).write.parquet(str(tmp_path / "d"))
+    source = spark.read.parquet(str(tmp_path / "d"))
+    assert bpe.reads_alike(source.filter("doc_id > 3").select("doc_id", "text")) and not bpe.reads_alike(source.distinct()) and not bpe.reads_alike(source.filter("rand() > 0.5"))
+    tok = Tokenizer.from_file(tokenizer_path())
+    truth = collections.Counter()
+    for doc_id, text, *_ in rows:
+        ids = tok.encode(text or "", add_special_tokens=False).ids
+        decoded = tok.decode(ids, skip_special_tokens=False)
+        truth[doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()] += 1
+    for df in (source, source.repartition(2)):
+        assert collections.Counter(tuple(r) for r in bpe.encoded_and_decoded(df, tokenizer_path()).collect()) == truth
+
+
 def test_blocks_of_equal_content(spark):
     """The same row alone in several partitions: its blocks share a name, and each still gives its row."""
     from rillflow.llm.bpe import encode, encoded_and_decoded
@@ -538,7 +563,7 @@ def test_best_fit():
 
 def test_packing_is_lossless(docs, corpus, spark, tmp_path):
     from rillflow.llm.bpe import encode
-    from rillflow.llm.packing import encoded_and_packed, matrices, packed_rows, unpacked_documents, write_matrices
+    from rillflow.llm.packing import encoded_and_packed, encoded_matrices, pack_block, packed_rows, rows_of, unpacked_documents, write_matrices
 
     own = spark.createDataFrame([r for r in corpus if r[0] is not None and r is not corpus[-2]], docs.schema)
     ids = encode(own, tokenizer_path())
@@ -550,10 +575,16 @@ def test_packing_is_lossless(docs, corpus, spark, tmp_path):
         assert len(r.ids) == 4 * 64 and r.cu_seqlens[-1] == r.n_tokens <= 64
         for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:], strict=False):
             assert positions[a:b].tolist() == list(range(b - a))
-    write_matrices(rows, str(tmp_path / "m"), capacity=64, height=8)
-    got = spark.read.parquet(str(tmp_path / "m")).collect()
-    assert sum(r.height for r in got) == rows.count() and all(len(r.ids) == 4 * 64 * r.height for r in got)
-    assert encoded_and_packed(docs.limit(0), tokenizer_path()).count() == 0 and matrices(rows.limit(0)).count() == 0
+    made = encoded_matrices(own, tokenizer_path(), 64, kind="<u4", height=8)
+    write_matrices(made, str(tmp_path / "m"))
+    got = spark.read.parquet(str(tmp_path / "m"))
+    assert all(len(r.ids) == 4 * 64 * r.height and len(r.positions) == 4 * 64 * r.height and r.height == len(r.doc_ids) <= 8 for r in got.collect())
+    assert {r.doc_id: bytes(r.ids) for r in unpacked_documents(rows_of(got)).collect()} == truth
+    narrow = encoded_and_packed(own, tokenizer_path(), 64)
+    assert {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in unpacked_documents(narrow, 2).collect()} == {k: np.frombuffer(v, "<u4").tolist() for k, v in truth.items()}
+    with pytest.raises(ValueError, match="fit"):
+        pack_block([1], [np.array([70_000], np.uint32)], 8, 0, "<u2")
+    assert encoded_and_packed(docs.limit(0), tokenizer_path()).count() == 0 and encoded_matrices(docs.limit(0), tokenizer_path()).count() == 0
 
 
 # --- pipeline
