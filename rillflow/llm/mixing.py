@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import WORD, checkpointed, parts_for
+from rillflow.llm.common import WORD, checkpointed, parts_for, unused
 
 RESULT = ["doc_id", "size", "source_size", "target", "taken"]
 
@@ -34,33 +34,35 @@ def n_words(text) -> F.Column:
 
 
 def targets(sizes: DataFrame, most_epochs: int) -> DataFrame:
-    """(source, source_size, target) of (source, source_size): one row for each source, so single-task windows do."""
-    ranked = sizes.withColumn("weight", (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1)
-    ranked = ranked.withColumn("cap", most_epochs * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    order = W.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy()
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    levelled = ranked.withColumn("own_level", level)
+    """(source, source_size, target) of (source, source_size). Ranks and running sums are worked out in slices."""
+    by_name = [F.col("source").asc_nulls_last()]
+    ranked = summed_before(sizes.withColumn("one", F.lit(1)), by_name, None, {"one": "rank"})
+    ranked = ranked.withColumn("weight", (F.col("rank") - 1) % 3 + 1).withColumn("cap", most_epochs * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight")).drop("one", "rank")
+    levelled = summed_before(ranked, ["ratio", *by_name], None, {"cap": "caps", "weight": "weights"})
+    sums = levelled.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+    left = lambda total, upto, own: F.lit(total) - (F.col(upto) - F.col(own))
+    levelled = levelled.withColumn("own_level", left(sums["size"], "caps", "cap") / left(sums["weight"], "weights", "weight"))
     # the first source, in the order of ratio, that the level of those left does not lift above its cap
-    fits = levelled.withColumn("level", F.min(F.when(F.col("own_level") <= F.col("ratio"), F.struct("ratio", F.col("source").isNull().alias("last"), "source", F.col("own_level").alias("level")))).over(everything)["level"])
-    return fits.select("source", "source_size", F.when(F.col("level").isNull() | (F.col("ratio") < F.col("level")), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("level")).alias("target"))
+    fits = levelled.filter("own_level <= ratio").agg(F.min(F.struct("ratio", F.col("source").isNull().alias("last"), "source", F.col("own_level").alias("level")))["level"].alias("level")).first()["level"]
+    level = F.lit(fits).cast("double")
+    return levelled.select("source", "source_size", F.when(level.isNull() | (F.col("ratio") < level), F.col("cap").cast("double")).otherwise(F.col("weight") * level).alias("target"))
 
 
-def summed_before(df: DataFrame, order: list, key: str | None, amount: str, out: str) -> DataFrame:
-    """Add the running sum of ``amount``, itself included, in a global order (within ``key``, which leads the order)."""
+def summed_before(df: DataFrame, order: list, key: str | None, amounts: dict[str, str]) -> DataFrame:
+    """Add the running sums of ``amounts`` (column: its sum's name), itself included, in a global order (within ``key``, which leads the order)."""
     parts = parts_for(df)
     cut = df.repartitionByRange(parts, *order).withColumn("_slice", F.spark_partition_id())
     cut = checkpointed(cut)  # the slices of a range partition are drawn by sampling: fix them
     keys = ["_slice", *([key] if key else [])]
-    totals = cut.groupBy(*keys).agg(F.sum(amount).alias("_sum"))
+    totals = cut.groupBy(*keys).agg(*(F.sum(a).alias(f"_sum_{a}") for a in amounts))
     earlier = W.partitionBy(*([key] if key else [])).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(F.col("_slice").alias("_s"), *([F.col(key).alias("_k")] if key else []), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    offsets = totals.select(F.col("_slice").alias("_s"), *([F.col(key).alias("_k")] if key else []), *(F.coalesce(F.sum(f"_sum_{a}").over(earlier), F.lit(0)).alias(f"_before_{a}") for a in amounts))
     match = F.col("_slice") == F.col("_s")
     if key:
         match = match & F.col(key).eqNullSafe(F.col("_k"))
     within = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return cut.withColumn("_own", F.sum(amount).over(within)).join(offsets, match).withColumn(out, F.col("_own") + F.col("_before")).drop("_own", "_before", "_s", "_k", "_slice")
+    owned = cut.select("*", *(F.sum(a).over(within).alias(f"_own_{a}") for a in amounts)).join(offsets, match)
+    return owned.select(*[F.col(f"`{c}`") for c in df.columns], *((F.col(f"_own_{a}") + F.col(f"_before_{a}")).alias(out) for a, out in amounts.items()))
 
 
 def fair_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", most_epochs: int = 3) -> DataFrame:
@@ -71,34 +73,34 @@ def fair_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     per_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), most_epochs)
     # one row for each source; Spark broadcasts it if its own check of the size allows that
     shares = checkpointed(per_source).select(F.col("source").alias("_source"), "source_size", "target")
-    queued = summed_before(sized, ["source", "draw", "doc_id", "size"], "source", "size", "_cum")
+    queued = summed_before(sized, ["source", "draw", "doc_id", "size"], "source", {"size": "_cum"})
     queued = queued.join(shares, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     epochs = F.when(F.col("size") > 0, F.transform(F.sequence(F.lit(0), F.lit(most_epochs - 1)), lambda e: F.struct(e.cast("int").alias("epoch"), ((F.col("_cum") + e * F.col("source_size")) / F.col("target")).alias("finish"))))
     entries = queued.select("doc_id", "draw", "size", F.explode(epochs).alias("e")).select("doc_id", "draw", "size", "e.epoch", "e.finish")
     budget = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    merged = summed_before(entries, ["finish", "draw", "doc_id", "epoch", "size"], None, "size", "_total")
+    merged = summed_before(entries, ["finish", "draw", "doc_id", "epoch", "size"], None, {"size": "_total"})
     last = merged.filter(F.col("_total") <= F.lit(budget)).agg(F.max(F.struct("finish", "draw", "doc_id", "epoch")).alias("cut")).first()["cut"]
     taken = F.lit(0).cast("long")
     if last is not None:
-        cut = F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["draw"]).alias("draw"), F.lit(last["doc_id"]).cast("long").alias("doc_id"), F.lit(last["epoch"]).alias("epoch"))
-        count = F.size(F.filter(epochs, lambda e: F.struct(e["finish"].alias("finish"), F.col("draw").alias("draw"), F.col("doc_id").cast("long").alias("doc_id"), e["epoch"].alias("epoch")) <= cut))
+        cut = F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["draw"]).alias("draw"), F.lit(last["doc_id"]).cast(sized.schema["doc_id"].dataType).alias("doc_id"), F.lit(last["epoch"]).alias("epoch"))
+        count = F.size(F.filter(epochs, lambda e: F.struct(e["finish"].alias("finish"), F.col("draw").alias("draw"), F.col("doc_id").alias("doc_id"), e["epoch"].alias("epoch")) <= cut))
         taken = F.when(F.col("size") > 0, count * F.col("size")).otherwise(0).cast("long")
     return queued.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
-
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", most_epochs: int = 3) -> DataFrame:
-    """The mix itself: every document as often as it is taken. Columns and their order stay."""
+    """The mix itself: every document as often as it is taken. Columns and their order stay, whatever their names."""
+    own_id, own_size, times, words, nth, row, copy = unused(docs.columns, "mix_id", "mix_size", "mix_times", "mix_words", "mix_nth", "mix_row", "mix_copy")
     mix = fair_mix(docs, key, text, source, most_epochs).filter("taken > 0")
-    mix = checkpointed(mix.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), (F.col("taken") / F.col("size")).cast("int").alias("_times")))
-    sized = docs.withColumn("_words", n_words(F.col(f"`{text}`")))
-    match = F.col(f"`{key}`").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size"))
-    if mix.groupBy("_id", "_size").count().filter("count > 1").limit(1).count():
+    mix = checkpointed(mix.select(F.col("doc_id").alias(own_id), F.col("size").alias(own_size), (F.col("taken") / F.col("size")).cast("int").alias(times)))
+    sized = docs.withColumn(words, n_words(F.col(f"`{text}`")))
+    match = F.col(f"`{key}`").eqNullSafe(F.col(own_id)) & (F.col(words) == F.col(own_size))
+    if mix.groupBy(own_id, own_size).count().filter("count > 1").limit(1).count():
         # rows of one key and size: the first of them gets the most copies
-        mix = mix.withColumn("_nth", F.row_number().over(W.partitionBy("_id", "_size").orderBy(F.desc("_times"))))
-        sized = sized.withColumn("_row", F.row_number().over(W.partitionBy(key, "_words").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))))
-        match = match & (F.col("_nth") == F.col("_row"))
-    return sized.join(mix, match).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+        mix = mix.withColumn(nth, F.row_number().over(W.partitionBy(own_id, own_size).orderBy(F.desc(times))))
+        sized = sized.withColumn(row, F.row_number().over(W.partitionBy(F.col(f"`{key}`"), words).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))))
+        match = match & (F.col(nth) == F.col(row))
+    return sized.join(mix, match).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = """

@@ -15,7 +15,9 @@ Defined results: a null text counts as an empty one; texts without words are nea
 null key get results too; a group's id is the least key that is not null. Equal rows are members of one class. Two rows
 of the same key and different texts are different texts. An empty table gives no rows.
 
-Classes are named by 64 bits of a digest of the text.
+Classes are named by 60 bits of one digest of the text and 64 of another. Links are drawn between the former alone: of
+different texts that share them by chance one is compared, and the others stay as groups of their own.
+The share of links that banding finds at the threshold is measured in the tests.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import checkpointed, components, mixed, text_chunks
+from rillflow.llm.common import checkpointed, components, gathered, mixed, text_chunks, tidy, unused
 from rillflow.llm.probminhash import STEP, jaccard, shingles, signatures
 
 CHUNK_BYTES = 3_000_000
@@ -34,11 +36,17 @@ BLOCK = 512
 
 
 def node_of(text):
-    return F.xxhash64(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    """The 64 bits by which texts are compared and linked."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def digest_of(text):
+    """Another 64 bits of a text, which tell texts of one node apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def band_rows(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, node, bands): hashes of each band of a text's signatures; none for a text without words."""
+    """(doc_id, node, digest, bands): hashes of each band of a text's signatures; none for a text without words."""
 
     def keys(value, text, weight, size):
         found = signatures(value, text, weight, size, bands * rows).reshape(size, bands, rows)
@@ -49,9 +57,9 @@ def band_rows(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
     def sign(batches):
         for batch in batches:
-            for at, stop in text_chunks(batch.column(2), CHUNK_BYTES):
+            for at, stop in text_chunks(batch.column(3), CHUNK_BYTES):
                 part = batch.slice(at, stop - at)
-                value, text, count = shingles(part.column(2), width)
+                value, text, count = shingles(part.column(3), width)
                 key = np.zeros((len(part), 2, bands), np.uint64)
                 key[:, 0] = keys(value, text, count.astype(np.float64), len(part))
                 some = np.zeros((len(part), 2), bool)
@@ -62,10 +70,12 @@ def band_rows(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 number = np.cumsum(some[:, 1]) - 1
                 key[some[:, 1], 1] = keys(value[again], number[text[again]], np.ones(int(again.sum())), int(some[:, 1].sum()))
                 offsets = np.concatenate([[0], np.cumsum(some.sum(axis=1) * bands)]).astype(np.int32)
+                del value, text, count, again
+                tidy()
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[some].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], lists], names=["doc_id", "node", "digest", "bands"])
 
-    return docs.mapInArrow(sign, "doc_id long, node long, bands array<long>")
+    return docs.mapInArrow(sign, "doc_id long, node long, digest long, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -139,13 +149,16 @@ def compared_in_full(open_buckets: DataFrame, texts: DataFrame, width: int, leas
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, bands: int = 16, rows: int = 5, rounds: int = 2) -> DataFrame:
     """One row per document: doc_id, node, class_id (least key of its equals), component_id (least key of its group), kept."""
     body = F.col(f"`{text}`")
-    base = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), node_of(body).alias("node"), body.alias("text"))
+    base = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), node_of(body).alias("node"), digest_of(body).alias("digest"), body.alias("text"))
     signed = checkpointed(band_rows(base, width, bands, rows).withColumn("row", F.monotonically_increasing_id()))
-    filed = signed.select("node", F.explode("bands").alias("bucket")).distinct()
-    shared = filed.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("bucket")
-    filed = checkpointed(filed.join(shared, "bucket", "left_semi"))
-    wanted = filed.select("node").distinct()
-    texts = checkpointed(base.select("node", "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
+    count = signed.count()
+    # tables that grow with the documents are kept in partitions of some 10,000 rows each, whatever the session deals
+    signed = gathered(signed, count, 10_000)
+    filed = gathered(signed.select("node", F.explode("bands").alias("bucket")).distinct(), count, 10_000)
+    shared = gathered(filed.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("bucket"), count)
+    filed = checkpointed(gathered(filed.join(shared, "bucket", "left_semi"), count, 10_000))
+    wanted = gathered(filed.select("node").distinct(), count)
+    texts = checkpointed(gathered(base.select("node", "digest", "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("digest", "text"))["text"].alias("text")), count, 8_000))
     links, roots = None, None
 
     def joined(new: DataFrame):
@@ -160,21 +173,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     for turn in range(rounds):
         leaders = filed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("h"), "node"))["node"].alias("lead"))
-        pairs = filed.join(leaders, "bucket").filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+        # written first, so that the join has an exchange on either side, whose large partitions Spark can split
+        leaders = checkpointed(gathered(leaders, count))
+        pairs = gathered(filed.join(leaders, "bucket"), count, 50_000).filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
         pairs = rooted(rooted(pairs, "a", "ra"), "b", "rb").filter("ra <> rb").select("a", "b")
-        links, roots = joined(verified(pairs, texts, width, least))
-    links, roots = joined(compared_in_full(rooted(filed, "node", "root"), texts, width, least))
-    classes = rooted(signed.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")), "node", "root")
-    groups = classes.groupBy("root").agg(F.min("class_id").alias("component_id"), F.min("best")["row"].alias("keeper"))
+        links, roots = joined(gathered(verified(gathered(pairs, count, 8_000), texts, width, least), count, 10_000))
+    links, roots = joined(gathered(compared_in_full(checkpointed(gathered(rooted(filed, "node", "root"), count, 50_000)), texts, width, least), count, 5_000))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
+    per_text = gathered(signed.groupBy("node", "digest").agg(F.min("doc_id").alias("class_id"), best), count, 50_000)
+    # of texts that share a node by chance one is compared, the others stand alone
+    compared = per_text.groupBy("node").agg(F.min("digest").alias("first"))
+    per_text = per_text.join(compared, "node").withColumn("alone", F.col("digest") != F.col("first")).drop("first")
+    classes = rooted(per_text, "node", "root").withColumn("own", F.when(F.col("alone"), F.col("digest")))
+    groups = gathered(classes, count, 50_000).groupBy("root", "own").agg(F.min("class_id").alias("component_id"), F.min("best")["row"].alias("keeper")).select(F.col("root").alias("_root"), F.col("own").alias("_own"), "component_id", "keeper")
+    named = classes.join(groups, (F.col("root") == F.col("_root")) & F.col("own").eqNullSafe(F.col("_own"))).select("node", "digest", "class_id", "component_id", "keeper")
     # written first, so that the last join has an exchange on either side, whose large partitions Spark can split
-    named = checkpointed(classes.join(groups, "root").select("node", "class_id", "component_id", "keeper"))
-    return signed.select("doc_id", "node", "row").join(named, "node").select("doc_id", "node", "class_id", "component_id", (F.col("row") == F.col("keeper")).alias("kept"))
+    named = checkpointed(gathered(named, count, 50_000))
+    return signed.select("doc_id", "node", "digest", "row").join(named, ["node", "digest"]).select("doc_id", "node", "digest", "class_id", "component_id", (F.col("row") == F.col("keeper")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without all but one of each group."""
-    kept = near_duplicates(docs, key, text, **options).filter("kept").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
-    named = docs.withColumn("_text", node_of(F.col(f"`{text}`")))
-    out = named.join(checkpointed(kept), F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_node")), "left_semi")
-    twice = out.groupBy(key, "_text").count().filter("count > 1").limit(1).count()
-    return (out.dropDuplicates([key, "_text"]) if twice else out).drop("_text")
+    """The documents without all but one of each group. Columns and their order stay, whatever their names."""
+    columns = docs.columns
+    k, n, d, own_n, own_d = unused(columns, "kept_key", "kept_node", "kept_digest", "own_node", "own_digest")
+    kept = near_duplicates(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), key, text, **options).filter("kept").select(F.col("doc_id").alias(k), F.col("node").alias(n), F.col("digest").alias(d))
+    named = docs.withColumn(own_n, node_of(F.col(f"`{text}`"))).withColumn(own_d, digest_of(F.col(f"`{text}`")))
+    kept = checkpointed(kept)
+    out = named.join(kept, F.col(f"`{key}`").cast("long").eqNullSafe(F.col(k)) & (F.col(own_n) == F.col(n)) & (F.col(own_d) == F.col(d)), "left_semi")
+    # rows of one key and text: one of them stays
+    twice = out.groupBy(F.col(f"`{key}`"), own_n, own_d).count().filter("count > 1").limit(1).count()
+    return (out.dropDuplicates([key, own_n, own_d]) if twice else out).select(*[F.col(f"`{c}`") for c in columns])

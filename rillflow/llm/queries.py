@@ -77,7 +77,7 @@ def op9_packing(spark, d):
 def op10_probminhash(spark, d):
     from rillflow.llm.neardup import near_duplicates
 
-    return near_duplicates(documents(spark, d)).drop("node")
+    return near_duplicates(documents(spark, d)).drop("node", "digest")
 
 
 def pipeline(spark, d):
@@ -91,6 +91,6 @@ def queries():
 
 
 def oracle_sql():
-    from rillflow.llm import embeddup, lines, mixing
+    from rillflow.llm import embeddup, lines, mixing, sharding
 
-    return {"op1_embeddings": embeddup.SQL, "op5_mixing": mixing.SQL, "op8_lines": lines.SQL}
+    return {"op1_embeddings": embeddup.SQL, "op5_mixing": mixing.SQL, "op6_sharding": sharding.SQL, "op8_lines": lines.SQL}

@@ -8,7 +8,8 @@ too. Those that no longer span from the word before covers are the maximal repea
 spans is the covered part.
 
 A text fails the method when its repeats of ``min_words`` or more cover over ``most_covered`` of its words, or when
-the longest of them has over ``most_longest`` words and over ``most_share`` of the text.
+the longest of them has over ``most_longest`` words and over ``most_share`` of the text. The share is well below half of what
+may be covered, so a text can fail by one long passage that it has twice.
 
 Defined results: a null text counts as an empty one; an empty text has no words, nothing repeated, and fails the base
 (fewer than 20 words). Texts of any length are read whole. Equal rows get equal results. Columns beyond those named
@@ -38,6 +39,7 @@ MEASURES = T.StructType(
         T.StructField("n_repeat_words", T.LongType()),
         T.StructField("n_covered_words", T.LongType()),
         T.StructField("longest_repeat", T.LongType()),
+        # places at which a maximal repeated substring stands
         T.StructField("n_maximal_repeats", T.LongType()),
     ]
 )
@@ -166,7 +168,7 @@ def measured(texts: pa.Array, min_words: int) -> dict[str, np.ndarray]:
     }
 
 
-def repetition_rules(docs: DataFrame, text: str = "text", min_words: int = 5, most_covered: float = 0.35, most_longest: int = 60, most_share: float = 0.2) -> DataFrame:
+def repetition_rules(docs: DataFrame, text: str = "text", min_words: int = 5, most_covered: float = 0.35, most_longest: int = 40, most_share: float = 0.1) -> DataFrame:
     """Add the measures, ``base_failed`` and ``kept`` to each document. One pass, no shuffle."""
     rest = [f for f in docs.schema.fields if f.name not in {*MEASURES.names, "base_failed", "kept"}]
     names = [f.name for f in rest]

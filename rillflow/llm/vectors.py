@@ -4,8 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Pairs whose vectors are gathered at once.
+PAIRS = 100_000
+#: Share of all pairs of a block of queries and a graph from which on they are scored at once instead of one after the other.
+DENSE = 0.02
+
+
+def cosines(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The products of the rows a of x and b of y, some at a time."""
+    return np.concatenate([np.zeros(0), *(np.einsum("kd,kd->k", x[a[k : k + PAIRS]], y[b[k : k + PAIRS]]) for k in range(0, len(a), PAIRS))])
+
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled first, so that the squares of no finite row overflow or vanish."""
+    x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True, initial=0.0), np.finfo(np.float64).tiny)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -76,7 +88,7 @@ def within(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, entries: np.nd
     own: the query's node in the graph (-1: none), an entry beside the medoids.
     """
     n = len(x)
-    block = max(1, min(len(queries), 4_000_000 // max(n, 1)))
+    block = max(1, min(len(queries), 1_000_000 // max(n, 1)))
     for at in range(0, len(queries), block):
         q, mine = queries[at : at + block], own[at : at + block]
         rows = np.arange(len(q))
@@ -127,17 +139,28 @@ def within(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, entries: np.nd
                 nodes[live, width:], score[live, width:], done[live, width:] = -1, -np.inf, True
         r, m = np.concatenate(found_q), np.concatenate(found_n)
         out_q, out_n = [r], [m]
-        while len(r):  # range expansion
-            grown_r = np.repeat(r, edges.shape[1])
-            grown_m = edges[m].ravel()
-            real = grown_m >= 0
-            pair = np.unique(grown_r[real] * n + grown_m[real])
-            r, m = pair // n, pair % n
-            new = ~seen[r, m]
-            r, m = r[new], m[new]
-            seen[r, m] = True
-            hit = np.einsum("kd,kd->k", x[m], q[r]) >= least - slack
-            r, m = r[hit], m[hit]
+        width, count = edges.shape[1], len(r)
+        while len(r):  # range expansion, some nodes at a time
+            if count > DENSE * len(q) * n:
+                # many are in range of one another, as in a group of near copies: no walk is shorter than all of them
+                hit_r, hit_m = np.nonzero(q @ x.T >= least - slack)
+                out_q, out_n = [hit_r], [hit_m]
+                break
+            next_r, next_m = [], []
+            for k in range(0, len(r), max(1, PAIRS // width)):
+                own_r, own_m = r[k : k + max(1, PAIRS // width)], m[k : k + max(1, PAIRS // width)]
+                to = edges[own_m].ravel()
+                real = to >= 0
+                pair = np.unique(np.repeat(own_r, width)[real] * n + to[real])
+                grown_r, grown_m = pair // n, pair % n
+                new = ~seen[grown_r, grown_m]
+                grown_r, grown_m = grown_r[new], grown_m[new]
+                seen[grown_r, grown_m] = True
+                hit = cosines(x, grown_m, q, grown_r) >= least - slack
+                next_r.append(grown_r[hit])
+                next_m.append(grown_m[hit])
+            r, m = np.concatenate(next_r), np.concatenate(next_m)
+            count += len(r)
             out_q.append(r)
             out_n.append(m)
         yield np.concatenate(out_q) + at, np.concatenate(out_n)

@@ -91,7 +91,9 @@ def test_quality_measures(docs, corpus):
         w = WORD.findall(t)
         lines = [x for x in t.split("\n") if WORD.search(x)]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)))
-        assert r.base_failed == (len(w) < 20 or 100 * r.n_repeat_words > 30 * len(w)) and (not r.base_failed or not r.kept)
+        covered, longest, windows = plain_repeats(t, 5) if len(w) < 400 else (r.n_covered_words, r.longest_repeat, r.n_repeat_words)
+        failed = len(w) < 20 or 100 * windows > 30 * len(w)
+        assert r.base_failed == failed and r.kept == (not failed and covered <= 0.35 * len(w) and not (longest > 40 and longest > 0.1 * len(w)))
     assert repetition_rules(docs.limit(0)).count() == 0
 
 
@@ -261,6 +263,46 @@ def test_ctw_sums_to_one():
 # --- mixing, sharding
 
 
+def test_one_long_repeat_fails(spark, words):
+    """A passage of 150 words that stands twice in 1,000 fails, one of 30 does not; and a text of 20 MB is read whole."""
+    from rillflow.llm.repetition import repetition_rules
+
+    rng = random.Random(2)
+    own = [f"{rng.choice(words)}{k}" for k in range(1000)]
+    rows = [(1, " ".join(own)), (2, " ".join(own[:500] + own[100:250] + own[500:850])), (3, " ".join(own[:500] + own[100:130] + own[500:])), (4, " ".join(f"{k * 7919 % 1_000_003}word" for k in range(1_900_000)))]
+    assert len(rows[3][1]) > 19_000_000
+    got = {r.doc_id: r for r in repetition_rules(spark.createDataFrame(rows, "doc_id long, text string")).drop("text").collect()}
+    assert [got[k].kept for k in (1, 2, 3)] == [True, False, True] and got[2].longest_repeat == 150 and not got[2].base_failed
+    assert got[4].n_words == 1_900_000
+
+
+def clashing(docs):
+    """The documents with columns named like what operators might use inside, each with values of its own."""
+    names = ["_key", "_text", "_pos", "_line", "_id", "_size", "_times", "_words", "_copy", "_node", "_hash", "_name", "_block", "kept", "n_lines", "dropped_lines", "row", "node", "bucket", "digest", "mix_copy", "Mix_Words", "line_key", "own_node", "size", "n_words", "h"]
+    return docs.select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names)), names
+
+
+def test_clashing_names_in_every_stage(spark, docs):
+    import corpus_pipeline as P
+
+    table, names = clashing(docs.withColumn("n_chars", F.length("text").cast("long")))
+    now = table
+    for name, stage in P.STAGES[:-1]:
+        now = stage(spark, now, "")
+        assert now.columns == table.columns, name
+        rows = now.collect()
+        assert rows and all(r[n] == (None if r.doc_id is None else f"{n}{r.doc_id}") for r in rows for n in names), name
+    from rillflow.llm import bpe, embeddup, lm, mixing, neardup, packing, quality, sharding
+
+    n = table.count()
+    assert sharding.sharded(table).count() == mixing.fair_mix(table).count() == neardup.near_duplicates(table).count() == n
+    assert bpe.encode(table, tokenizer_path()).count() == lm.score(table).count() == n and packing.encoded_and_packed(table, tokenizer_path()).count() > 0
+    labels = table.select("doc_id", F.lit(1).alias("quality"), "_key", "node")
+    assert quality.classified(table, labels).count() == n
+    vectors = table.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0), F.col("n_chars").cast("double")).alias("embedding"), *names)
+    assert embeddup.linked(vectors).count() == n
+
+
 def plain_mix(corpus):
     size = lambda t: len(WORD.findall(t or ""))
     total = collections.Counter()
@@ -301,10 +343,24 @@ def test_mixing(docs, corpus):
     mix = mixed_documents(docs)
     assert mix.columns == docs.columns and sum(len(WORD.findall(r.text or "")) for r in mix.collect()) == sum(taken.values())
     assert fair_mix(docs.limit(0)).count() == 0 and mixed_documents(docs.limit(0)).count() == 0
+    named = docs.withColumn("doc_id", F.concat(F.lit("k"), F.lpad(F.col("doc_id").cast("string"), 4, "0")))
+    again = fair_mix(named).collect()
+    assert abs(sum(r.taken for r in again) - sum(taken.values())) <= 2 * most and len({r.doc_id for r in again if r.doc_id}) > 50
+
+
+def test_targets_of_many_sources(spark):
+    """As many sources as documents, in slices, against the plain rule."""
+    from rillflow.llm.mixing import fair_mix
+
+    rng = random.Random(4)
+    rows = [(k, "w " * rng.choice([1, 1, 2, 60]), "en", f"host{rng.randint(0, 400)}") for k in range(600)]
+    target, _ = plain_mix(rows)
+    got = fair_mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert all(math.isclose(r.target, target[rows[r.doc_id][3]], rel_tol=1e-9) for r in got)
 
 
 def test_sharding(docs, spark, corpus):
-    from rillflow.llm.sharding import place, sharded, topology
+    from rillflow.llm.sharding import sharded
 
     rows = sharded(docs).collect()
     assert len(rows) == len(corpus)
@@ -315,17 +371,32 @@ def test_sharding(docs, spark, corpus):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
     text = {(i, len((t or "").encode()) + 1): t for i, t, *_ in corpus}
     assert all(r.text_crc32 == zlib.crc32((text[r.doc_id, r["size"]] or "").encode()) for r in rows)
-    many = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
+    assert sharded(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="weight"):
+        sharded(docs, 3, weights=[1.0])
+
+
+@pytest.mark.parametrize("shards", [1, 7, 10, 16, 17, 24])
+def test_one_more_shard(spark, shards):
+    """For every number of shards: what is said of one more comes true, and takes rows only into itself."""
+    from rillflow.llm.sharding import sharded
+
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    now, then = ({r.doc_id: r for r in sharded(df, n).collect()} for n in (shards, shards + 1))
+    assert all(now[k].grown_shard == then[k].shard for k in now)
+    moved = [k for k in now if now[k].shard != then[k].shard]
+    assert all(then[k].shard == shards for k in moved) and abs(len(moved) / 4000 - 1 / (shards + 1)) < 0.03
+
+
+def test_weights_of_shards(spark):
+    from rillflow.llm.sharding import sharded
+
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
     weights = [1.0] * 15 + [3.0]
-    old, new = topology(16), topology(16, weights)
-    out = many.select(place(F.col("k"), old).alias("a"), place(F.col("k"), new).alias("b")).groupBy("a", "b").count().collect()
-    total = collections.Counter()
-    for r in out:
-        total[r.b] += r["count"]
-        # what moves between subtrees moves towards the region and rack that grew
-        assert r.a == r.b or r.b // 8 == 1
+    old, new = ({r.doc_id: r.shard for r in sharded(df, 16, weights=w).collect()} for w in (None, weights))
+    total = collections.Counter(new.values())
+    assert all(new[k] in (old[k], 15) for k in old)
     assert abs(total[15] / 20_000 - 3 / 18) < 0.02 and all(abs(total[k] / 20_000 - 1 / 18) < 0.012 for k in range(15))
-    assert sharded(docs.limit(0)).count() == 0
 
 
 # --- line dedup
@@ -358,9 +429,13 @@ def test_pipeline_drops_long_passages_of_two_texts(spark):
     assert got == {0: (rows[0][1], len(rows[0][1])), 1: (left, len(left)), 2: (rows[0][1], len(rows[0][1]))}
 
 
-def test_pipeline_finds_every_template_of_a_leaf(spark):
+@pytest.mark.parametrize("large", [1000, 0])
+def test_every_template_of_a_leaf(spark, monkeypatch, large):
     """Four templates and unrelated lines in one leaf; leaders in the order of lines, against a plain loop."""
     from corpus_pipeline import line_dedup
+    from rillflow.llm import lines as L
+
+    monkeypatch.setattr(L, "LARGE_LEAF", large)
 
     rng = random.Random(3)
     heads = ["".join(rng.choices("bcdfgh", k=4)) for _ in range(4)]
@@ -383,6 +458,15 @@ def test_pipeline_finds_every_template_of_a_leaf(spark):
     assert {r.doc_id for r in line_dedup(spark, df, "").filter("text = ''").collect()} == truth
 
 
+def test_an_unrelated_line_changes_nothing(spark):
+    from rillflow.llm.lines import template_dedup
+
+    like = [(k, "one leaf for " + " ".join(f"w{chr(97 + j)}" if j != 9 else f"own{chr(97 + k)}" for j in range(17))) for k in range(4)]
+    for more in ([], [(9, "one leaf for " + " ".join(f"a{chr(97 + j)}" for j in range(17)))]):
+        got = {r.doc_id: r.text for r in template_dedup(spark.createDataFrame(like + more, "doc_id long, text string")).collect()}
+        assert [k for k in got if got[k] == ""] == [1, 2, 3] or sorted(k for k in got if got[k] == "") == [1, 2, 3]
+
+
 # --- near-dedup
 
 
@@ -442,6 +526,26 @@ def test_repeat_counts_do_not_hide_near_duplicates(spark, words):
     assert {r.doc_id: r.component_id for r in near_duplicates(df).collect()} == {i: g[0] for g in groups for i in g}
 
 
+def test_recall_at_the_threshold(spark, words):
+    """Pairs whose similarity is 0.8 to 0.85, where banding finds the fewest: at least 99 in 100 are linked."""
+    from rillflow.llm.neardup import near_duplicates
+    from rillflow.llm.probminhash import jaccard
+
+    rng = random.Random(23)
+    rows, wanted = [], []
+    while len(wanted) < 300:
+        a = rng.choices(words, k=200)
+        b = list(a)
+        for _ in range(4):
+            b[rng.randrange(200)] = f"new{rng.random()}"
+        a, b = " ".join(a), " ".join(b)
+        if 0.8 <= jaccard(pa.array([a]), pa.array([b]), 5)[0] <= 0.85:
+            wanted.append(len(rows))
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[k] == got[k + 1] for k in wanted) >= 297
+
+
 def test_full_comparison_in_blocks(spark, words, monkeypatch):
     """A chain of near copies, each like its neighbours only, in small blocks and without leaders."""
     from rillflow.llm import neardup
@@ -506,7 +610,7 @@ def test_embeddings(spark, most_members):
     x[140:150] = x[1]
     x[150] = 3 * x[2]
     rows = [(k, [float(np.float32(v)) for v in r]) for k, r in enumerate(x)]
-    odd = [(400, None), (401, [0.0] * 16), (402, [float("nan")] + [1.0] * 15), (403, [None] + [1.0] * 15), (404, [1.0] * 3), (405, []), (406, [float("inf")] + [1.0] * 15), (5, rows[5][1]), (None, rows[6][1])]
+    odd = [(400, None), (401, [0.0] * 16), (402, [float("nan")] + [1.0] * 15), (403, [None] + [1.0] * 15), (404, [1.0] * 3), (414, [2.0] * 3), (405, []), (406, [float("inf")] + [1.0] * 15), (5, rows[5][1]), (None, rows[6][1])]
     df = spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<float>")
     got = linked(df, cell=60, most_members=most_members).collect()
     good = [*rows, odd[-2], odd[-1]]
@@ -519,10 +623,32 @@ def test_embeddings(spark, most_members):
     ids = [g[0] for g in good]
     least = {c: min((ids[k] for k in range(len(good)) if comp[k] == c and ids[k] is not None), default=None) for c in set(comp)}
     truth = collections.Counter((ids[k], int(near[k].sum()) - 1, least[comp[k]]) for k in range(len(good)))
-    truth.update((i, 0, i) for i, _ in odd[:7])
+    truth.update((i, 0, i) for i, _ in odd[:8] if i not in (404, 414))
+    truth.update([(404, 1, 404), (414, 1, 404)])
     assert collections.Counter((r.vec_id, r.n_links, r.component_id) for r in got) == truth
     assert linked(df.limit(0)).count() == 0
     assert linked(spark.createDataFrame(odd[:2], df.schema)).count() == 2
+    # without a graph: no number of cells is allowed, so all vectors are compared
+    full = linked(df, most_overlap=0).collect()
+    assert collections.Counter((r.vec_id, r.n_links, r.component_id) for r in full) == truth
+    large = spark.createDataFrame([(1, [1e39, 1e39]), (2, [1e39, 1e39]), (3, [2e200, 2e200]), (4, [1e-200, 0.0])], "vec_id long, embedding array<double>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in linked(large).collect()} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
+def test_many_near_copies_in_bounded_memory():
+    """2,000 vectors within 0.9 of each other: every pair is found, and no step holds them all at once."""
+    import tracemalloc
+
+    from rillflow.llm import vectors as V
+
+    rng = np.random.default_rng(3)
+    x = V.unit(rng.normal(size=64) + rng.normal(scale=0.02, size=(2000, 64)))
+    edges = V.build(x, 16, 1)
+    tracemalloc.start()
+    found = sum(len(r) for r, _ in V.within(x, edges, x, V.medoids(x, 8), np.arange(len(x)), 0.9))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 2000 * 2000 and peak < 300e6
 
 
 # --- classifier, packing
