@@ -6,13 +6,13 @@ of the next one. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.llm.bpe import encoded_and_decoded
+from rillflow.llm.common import shared_folder, unused
 from rillflow.llm.lines import template_dedup
 from rillflow.llm.mixing import mixed_documents
 from rillflow.llm.neardup import deduplicated
@@ -22,23 +22,25 @@ from rillflow.llm.repetition import repetition_rules
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return repetition_rules(docs).filter("kept").select(docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "text")
+    return repetition_rules(whole).filter("kept").select("whole.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go; n_chars follows the text."""
-    out = template_dedup(docs, every_template=True, long_words=20)
-    return out.withColumn("n_chars", F.when(F.size("dropped_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    counted, dropped = unused(docs.columns, "n_lines", "dropped_lines")
+    out = template_dedup(docs, counted=counted, dropped=dropped)
+    return out.withColumn("n_chars", F.when(F.size(dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return deduplicated(docs).select(docs.columns)
+    return deduplicated(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes of it."""
-    return mixed_documents(docs).select(docs.columns)
+    return mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rillflow-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark.sparkContext).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
