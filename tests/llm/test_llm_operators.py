@@ -188,76 +188,90 @@ def test_lm_base_and_distribution(docs, corpus):
     assert score(docs.limit(0)).count() == 0
 
 
-def plain_ctw(stream, query, depth):
-    """log P of the last byte of the query by the definition, recursively."""
+def plain_ctw(train, text, depth, handed):
+    """log P of a text and its end mark by the definition: weighting over contexts as tuples, one decision after the other."""
     lg = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
-    total = 0.0
-    x = query[-1]
-    for bit in range(8):
-        node = (1 << bit) | (x >> (8 - bit))
-
-        def counts(context):
-            c = [0, 0]
-            for i in range(depth, len(stream)):
-                y = stream[i]
-                if ((1 << bit) | (y >> (8 - bit))) == node and all(stream[i - 1 - k] == b for k, b in enumerate(context)):  # noqa: B023
-                    c[(y >> (7 - bit)) & 1] += 1  # noqa: B023
-            return c
-
-        def weighted(context):
-            a, b = counts(context)
-            own = lg(a, b)
-            if len(context) == depth or a + b == 0:
-                return own, own, None
-            seen = {stream[i - 1 - len(context)] for i in range(depth, len(stream)) if all(stream[i - 1 - k] == c for k, c in enumerate(context))}
-            below = sum(weighted((*context, c))[0] for c in seen)
-            return np.logaddexp(own, below) + math.log(0.5), own, below
-
-        def predict(context, above):
-            a, b = counts(context)
-            if a + b == 0 and context:
-                return above
-            p = (b + 0.5) / (a + b + 1)
-            if len(context) == depth:
-                return p
-            _, own, below = weighted(context)
-            stop = math.exp(own - np.logaddexp(own, below if below is not None else 0.0))
-            return stop * p + (1 - stop) * predict((*context, query[-2 - len(context)]), p)
-
-        p = predict((), 0.5)
-        total += math.log(p if (x >> (7 - bit)) & 1 else 1 - p)
+    symbols = lambda t: [256] * depth + list(t) + [256]
+
+    def decisions(s, i):
+        x, prefix = s[i], ()
+        for k in range(9 if x < 256 else 1):
+            bit = (x >> (8 - k)) & 1
+            yield prefix, bit
+            prefix += (bit,)
+
+    counts = collections.defaultdict(lambda: [0, 0])
+    for t in train:
+        s = symbols(t)
+        for i in range(depth, len(s)):
+            for node, bit in decisions(s, i):
+                for d in range(depth + 1):
+                    counts[node, tuple(s[i - 1 - k] for k in range(d))][bit] += 1
+    kids = collections.defaultdict(set)
+    for node, context in counts:
+        if context:
+            kids[node, context[:-1]].add(context)
+    done = {}
+
+    def weigh(node, context):
+        if (node, context) not in done:
+            own = lg(*counts[node, context])
+            below = sum(weigh(node, c)[0] for c in kids[node, context]) if len(context) < depth else None
+            both = own if below is None else np.logaddexp(own, below) + math.log(0.5)
+            done[node, context] = both, 1.0 if below is None else math.exp(own - np.logaddexp(own, below))
+        return done[node, context]
+
+    def predict(node, context, history, above):
+        a, b = counts.get((node, context), (0, 0))
+        if a + b == 0 and context:
+            return above if handed else 0.5
+        p, stop = (b + 0.5) / (a + b + 1), weigh(node, context)[1] if a + b else 1.0
+        return p if len(context) == depth else stop * p + (1 - stop) * predict(node, (*context, history[-1 - len(context)]), history, p)
+
+    s, total = symbols(text), 0.0
+    for i in range(depth, len(s)):
+        for node, bit in decisions(s, i):
+            p = predict(node, (), s[:i], 0.5)
+            total += math.log(p if bit else 1 - p)
     return total
 
 
-def test_ctw_like_the_definition():
-    from rillflow.llm import ctw
+@pytest.mark.parametrize("handed", [False, True])
+@pytest.mark.parametrize("slice_", [300_000, 40])
+def test_lm_like_the_definition(spark, monkeypatch, handed, slice_):
+    """Scores through blocks, parts and shares against context-tree weighting by its definition."""
+    from rillflow.llm import ctw, lm
 
-    rng = random.Random(2)
-    depth = 3
-    stream = bytes(depth) + bytes(rng.choices(b"abc", k=60))
-    queries = [bytes(rng.choices(b"abcd", k=depth + 1)) for _ in range(12)]
-    seen, times = np.unique(ctw.grams(np.frombuffer(stream, np.uint8), depth), return_counts=True)
-    asked = np.concatenate([ctw.grams(np.frombuffer(q, np.uint8), depth) for q in queries])
-    code = np.union1d(seen, asked)
-    count = np.zeros(len(code), np.int64)
-    count[np.searchsorted(code, seen)] = times
-    found = ctw.log_probabilities(code, count, depth, ctw.Top(ctw.summary(code, count, depth)))
-    for q, a in zip(queries, asked, strict=True):
-        assert math.isclose(found[np.searchsorted(code, a)], plain_ctw(stream, q, depth), rel_tol=1e-9)
-
-
-def test_ctw_sums_to_one():
+    monkeypatch.setattr(ctw, "SLICE", slice_)
+    monkeypatch.setattr(lm, "SHARE_BYTES", 300)
+    rng = random.Random(12)
+    rows = [(k, "".join(rng.choices("abAB é\x00", k=rng.randint(0, 40)))) for k in range(24)] + [(30, None), (31, ""), (3, "ab"), (None, "ba")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    train = [low(t) for i, t in rows if not held(i)]
+    truth = sorted((-1 if i is None else i, plain_ctw(train, low(t), 3, handed) / math.log(10)) for i, t in rows)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in lm.score(df, depth=3, handed=handed).collect())
+    assert len(got) == len(truth)
+    for x, y in zip(got, truth, strict=True):
+        assert x[0] == y[0] and math.isclose(x[1], y[1], rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("slice_", [300_000, 20])
+def test_ctw_sums_to_one(monkeypatch, slice_):
     from rillflow.llm import ctw
 
-    data = np.frombuffer(b"\0\0\0" + b"the cat sat on the mat and the rat " * 4, np.uint8)
+    monkeypatch.setattr(ctw, "SLICE", slice_)
+    data = np.array([256] * 3 + list(b"the cat sat on the mat and the rat \0" * 4) + [256], np.int16)
     seen, times = np.unique(ctw.grams(data, 3), return_counts=True)
-    for context in (b"the", b"xyz", b"at "):
-        head = (context[2] << 24) | (context[1] << 16) | (context[0] << 8)
-        code = np.union1d(seen, head + np.arange(256))
+    for context in ([116, 104, 101], [120, 121, 122], [97, 116, 32], [256, 256, 256]):
+        head = (context[2] << 27) | (context[1] << 18) | (context[0] << 9)
+        code = np.union1d(seen, head + np.arange(257))
         count = np.zeros(len(code), np.int64)
         count[np.searchsorted(code, seen)] = times
-        found = ctw.log_probabilities(code, count, 3, ctw.Top(ctw.summary(code, count, 3)))
-        assert math.isclose(np.exp(found[np.searchsorted(code, head + np.arange(256))]).sum(), 1, rel_tol=1e-6)
+        for handed in (False, True):
+            found = ctw.log_probabilities(code, count, 3, ctw.Top(ctw.summary(code, count, 3), handed))
+            assert math.isclose(np.exp(found[np.searchsorted(code, head + np.arange(257))]).sum(), 1, rel_tol=1e-6)
 
 
 # --- mixing, sharding
