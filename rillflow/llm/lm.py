@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm import ctw
-from rillflow.llm.bpe import first_rows, packed, packed_words, unpacked, unpacked_words
+from rillflow.llm.bpe import MOST_BROADCAST, first_rows, packed, packed_words, unpacked, unpacked_words
 from rillflow.llm.common import checkpointed, mixed, parts_for, split_words, text_chunks, tidy, word_hashes
 
 BLOCK_BYTES = 5_000_000
@@ -201,6 +201,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
     gram_rows = blocks.filter(F.col("kind") == GRAMS).select("block", "part", "data", "counts")
     # a row for each part: in how many shares its blocks are worked on
     shares = checkpointed(gram_rows.groupBy("part").agg(F.ceil(F.sum(F.length("data") + F.length("counts")) / SHARE_BYTES).cast("int").alias("shares")))
+    # not more rows than shuffle partitions; no exchange by part alone, which would keep the shares of a part together
+    shares = F.broadcast(shares) if parts <= MOST_BROADCAST else shares
     gram_rows = gram_rows.join(shares, "part").withColumn("share", F.pmod(F.xxhash64("block"), F.col("shares")).cast("int"))
 
     def add_counts(key, table):
