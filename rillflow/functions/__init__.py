@@ -17,15 +17,28 @@ def python(returns: str):
     return mark
 
 
-def udf_of(f):
-    """The pandas UDF of a marked function; null for values on which it raises."""
-    from rillflow.operators.mapping import _pandas
+def udf_of(f, strict: bool = False):
+    """The pandas UDF of a marked function; null for values on which it raises, which ``records.rejected`` counts.
+
+    strict: let the job fail instead.
+    """
+    from pyspark.sql import SparkSession
     from pyspark.sql import types as T
 
+    from rillflow.operators.mapping import _pandas
+    from rillflow.records import Rejects
+
+    spark = SparkSession.getActiveSession()
+    count = Rejects.of(spark) if spark else None
+
     def one(*values):
         try:
             return f(*values)
         except Exception:
+            if strict:
+                raise
+            if count is not None:
+                count.add(1)
             return None
 
     return _pandas(one, T._parse_datatype_string(f.returns))

@@ -8,6 +8,7 @@ each group gathered into ``values``.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rillflow.operators.base import Op, ReduceBase
@@ -17,6 +18,10 @@ from rillflow.records import ORD, num, path, plain, text_of, truthy
 __all__ = ["AggCount", "Collect", "First", "Group", "Grouped", "Head", "Last", "Max", "Mean", "Min", "Nth", "OrderBy", "Reduce", "ReduceBy", "ReduceDistinct", "ReduceSample", "Std", "Sum", "Tail", "Var", "aggs"]
 
 
+#: Columns that grouping adds.
+HIDDEN = ("_key", "_run", "_first", "_last")
+
+
 class Grouped:
     """A table with its grouping and the aggregates asked for so far."""
 
@@ -28,11 +33,25 @@ class Grouped:
 
     def records(self) -> Column:
         """The records of a group in their order; unbounded, so only for results that hold them all."""
-        row = F.struct(*[plain(c) for c in self.df.columns if c not in ("_key", "_run")])
+        row = F.struct(*[plain(c) for c in self.df.columns if c not in HIDDEN])
         if self.order:
             return F.transform(F.array_sort(F.collect_list(F.struct(plain(self.order).alias("o"), row.alias("r")))), lambda x: x["r"])
         return F.collect_list(row)
 
+    def ranked(self, n: int, last: bool = False) -> tuple[Grouped, Column]:
+        """This with a column that numbers the records of each group from its start or end, and the first n of them in order.
+
+        A window streams through a group, so no more than n of its records are held.
+        """
+        if not self.order:
+            return self, F.slice(self.records(), F.greatest(F.size(self.records()) - n, F.lit(0)) + 1 if last else 1, n)
+        rank = f"_{'last' if last else 'first'}"
+        keys = [F.col("_run")] if "_run" in self.df.columns else []
+        df = self.df if rank in self.df.columns else self.df.withColumn(rank, F.row_number().over(W.partitionBy(*keys, "_key").orderBy(F.desc(self.order) if last else plain(self.order))))
+        row = F.struct(*[plain(c) for c in self.df.columns if c not in HIDDEN])
+        some = F.array_sort(F.collect_list(F.when(F.col(rank) <= n, F.struct(plain(self.order).alias("o"), row.alias("r")))))
+        return Grouped(df, self.keys, self.order, self.wanted, self.drop), F.transform(some, lambda x: x["r"])
+
     def table(self) -> DataFrame:
         wanted = self.wanted or {"values": self.records()}
         return self.df.groupBy(*self.keys).agg(*[c.alias(n) for n, c in wanted.items()]).drop("_run", *self.drop)
@@ -77,7 +96,7 @@ class Reduce(ReduceBase):
 
 
 class ReduceBy(Reduce):
-    """Fold: add_func(total, item) over the items in their order, from init_func(the first) on.
+    """Fold over a whole group, which one task holds: add_func(total, item) over the items in their order, from init_func(the first) on.
 
     init_func and add_func take and return columns.
     """
@@ -149,7 +168,7 @@ class Std(_Numeric):
 
 class _Positional(Reduce):
     def row(self, g):
-        return F.struct(*[plain(c) for c in g.df.columns if c not in ("_key", "_run")])
+        return F.struct(*[plain(c) for c in g.df.columns if c not in HIDDEN])
 
 
 class First(_Positional):
@@ -162,36 +181,50 @@ class Last(_Positional):
         return F.max_by(self.row(g), plain(g.order)) if g.order else F.last(self.row(g))
 
 
-class Nth(Reduce):
+class _Ranked(Reduce):
+    """Reductions to some records at the start or the end of each group."""
+
+    def picked(self, g: Grouped) -> tuple[Grouped, Column]:
+        raise NotImplementedError
+
+    def __call__(self, g):
+        if not isinstance(g, Grouped):
+            return super().__call__(g)
+        g, value = self.picked(g)
+        return g.adding(self.target, value)
+
+
+class Nth(_Ranked):
     def __init__(self, i: int = 0, target_key: str | None = None):
         super().__init__(target_key=target_key)
         self.i = i
 
-    def value(self, g):
-        rows = g.records()
-        return F.get(rows, F.lit(self.i) if self.i >= 0 else F.size(rows) + self.i)
+    def picked(self, g):
+        g, rows = g.ranked(self.i + 1 if self.i >= 0 else -self.i, self.i < 0)
+        # fewer records than asked for: none
+        return g, F.get(rows, F.lit(self.i)) if self.i >= 0 else F.when(F.size(rows) == -self.i, F.get(rows, F.lit(0)))
 
 
-class Head(Reduce):
+class Head(_Ranked):
     def __init__(self, num: int = 10, target_key: str | None = None):
         super().__init__(target_key=target_key)
         self.n = num
 
-    def value(self, g):
-        return F.slice(g.records(), 1, self.n)
+    def picked(self, g):
+        return g.ranked(self.n)
 
 
 class Tail(Head):
-    """The last n; compat: all but the last n."""
+    """The last n; compat: all but the last n, which holds a whole group."""
 
     def __init__(self, num: int = 10, target_key: str | None = None, compat: bool = False):
         super().__init__(num, target_key)
         self.compat = compat
 
-    def value(self, g):
-        rows = g.records()
-        keep = F.greatest(F.size(rows) - self.n, F.lit(0))
-        return F.slice(rows, F.lit(1), keep) if self.compat else F.slice(rows, keep + 1, F.lit(self.n))
+    def picked(self, g):
+        if not self.compat:
+            return g.ranked(self.n, last=True)
+        return g, F.slice(g.records(), F.lit(1), F.greatest(F.size(g.records()) - self.n, F.lit(0)))
 
 
 class ReduceSample(Reduce):
@@ -202,7 +235,7 @@ class ReduceSample(Reduce):
         self.rate, self.seed = rate, seed
 
     def value(self, g):
-        row = F.struct(*[plain(c) for c in g.df.columns if c not in ("_key", "_run")])
+        row = F.struct(*[plain(c) for c in g.df.columns if c not in HIDDEN])
         drawn = F.pmod(F.xxhash64(row, F.lit(self.seed)), F.lit(1 << 30)) < F.lit(int(self.rate * (1 << 30)))
         return F.collect_list(F.when(drawn, row))
 
@@ -213,7 +246,7 @@ class OrderBy(Reduce):
         self.field, self.descend = field, descend
 
     def value(self, g):
-        row = F.struct(*[plain(c) for c in g.df.columns if c not in ("_key", "_run")])
+        row = F.struct(*[plain(c) for c in g.df.columns if c not in HIDDEN])
         return F.transform(F.sort_array(F.collect_list(F.struct(path(g.df, self.field)[0].alias("o"), row.alias("r"))), asc=not self.descend), lambda x: x["r"])
 
 

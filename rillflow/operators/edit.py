@@ -130,11 +130,23 @@ class CopyFields(DictEditBase):
         return df.withColumns({target: path(df, source)[0] for target, source in self.tmp.items()})
 
 
+def alike(values: list) -> list:
+    """Values of one type: as they are, as doubles where all are numbers, else as text."""
+    kinds = {type(v) for v in values if v is not None}
+    if len(kinds) < 2:
+        return values
+    to = float if kinds <= {int, float} else str
+    return [None if v is None else to(v) for v in values]
+
+
 def lookup(df: DataFrame, key, table: dict | DataFrame, to: str) -> DataFrame:
     """Add the value that a dictionary or a (key, value) table has for the column ``key``; null where it has none.
 
     A dictionary of more than LITERAL entries, and any table, is joined, so Spark checks its size before it broadcasts.
+    Values of several types become text, whichever way is taken.
     """
+    if isinstance(table, dict):
+        table = dict(zip(table, alike(list(table.values())), strict=True))
     if isinstance(table, dict) and len(table) <= LITERAL:
         if not table:
             return df.withColumn(to, F.lit(None).cast("string"))

@@ -59,8 +59,10 @@ def condition(df: DataFrame, matcher, key: str | None = None) -> Column:
 
 class _Listed(Filter):
     def __init__(self, cache: dict | set | list | DataFrame, key: str | None = None):
+        from rillflow.operators.edit import alike
+
         super().__init__(key=key)
-        self.cache = cache
+        self.cache = cache if isinstance(cache, DataFrame) else alike(list(cache))
 
     def keeps(self, df):
         if isinstance(self.cache, DataFrame):

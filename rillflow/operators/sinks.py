@@ -69,7 +69,11 @@ class WriteCSV(_Writer):
 
 
 class WriteFiles(Op):
-    """A file for each record, named by a field. Executors write to a folder that all of them share."""
+    """A file for each record, named by a field. Executors write to a folder that all of them share.
+
+    What a name may not hold (``/`` and ``%``) is written as %2F and %25, so that names stay apart. Of records of one name
+    one stays: name_key is to be distinct.
+    """
 
     def __init__(self, output_dir: str, name_key: str = "id", content_key: str = "content", suffix: str | None = None, output_format: str = "auto"):
         self.dir, self.name, self.content, self.suffix = output_dir, name_key, content_key, suffix or ""
@@ -83,7 +87,7 @@ class WriteFiles(Op):
         def write(rows):
             os.makedirs(folder, exist_ok=True)
             for row in rows:
-                at = os.path.join(folder, str(row[0]).replace("/", "_") + suffix)
+                at = os.path.join(folder, str(row[0]).replace("%", "%25").replace("/", "%2F") + suffix)
                 with open(f"{at}.part", "wb") as f:
                     f.write(row[1] or b"")
                 os.replace(f"{at}.part", at)  # a task that runs again leaves whole files

@@ -86,13 +86,38 @@ def text_of(c: Column, kind: T.DataType) -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's checkpoint folder; one is made only where none is set, as in tests."""
+    """Cut the lineage in the session's checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rillflow-"))
+        context.setCheckpointDir(shared_folder(context))
     return df.checkpoint()
 
 
+def shared_folder(context) -> str:
+    """``spark.checkpoint.dir`` of the session; where it is unset a new folder, on a local master alone."""
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not named and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or tempfile.mkdtemp(prefix="rillflow-")
+
+
+class Rejects:
+    """How many values or files could not be worked on, counted over all tasks of a session's actions."""
+
+    counts: dict = {}
+
+    @classmethod
+    def of(cls, spark):
+        if spark.sparkContext not in cls.counts:
+            cls.counts[spark.sparkContext] = spark.sparkContext.accumulator(0)
+        return cls.counts[spark.sparkContext]
+
+
+def rejected(spark) -> int:
+    """Files that could not be parsed and values on which a function raised, so far. Tasks that ran twice count twice."""
+    return Rejects.of(spark).value
+
+
 def with_order(df: DataFrame, *keys: str) -> DataFrame:
     """Add the position of each row, from 0: in the order of the keys, or as Spark reads the source."""
     from rillflow.ordered import numbered

@@ -10,6 +10,7 @@ import email
 import email.policy
 import gzip
 import io
+import itertools
 import json
 import lzma
 import re
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillflow.records import ORD, plain
+from rillflow.records import ORD, Rejects, plain
 
 __all__ = ["CSV", "EML", "MSG", "OST", "PDF", "PPT", "PST", "WET", "Archive", "Array", "BinaryFile", "Directory", "Doc", "Docx", "Excel", "ExcelStream", "FunctionSource", "GdeltTable", "Input", "Json", "JsonArray", "JsonFree", "JsonLine", "MultiLoader", "PPTX", "Parquet", "QueueLoader", "Random", "Rar", "SevenZip", "Source", "String", "Tar", "Text", "TextPlain", "TimedLoader", "Warc", "WikiXml", "WikidataDump", "Yaml", "Zip", "file_source", "parse_files"]
 
@@ -200,14 +201,19 @@ class CSV(_File):
         def rows(name, content):
             import csv
 
-            lines = list(csv.reader(io.StringIO(content.decode("utf8")), delimiter=sep))[skip:]
-            names = lines[0] if header and lines else [f"_c{k}" for k in range(len(lines[0]) if lines else 0)]
-            for line in lines[1:] if header else lines:
-                yield {"row": dict(zip(names, line, strict=False))}
+            lines = csv.reader(io.TextIOWrapper(io.BytesIO(content), "utf8", newline=""), delimiter=sep)
+            names = None
+            for line in itertools.islice(lines, skip, None):
+                if names is None:
+                    names = line if header else [f"_c{k}" for k in range(len(line))]
+                    if header:
+                        continue
+                yield {"names": names, "row": dict(zip(names, line, strict=False))}
 
-        table = parse_files(spark, self.path, rows, "row map<string,string>")
-        keys = [r[0] for r in table.select(F.explode(F.map_keys("row"))).distinct().limit(10_000).collect()]
-        return table.select(*[F.try_element_at("row", F.lit(k)).alias(k) for k in sorted(keys)])
+        table = parse_files(spark, self.path, rows, "names array<string>, row map<string,string>")
+        # a row for each header that occurs; columns in the order of the files that have the most
+        headers = [r[0] for r in table.groupBy("names").count().orderBy(F.desc(F.size("names")), "names").select("names").collect()]
+        return table.select(*[F.try_element_at("row", F.lit(k)).alias(k) for k in dict.fromkeys(n for h in headers for n in h)])
 
 
 class Parquet(_File):
@@ -215,23 +221,31 @@ class Parquet(_File):
         return spark.read.parquet(self.path)
 
 
-def parse_files(spark: SparkSession, path: str | list, parser: Callable, schema: str, glob: str | None = None, recursive: bool = False) -> DataFrame:
-    """Rows that parser(name, bytes) yields for each file, as dictionaries; a file that cannot be parsed gives none."""
+def parse_files(spark: SparkSession, path: str | list, parser: Callable, schema: str, glob: str | None = None, recursive: bool = False, strict: bool = False) -> DataFrame:
+    """Rows that parser(name, bytes) yields for each file, as dictionaries.
+
+    A file that cannot be parsed ends with what it gave so far, and ``records.rejected`` counts it; strict: the job fails.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    kind = T._parse_datatype_string(schema)
+    kind, count = T._parse_datatype_string(schema), Rejects.of(spark)
+
+    def each(name, content):
+        try:
+            yield from parser(name, content)
+        except Exception as e:
+            if strict:
+                raise
+            print(f"{name}: {e}")
+            count.add(1)
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    rows = list(parser(name, bytes(content)))
-                except Exception as e:
-                    print(f"{name}: {e}")
-                    rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=kind.names)
+                rows = each(name, bytes(content))
+                while some := list(itertools.islice(rows, 1000)):
+                    yield pd.DataFrame(some, columns=kind.names)
 
     return reader.load(path).select("path", "content").mapInPandas(run, kind)
 
