@@ -399,8 +399,11 @@ def stream_count(spark, d):
 
 
 def queries():
+    from rillflow import catalogue_io, catalogue_values  # noqa: F401, which add theirs
+
     return QUERIES
 
 
 def oracle_sql():
+    queries()
     return ORACLES

@@ -119,3 +119,8 @@ def _shape(fmt: str) -> str:
     for a, b in (("%Y", r"\d{4}"), ("%y", r"\d{2}"), ("%m", r"\d{2}"), ("%d", r"\d{2}"), ("%H", r"\d{2}"), ("%M", r"\d{2}"), ("%S", r"\d{2}")):
         out = out.replace(a, b)
     return f"^{out}$"
+
+
+#: An instant is the same in every zone, so these have other names alone.
+custom_datetime_to_beijing_timestamp = custom_datetime_to_timestamp
+native_datetime_to_beijing_timestamp = native_datetime_to_timestamp

@@ -465,3 +465,48 @@ def sent2text_sentiment(c, threshold1=0.6, threshold2=0.7):
     pos, neg = F.size(F.filter(c, lambda s: s == "positive")), F.size(F.filter(c, lambda s: s == "negative"))
     voted = pos + neg
     return F.when(n == 0, "neutral").when((voted / n >= 1 - threshold2) & (pos / voted >= threshold1), "positive").when((voted / n >= 1 - threshold2) & (neg / voted >= threshold1), "negative").otherwise("neutral")
+
+
+#: Host names, times of mails and marks of bullets in scanned texts: fixed values.
+HOST = r"[a-zA-Z0-9-]*\.[a-zA-Z]*\.[a-zA-Z]*"
+MAIL_TIME = r"[A-Za-z]{3},\s\d{1,2}\s[A-Za-z]{3}\s\d{4}\s\d{2}:\d{2}:\d{2}\s[+-]\d{4}"
+E_BULLET = r"(?m)^e(?=\s)"
+
+
+@column
+def extract_ip_address_name(c):
+    return F.regexp_extract_all(c, F.lit(HOST), F.lit(0))
+
+
+@column
+def extract_datetimetz(c):
+    """The first time with its offset that a text has."""
+    found = F.regexp_replace(F.substring(F.regexp_extract(c, MAIL_TIME, 0), 6, 100), r"\s+", " ")
+    return F.try_to_timestamp(F.nullif(found, F.lit("")), F.lit("d MMM yyyy HH:mm:ss Z"))
+
+
+@column
+def group_bullet_paragraph(c):
+    """The bullets of a paragraph, each on one line."""
+    text = F.trim(F.regexp_replace(c, E_BULLET, "·"))
+    marked = F.regexp_replace(text, f"([{BULLETS.replace('*', chr(92) + '*').replace('-', chr(92) + '-')}])", "\u0001$1")
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda x: F.regexp_replace(x, r"\s*\n\s*", " ")), lambda x: x != "")
+
+
+@column
+def blank_line_grouper(c):
+    """Paragraphs between blank lines, each on one line."""
+    return group_broken_paragraphs(c)
+
+
+def load_stopwords(spark, path: str) -> frozenset:
+    """The words of a file, one on each line; a list for functions, so of a size that a program holds."""
+    return frozenset(r[0].strip() for r in spark.read.text(path).collect() if r[0].strip())
+
+
+@column
+def format(c, **fields):  # noqa: A001
+    """A template's {names} filled with columns or constants."""
+    for name, value in fields.items():
+        c = F.replace(c, F.lit("{" + name + "}"), value if hasattr(value, "_expr") or hasattr(value, "_jc") else F.lit(str(value)))
+    return c

@@ -30,10 +30,10 @@ def sources() -> dict:
 
 
 def functions() -> dict:
-    from rillflow.functions import dates, domain, strings, texts
+    from rillflow.functions import dates, domain, papers, strings, texts, values
 
     out = {}
-    for module, places in ((domain, ("domain", "arxiv", "gestata.arxiv", "github", "gestata.github", "gdelt", "gestata.gdelt", "corenlu", "gestata.corenlu", "paper", "gestata.paper", "openapi", "gestata.openapi", "geo", "gestata.geo")), (dates, ("dates", "util.dates")), (strings, ("strings", "util", "util.strings", "util.urls", "urls", "digest", "gestata.digest", "util.types", "util.jsons", "clean", "polls", "gestata.polls", "files", "util.files")), (texts, ("texts", "util.split", "split", "markdown", "gestata.markdown", "html", "gestata.html", "nlp", "cnki", "gestata.cnki"))):
+    for module, places in ((domain, ("domain", "arxiv", "gestata.arxiv", "github", "gestata.github", "gdelt", "gestata.gdelt", "corenlu", "gestata.corenlu", "paper", "gestata.paper", "openapi", "gestata.openapi", "geo", "gestata.geo")), (dates, ("dates", "util.dates")), (papers, ("papers", "pdftext", "gestata.pdftext", "paper", "gestata.paper", "report_news1")), (values, ("values", "jsons", "util.jsons", "dicts", "util.dicts", "cc", "gestata.cc", "crawler", "gestata.crawler", "llm", "gestata.llm", "db_util", "doc_tree")), (strings, ("strings", "util", "util.strings", "util.urls", "urls", "digest", "gestata.digest", "util.types", "util.jsons", "clean", "polls", "gestata.polls", "files", "util.files")), (texts, ("texts", "util.split", "split", "markdown", "gestata.markdown", "html", "gestata.html", "nlp", "cnki", "gestata.cnki"))):
         for n, f in vars(module).items():
             if callable(f) and (getattr(f, "builds_column", False) or hasattr(f, "returns")):
                 out[n] = f
