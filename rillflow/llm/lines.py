@@ -72,7 +72,8 @@ def templates(lines: DataFrame, similarity: float, rounds: int = 2) -> DataFrame
     named = left.filter(alone).select("_leaf", "_h", line.alias("_lead"))
     left = left.filter(~alone)
     for _ in range(rounds):
-        leaders = left.groupBy("_leaf").agg(F.min("_line").alias("_lead"))
+        # written first, so that Spark can split a large leaf in the join
+        leaders = checkpointed(left.groupBy("_leaf").agg(F.min("_line").alias("_lead")))
         led = checkpointed(left.join(leaders, "_leaf").withColumn("_near", agreement(line, F.col("_lead")) >= similarity * F.col("_n")))
         named = named.unionByName(led.filter("_near").select("_leaf", "_h", "_lead"))
         left = led.filter("NOT _near").select("_leaf", "_n", "_h", "_line")
