@@ -132,11 +132,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         # Large star: each node sends its larger neighbours to the least node that it knows.
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        # what is joined is written first, so that Spark can split the neighbours of a node that has many
+        least = checkpointed(few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
         large = few(few(both.filter("v > u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v"))
         large = checkpointed(few(large.distinct()))
         # Small star: each node sends its smaller neighbours, and itself, to the least of them.
-        least = few(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = checkpointed(few(large.groupBy("u").agg(F.min("v").alias("m"))))
         small = few(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v"))
         now = checkpointed(few(small.distinct()))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
