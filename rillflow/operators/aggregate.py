@@ -47,8 +47,10 @@ class Grouped:
             return self, F.slice(self.records(), F.greatest(F.size(self.records()) - n, F.lit(0)) + 1 if last else 1, n)
         rank = f"_{'last' if last else 'first'}"
         keys = [F.col("_run")] if "_run" in self.df.columns else []
-        df = self.df if rank in self.df.columns else self.df.withColumn(rank, F.row_number().over(W.partitionBy(*keys, "_key").orderBy(F.desc(self.order) if last else plain(self.order))))
         row = F.struct(*[plain(c) for c in self.df.columns if c not in HIDDEN])
+        # ties by the whole record, as where records are sorted
+        by = [plain(self.order).desc(), row.desc()] if last else [plain(self.order), row]
+        df = self.df if rank in self.df.columns else self.df.withColumn(rank, F.row_number().over(W.partitionBy(*keys, "_key").orderBy(*by)))
         some = F.array_sort(F.collect_list(F.when(F.col(rank) <= n, F.struct(plain(self.order).alias("o"), row.alias("r")))))
         return Grouped(df, self.keys, self.order, self.wanted, self.drop), F.transform(some, lambda x: x["r"])
 
