@@ -1,12 +1,17 @@
 """Quality classifier: random-indexing word vectors, pooled for each document, and a two-layer network.
 
-Every word has a slot by its hash, and so has its shape (letters, capitals, digits and other characters in their order).
-A slot has an index vector, a few random plus and minus ones that its number decides. The context vector of a slot is
-the sum of the index vectors that stand up to two words away from it, over all words of all documents. A document is
+Every word has an index vector, a few random plus and minus ones that a 63-bit hash of the word decides. Its context vector is
+the sum of the index vectors that stand up to two words away from it, over all words of all documents. The shape of a word
+(letters, capitals, digits and other characters in their order) has the sum of the context vectors of its words. A document is
 the mean and the spread of its words' context vectors, the mean of its shapes', and the logarithm of its length.
 
-The number of slots is fixed, so the table that tasks sum up and later read is bounded, whatever the input: ``SLOTS`` x
-``SIZE`` numbers of four bytes, 4 MB.
+The table of vectors is exact, a row for each distinct word, and is never in one place: blocks of texts sum up their own
+words, parts of the hash's range add the sums of all blocks and answer each block for the words it has, and the block pools
+its texts. Sums are integers and vectors are rounded to 1/16,384, so no order of adding changes a score. A part has a
+share of all distinct words and of the blocks' asks; ``spark.sql.shuffle.partitions`` says how many parts there are.
+
+Texts are read twice, once for the sums and once for the pooling. Where anything but files, projections and filters makes the rows
+they are written first, so that both passes cut them into the same blocks.
 
 The network (one hidden layer, Adam, numpy) learns from labelled documents, some ``most_rows`` of them at most, drawn by a hash
 of the key; a fifth of them is set aside, and there one temperature is fitted by which the logits are divided. Labels,
@@ -19,6 +24,8 @@ left out, as is a null label. An empty table gives no rows. Extra columns are no
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,10 +33,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import checkpointed, mixed, split_words, text_chunks, word_hashes
+from rillflow.llm.bpe import first_rows, packed, reads_alike, unpacked
+from rillflow.llm.common import checkpointed, mixed, parts_for, split_words, text_chunks, tidy, word_hashes
+from rillflow.llm.lm import packed_sorted, unpacked_sorted
 
-CHUNK_BYTES = 3_000_000
-SLOTS, SIZE, RANGES = 1 << 15, 32, 32
+BLOCK_BYTES = 12_000_000
+#: Words that are worked on at a time.
+SLICE_WORDS = 200_000
+SIZE, WINDOW, PRECISION = 32, 2, 1 << 14
 FEATURES = 3 * SIZE + 1
 #: What a word's shape keeps of it: fixed values.
 KINDS = ((r"\p{Lu}+", "A"), (r"[\p{Ll}\p{Lo}\p{Lt}\p{Lm}\p{M}]+", "a"), (r"\p{N}+", "0"))
@@ -42,110 +53,165 @@ def shapes_of(words: pa.Array) -> pa.Array:
     return words
 
 
-def index_vectors(kept: list = []) -> np.ndarray:
-    """SLOTS x SIZE: four places of each slot hold plus or minus one."""
-    if not kept:
-        out = np.zeros((SLOTS, SIZE), np.float32)
-        slot = np.arange(SLOTS, dtype=np.uint64)
-        for k in range(4):
-            h = mixed(slot * np.uint64(4) + np.uint64(k) + np.uint64(0x51ED270B))
-            out[np.arange(SLOTS), (h % np.uint64(SIZE)).astype(np.int64)] = np.where((h >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
-        kept.append(out)
-    return kept[0]
-
-
-def slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The slot of every word and of its shape, and where each text's begin."""
-    codes, offsets, words = split_words(texts)
-    if not len(codes):
-        return codes, codes, offsets
-    own = (word_hashes(words) % np.uint64(SLOTS)).astype(np.int64)
-    kinds = shapes_of(words).dictionary_encode()
-    shapes = (word_hashes(pc.binary_join_element_wise("\x00", kinds.dictionary, "")) % np.uint64(SLOTS)).astype(np.int64)
-    return own[codes], shapes[kinds.indices.to_numpy()][codes], offsets
+def index_vectors(keys: np.ndarray) -> np.ndarray:
+    """Four places of each key hold plus or minus one."""
+    out = np.zeros((len(keys), SIZE), np.int8)
+    rows, h = np.arange(len(keys)), keys.astype(np.uint64)
+    for _ in range(4):
+        h = mixed(h + np.uint64(0x9E3779B97F4A7C15))
+        out[rows, (h % np.uint64(SIZE)).astype(np.int64)] = np.where((h >> np.uint64(40)) & np.uint64(1), 1, -1)
+    return out
 
 
-def near_words(slot: np.ndarray, offsets: np.ndarray, window: int = 2) -> np.ndarray:
+def packed_sums(x: np.ndarray) -> bytes:
+    """Signed numbers, byte plane by byte plane; most are near zero."""
+    raw = np.ascontiguousarray(((x << 1) ^ (x >> 63)).astype("<u8").ravel()).view(np.uint8).reshape(-1, 8)
+    width = max(1, int(np.flatnonzero(raw.any(axis=0)).max(initial=0)) + 1)
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(raw[:, :width].T))
+
+
+def unpacked_sums(x: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x[1:]), np.uint8).reshape(x[0], -1)
+    raw = np.zeros((planes.shape[1], 8), np.uint8)
+    raw[:, : x[0]] = planes.T
+    z = raw.view("<u8").ravel()
+    return ((z >> np.uint64(1)).astype(np.int64) ^ -(z & np.uint64(1)).astype(np.int64)).reshape(-1, SIZE)
+
+
+class Block:
+    """The words of some texts: the code of each, and where the word and its shape stand among the sorted keys."""
+
+    def __init__(self, texts: pa.Array):
+        lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype("<i8")
+        first = int(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset]) if len(texts) else 0
+        self.name = hashlib.blake2b(lengths.tobytes(), digest_size=16)
+        self.name.update(memoryview(texts.buffers()[2] or b"")[first : first + int(lengths.sum())])
+        codes, self.offsets, words = split_words(texts)
+        often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.int32)
+        rank[often] = np.arange(len(words), dtype=np.int32)
+        # frequent words get the small codes, which pack well
+        self.codes, words = rank[codes], words.take(pa.array(often))
+        kinds = shapes_of(words).dictionary_encode()
+        own = (word_hashes(words) >> np.uint64(1)).astype(np.int64)
+        shapes = (mixed(word_hashes(kinds.dictionary) + np.uint64(1)) >> np.uint64(1)).astype(np.int64)
+        self.index = own
+        self.keys, place = np.unique(np.concatenate([own, shapes]), return_inverse=True)
+        self.word, self.shape = place[: len(own)], place[len(own) :][kinds.indices.to_numpy(zero_copy_only=False)]
+
+    def sums(self) -> np.ndarray:
+        """For each key the sum of the index vectors around its words."""
+        index, n = index_vectors(self.index), len(self.codes)
+        by_word = np.zeros((len(self.index), SIZE), np.int64)
+        for at in range(0, n, SLICE_WORDS):
+            stop = min(n, at + SLICE_WORDS)
+            low, high = max(0, at - WINDOW), min(n, stop + WINDOW)
+            near = near_words(index[self.codes[low:high]], np.searchsorted(self.offsets, np.arange(low, high), side="right"))[at - low : stop - low]
+            code = self.codes[at:stop]
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            by_word[code[first]] += np.add.reduceat(near[order].astype(np.int32), first, axis=0)
+        out = np.zeros((len(self.keys), SIZE), np.int64)
+        for place in (self.word, self.shape):
+            order = np.argsort(place, kind="stable")
+            first = np.flatnonzero(np.append(True, place[order][1:] != place[order][:-1]))[: len(place)]
+            if len(first):
+                out[place[order][first]] += np.add.reduceat(by_word[order], first, axis=0)
+        return out
+
+
+def near_words(index: np.ndarray, text: np.ndarray) -> np.ndarray:
     """For each word the sum of the index vectors around it in its text."""
-    index = index_vectors()[slot]
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     out = np.zeros_like(index)
-    for d in range(1, window + 1):
+    for d in range(1, WINDOW + 1):
         same = (text[d:] == text[:-d])[:, None]
         out[d:] += index[:-d] * same
         out[:-d] += index[d:] * same
     return out
 
 
-def add_by_slot(table: np.ndarray, slot: np.ndarray, value: np.ndarray) -> None:
-    order = np.argsort(slot, kind="stable")
-    s = slot[order]
-    at = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-    table[s[at]] += np.add.reduceat(value[order], at, axis=0)
-
-
-def context_vectors(docs: DataFrame) -> np.ndarray:
-    """SLOTS x SIZE, each of length one (or zero), summed over all texts of the column ``text``."""
-
-    def gather(batches):
-        table = np.zeros((SLOTS, SIZE), np.float64)
-        for batch in batches:
-            for at, stop in text_chunks(batch.column(0), CHUNK_BYTES):
-                own, shapes, offsets = slots(batch.column(0).slice(at, stop - at))
-                if len(own):
-                    around = near_words(own, offsets)
-                    add_by_slot(table, own, around)
-                    add_by_slot(table, shapes, around)
-        wide = SLOTS // RANGES
-        yield pa.RecordBatch.from_pydict({"range": pa.array(range(RANGES), pa.int32()), "sums": pa.array([zstandard.compress(table[k * wide : (k + 1) * wide].astype("<i8").tobytes()) for k in range(RANGES)], pa.binary())})
-
-    def add(key, batches):
-        # one table at a time, however many tasks there were
-        total = np.zeros(SLOTS // RANGES * SIZE, np.int64)
-        for batch in batches:
-            for x in batch.column("sums"):
-                total += np.frombuffer(zstandard.decompress(x.as_py()), "<i8")
-        yield pa.RecordBatch.from_pydict({"range": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
-
-    def add_table(key, table):
-        return pa.Table.from_batches(list(add(key, table.to_batches())))
-
-    rows = docs.select("text").mapInArrow(gather, "range int, sums binary").groupBy("range").applyInArrow(add_table, "range int, sums binary").collect()
-    out = np.zeros((RANGES, SLOTS // RANGES * SIZE))
-    for row in rows:
-        out[row["range"]] = np.frombuffer(row["sums"], "<i8")
-    out = out.reshape(SLOTS, SIZE)
-    norm = np.sqrt((out**2).sum(axis=1, keepdims=True))
-    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0).astype(np.float32)
-
-
-def features_of(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    own, shapes, offsets = slots(texts)
+def bounds_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each part begins among sorted keys: parts are equal ranges of the keys."""
+    return np.searchsorted((keys >> 31) * parts >> 32, np.arange(parts + 1))
+
+
+def features_of(codes: np.ndarray, offsets: np.ndarray, word: np.ndarray, shape: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """A row for each text, of the sums of its keys."""
+    norm = np.sqrt((sums.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+    vectors = np.rint(np.divide(sums * float(PRECISION), norm, out=np.zeros(sums.shape), where=norm > 0)).astype(np.int32)
+    total = np.zeros((len(offsets) - 1, 3 * SIZE), np.int64)
+    for at in range(0, len(codes), SLICE_WORDS):
+        stop = min(len(codes), at + SLICE_WORDS)
+        start = np.unique(np.append(at, offsets[(offsets > at) & (offsets < stop)]))
+        text = np.searchsorted(offsets, start, side="right") - 1
+        v = vectors[word[codes[at:stop]]]
+        total[text, :SIZE] += np.add.reduceat(v, start - at, axis=0, dtype=np.int64)
+        total[text, SIZE : 2 * SIZE] += np.add.reduceat(v * v, start - at, axis=0, dtype=np.int64)
+        total[text, 2 * SIZE :] += np.add.reduceat(vectors[shape[codes[at:stop]]], start - at, axis=0, dtype=np.int64)
     n = np.diff(offsets)
-    out = np.zeros((len(n), FEATURES), np.float32)
-    some = np.flatnonzero(n)
-    if len(some):
-        at, size = offsets[:-1][some], n[some][:, None].astype(np.float32)
-        v = vectors[own]
-        mean = np.add.reduceat(v, at, axis=0) / size
-        out[some, :SIZE] = mean
-        out[some, SIZE : 2 * SIZE] = np.sqrt(np.maximum(0, np.add.reduceat(v * v, at, axis=0) / size - mean * mean))
-        out[some, 2 * SIZE : 3 * SIZE] = np.add.reduceat(vectors[shapes], at, axis=0) / size
-    out[:, -1] = np.log1p(n)
-    return out
+    out = total / np.maximum(1, n)[:, None]
+    out[:, :SIZE] /= PRECISION
+    out[:, 2 * SIZE :] /= PRECISION
+    out[:, SIZE : 2 * SIZE] = np.sqrt(np.maximum(0, out[:, SIZE : 2 * SIZE] / PRECISION**2 - out[:, :SIZE] ** 2))
+    return np.column_stack([out, np.log1p(n)]).astype(np.float32)
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
+def pooled(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, features) of (doc_id, held_out, text)."""
+    parts = parts_for(docs)
 
-    def pool(batches):
+    def ask(batches):
         for batch in batches:
-            for at, stop in text_chunks(batch.column(2), CHUNK_BYTES):
-                part = batch.slice(at, stop - at)
-                rows = features_of(part.column(2), vectors).astype("<f4")
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "held_out", "features"])
-
-    return docs.select("doc_id", "held_out", "text").mapInArrow(pool, "doc_id long, held_out boolean, features binary")
+            for at, stop in text_chunks(batch.column(2), BLOCK_BYTES):
+                block = Block(batch.column(2).slice(at, stop - at))
+                sums, bounds = block.sums(), bounds_of(block.keys, parts)
+                some = np.flatnonzero(np.diff(bounds)).tolist()
+                own = [slice(bounds[p], bounds[p + 1]) for p in some]
+                columns = {"block": pa.array([block.name.digest()] * len(some), pa.binary()), "part": pa.array(some, pa.int32())}
+                yield pa.RecordBatch.from_pydict({**columns, "keys": pa.array([packed_sorted(block.keys[k]) for k in own], pa.binary()), "sums": pa.array([packed_sums(sums[k]) for k in own], pa.binary())})
+                del block, sums
+                tidy()
+
+    def add(key, table):
+        names = table.column("block").to_pylist()
+        keys = np.unique(np.concatenate([unpacked_sorted(x.as_py()) for x in table.column("keys")]))
+        total = np.zeros((len(keys), SIZE), np.int64)
+        for x, s in zip(table.column("keys"), table.column("sums"), strict=True):
+            total[np.searchsorted(keys, unpacked_sorted(x.as_py()))] += unpacked_sums(s.as_py())
+        first = first_rows(names)
+        out = [packed_sums(total[np.searchsorted(keys, unpacked_sorted(table.column("keys")[k].as_py()))]) for k in first]
+        tidy()
+        return pa.table({"block": pa.array([names[k] for k in first], pa.binary()), "part": table.column("part").take(first), "sums": pa.array(out, pa.binary())})
+
+    def code(batches):
+        for batch in batches:
+            for at, stop in text_chunks(batch.column(2), BLOCK_BYTES):
+                block = Block(batch.column(2).slice(at, stop - at))
+                keys, held = (batch.column(k).slice(at, stop - at).to_pylist() for k in (0, 1))
+                columns = {"block": pa.array([block.name.digest()], pa.binary()), "keys": pa.array([keys], pa.list_(pa.int64())), "held": pa.array([held], pa.list_(pa.bool_()))}
+                yield pa.RecordBatch.from_pydict({**columns, "wanted": pa.array([len(block.keys)], pa.int64()), **{c: pa.array([packed(x)], pa.binary()) for c, x in (("codes", block.codes), ("lengths", np.diff(block.offsets)), ("word", block.word), ("shape", block.shape))}})
+                del block
+                tidy()
+
+    def pool(left, right):
+        sums = np.concatenate([np.zeros((0, SIZE), np.int64), *(unpacked_sums(x.as_py()) for x in right.sort_by("part").column("sums"))])
+        tables = []
+        for row in left.to_pylist():
+            if row["wanted"] != len(sums):  # a block that was made again from rows in another order is not mixed up with the first
+                raise RuntimeError("the words of a block of texts are incomplete: read the texts from files")
+            offsets = np.concatenate([[0], np.cumsum(unpacked(row["lengths"]).astype(np.int64))])
+            rows = features_of(*(x if k == 1 else unpacked(x).astype(np.int32) for k, x in enumerate((row["codes"], offsets, row["word"], row["shape"]))), sums).astype("<f4")
+            tables.append(pa.table({"doc_id": pa.array(row["keys"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "features": pa.array([r.tobytes() for r in rows], pa.binary())}))
+            tidy()
+        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("features", pa.binary())])
+        return pa.concat_tables([schema.empty_table(), *tables])
+
+    docs = docs.select("doc_id", "held_out", "text")
+    docs = docs if reads_alike(docs) else checkpointed(docs)
+    answers = docs.mapInArrow(ask, "block binary, part int, keys binary, sums binary").groupBy("part").applyInArrow(add, "block binary, part int, sums binary")
+    blocks = docs.mapInArrow(code, "block binary, keys array<long>, held array<boolean>, wanted long, codes binary, lengths binary, word binary, shape binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(pool, "doc_id long, held_out boolean, features binary")
 
 
 class Network:
@@ -190,7 +256,7 @@ def classified(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     """doc_id, held_out, score, predicted of every document."""
     name = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary")
     base = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), (F.crc32(name) % modulus == remainder).alias("held_out"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    rows = checkpointed(pooled(base, context_vectors(base)))
+    rows = checkpointed(pooled(base))
     marked = labels.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("y")).filter("y IS NOT NULL")
     marked = rows.filter("NOT held_out").join(marked, "doc_id").select("features", "y", F.xxhash64("doc_id", "y").alias("h"))
     there = marked.count()

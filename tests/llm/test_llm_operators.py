@@ -684,6 +684,57 @@ def test_classifier(spark, words):
     assert classified(docs.limit(0), labels).count() == 0
 
 
+def test_word_vectors(spark, docs, corpus, monkeypatch):
+    from rillflow.llm import quality as Q
+    from rillflow.llm.common import mixed, word_hashes
+
+    def shape(w):
+        for pattern, mark in Q.KINDS:
+            w = re_unicode.sub(pattern, mark, w)
+        return w
+
+    import regex as re_unicode
+
+    texts = [t or "" for _, t, _, _ in corpus]
+    split = [WORD.findall(t) for t in texts]
+    key = lambda w: int(word_hashes(pa.array([w]))[0]) >> 1
+    index = {w: Q.index_vectors(np.array([key(w)]))[0].astype(int) for ws in split for w in ws}
+    sums, shapes = collections.defaultdict(lambda: np.zeros(Q.SIZE, int)), collections.defaultdict(lambda: np.zeros(Q.SIZE, int))
+    for ws in split:
+        for k, w in enumerate(ws):
+            for j in range(max(0, k - 2), min(len(ws), k + 3)):
+                if j != k:
+                    sums[w] = sums[w] + index[ws[j]]
+                    shapes[shape(w)] = shapes[shape(w)] + index[ws[j]]
+    unit = lambda x: np.rint(x / (np.sqrt((x**2).sum()) or 1) * Q.PRECISION) / Q.PRECISION
+    truth = []
+    for ws in split:
+        v = np.array([unit(sums[w]) for w in ws]).reshape(-1, Q.SIZE)
+        s = np.array([unit(shapes[shape(w)]) for w in ws]).reshape(-1, Q.SIZE)
+        rows = [v.mean(axis=0), v.std(axis=0), s.mean(axis=0)] if ws else [np.zeros(3 * Q.SIZE)]
+        truth.append(np.concatenate([*rows, [np.log1p(len(ws))]]))
+    table = docs.select("doc_id", F.lit(False).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    got = Q.pooled(table).collect()
+    assert len(got) == len(corpus)
+    by_id = {k: truth[i] for i, (k, *_) in enumerate(corpus)}
+    for r in got:
+        assert np.allclose(np.frombuffer(r.features, "<f4"), by_id[r.doc_id], atol=2e-4)
+    # the same bytes however texts are cut into blocks and slices, and for equal texts
+    one = {r.doc_id: bytes(r.features) for r in Q.pooled(table.coalesce(1)).collect()}
+    assert one == {r.doc_id: bytes(r.features) for r in got} and one[0] == one[60]
+    monkeypatch.setattr(Q, "SLICE_WORDS", 7)
+    block = Q.Block(pa.array(texts))
+    rows = Q.features_of(block.codes, block.offsets, block.word, block.shape, block.sums())
+    assert [r.tobytes() for r in rows] == [one[k] for k, *_ in corpus]
+    part = Q.Block(pa.array(["x", *texts[:9]]).slice(1))
+    assert part.name.digest() == Q.Block(pa.array(texts[:9])).name.digest() != Q.Block(pa.array(texts[:8])).name.digest()
+    x = np.array([[0, -1, 5, 1 << 40, -(1 << 41), *[0] * 27]])
+    assert (Q.unpacked_sums(Q.packed_sums(x)) == x).all() and Q.unpacked_sums(Q.packed_sums(x[:0])).shape == (0, Q.SIZE)
+    keys = np.sort(mixed(np.arange(1000, dtype=np.uint64)) >> np.uint64(1)).astype(np.int64)
+    bounds = Q.bounds_of(keys, 7)
+    assert bounds[0] == 0 and bounds[-1] == 1000 and min(np.diff(bounds)) > 90
+
+
 def test_best_fit():
     from rillflow.llm.packing import best_fit
 
