@@ -40,6 +40,8 @@ from rillflow.llm.lm import packed_sorted, unpacked_sorted
 BLOCK_BYTES = 12_000_000
 #: Words that are worked on at a time.
 SLICE_WORDS = 200_000
+#: Rows that a lane of 16 bits can add.
+LANE_ROWS = 8_000
 SIZE, WINDOW, PRECISION = 32, 2, 1 << 14
 FEATURES = 3 * SIZE + 1
 #: What a word's shape keeps of it: fixed values.
@@ -102,16 +104,20 @@ class Block:
     def sums(self) -> np.ndarray:
         """For each key the sum of the index vectors around its words."""
         index, n = index_vectors(self.index), len(self.codes)
-        by_word = np.zeros((len(self.index), SIZE), np.int64)
+        by_word = np.zeros((len(self.index), SIZE), np.int32)
         for at in range(0, n, SLICE_WORDS):
             stop = min(n, at + SLICE_WORDS)
             low, high = max(0, at - WINDOW), min(n, stop + WINDOW)
-            near = near_words(index[self.codes[low:high]], np.searchsorted(self.offsets, np.arange(low, high), side="right"))[at - low : stop - low]
+            near = near_words(np.take(index, self.codes[low:high], axis=0), np.searchsorted(self.offsets, np.arange(low, high), side="right"))[at - low : stop - low]
             code = self.codes[at:stop]
             order = np.argsort(code, kind="stable")
             code = code[order]
             first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-            by_word[code[first]] += np.add.reduceat(near[order].astype(np.int32), first, axis=0)
+            # four numbers from 0 to 4 * WINDOW in each 64-bit lane are added at once, so few that none overflows
+            first = np.union1d(first, np.arange(0, stop - at, LANE_ROWS))
+            lanes = (np.take(near, order, axis=0).astype(np.uint16) + np.uint16(2 * WINDOW)).view("<u8")
+            sums = np.add.reduceat(lanes, first, axis=0).view(np.uint16).astype(np.int32) - 2 * WINDOW * np.diff(np.append(first, stop - at)).astype(np.int32)[:, None]
+            np.add.at(by_word, code[first], sums)
         out = np.zeros((len(self.keys), SIZE), np.int64)
         for place in (self.word, self.shape):
             order = np.argsort(place, kind="stable")
@@ -125,9 +131,11 @@ def near_words(index: np.ndarray, text: np.ndarray) -> np.ndarray:
     """For each word the sum of the index vectors around it in its text."""
     out = np.zeros_like(index)
     for d in range(1, WINDOW + 1):
-        same = (text[d:] == text[:-d])[:, None]
-        out[d:] += index[:-d] * same
-        out[:-d] += index[d:] * same
+        apart = np.flatnonzero(text[d:] != text[:-d])
+        for one, other in ((slice(d, None), slice(None, -d)), (slice(None, -d), slice(d, None))):
+            next_to = index[other].copy()
+            next_to[apart] = 0
+            out[one] += next_to
     return out
 
 
@@ -136,19 +144,25 @@ def bounds_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted((keys >> 31) * parts >> 32, np.arange(parts + 1))
 
 
-def features_of(codes: np.ndarray, offsets: np.ndarray, word: np.ndarray, shape: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """A row for each text, of the sums of its keys."""
+def unit_vectors(sums: np.ndarray) -> np.ndarray:
+    """Each row at length PRECISION (or zero), rounded."""
     norm = np.sqrt((sums.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
-    vectors = np.rint(np.divide(sums * float(PRECISION), norm, out=np.zeros(sums.shape), where=norm > 0)).astype(np.int32)
+    return np.rint(np.divide(sums * float(PRECISION), norm, out=np.zeros(sums.shape), where=norm > 0)).astype(np.int16)
+
+
+def features_of(codes: np.ndarray, offsets: np.ndarray, word: np.ndarray, shape: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """A row for each text, of the vectors of its keys."""
     total = np.zeros((len(offsets) - 1, 3 * SIZE), np.int64)
     for at in range(0, len(codes), SLICE_WORDS):
         stop = min(len(codes), at + SLICE_WORDS)
         start = np.unique(np.append(at, offsets[(offsets > at) & (offsets < stop)]))
         text = np.searchsorted(offsets, start, side="right") - 1
-        v = vectors[word[codes[at:stop]]]
-        total[text, :SIZE] += np.add.reduceat(v, start - at, axis=0, dtype=np.int64)
-        total[text, SIZE : 2 * SIZE] += np.add.reduceat(v * v, start - at, axis=0, dtype=np.int64)
-        total[text, 2 * SIZE :] += np.add.reduceat(vectors[shape[codes[at:stop]]], start - at, axis=0, dtype=np.int64)
+        # whole numbers below 2 ** 53: doubles add them without a rest
+        v = np.take(vectors, word[codes[at:stop]], axis=0).astype(np.float64)
+        s = np.take(vectors, shape[codes[at:stop]], axis=0).astype(np.float64)
+        for k, low, high in zip(text, start - at, np.append(start[1:], stop) - at, strict=True):
+            own = v[low:high]
+            total[k] += np.concatenate([own.sum(axis=0), np.einsum("ij,ij->j", own, own), s[low:high].sum(axis=0)]).astype(np.int64)
     n = np.diff(offsets)
     out = total / np.maximum(1, n)[:, None]
     out[:, :SIZE] /= PRECISION
@@ -195,13 +209,13 @@ def pooled(docs: DataFrame) -> DataFrame:
                 tidy()
 
     def pool(left, right):
-        sums = np.concatenate([np.zeros((0, SIZE), np.int64), *(unpacked_sums(x.as_py()) for x in right.sort_by("part").column("sums"))])
+        vectors = np.concatenate([np.zeros((0, SIZE), np.int16), *(unit_vectors(unpacked_sums(x.as_py())) for x in right.sort_by("part").column("sums"))])
         tables = []
         for row in left.to_pylist():
-            if row["wanted"] != len(sums):  # a block that was made again from rows in another order is not mixed up with the first
+            if row["wanted"] != len(vectors):  # a block that was made again from rows in another order is not mixed up with the first
                 raise RuntimeError("the words of a block of texts are incomplete: read the texts from files")
             offsets = np.concatenate([[0], np.cumsum(unpacked(row["lengths"]).astype(np.int64))])
-            rows = features_of(*(x if k == 1 else unpacked(x).astype(np.int32) for k, x in enumerate((row["codes"], offsets, row["word"], row["shape"]))), sums).astype("<f4")
+            rows = features_of(*(x if k == 1 else unpacked(x).astype(np.int32) for k, x in enumerate((row["codes"], offsets, row["word"], row["shape"]))), vectors).astype("<f4")
             tables.append(pa.table({"doc_id": pa.array(row["keys"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "features": pa.array([r.tobytes() for r in rows], pa.binary())}))
             tidy()
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("features", pa.binary())])

@@ -722,9 +722,10 @@ def test_word_vectors(spark, docs, corpus, monkeypatch):
     # the same bytes however texts are cut into blocks and slices, and for equal texts
     one = {r.doc_id: bytes(r.features) for r in Q.pooled(table.coalesce(1)).collect()}
     assert one == {r.doc_id: bytes(r.features) for r in got} and one[0] == one[60]
-    monkeypatch.setattr(Q, "SLICE_WORDS", 7)
+    monkeypatch.setattr(Q, "SLICE_WORDS", 70)
+    monkeypatch.setattr(Q, "LANE_ROWS", 9)
     block = Q.Block(pa.array(texts))
-    rows = Q.features_of(block.codes, block.offsets, block.word, block.shape, block.sums())
+    rows = Q.features_of(block.codes, block.offsets, block.word, block.shape, Q.unit_vectors(block.sums()))
     assert [r.tobytes() for r in rows] == [one[k] for k, *_ in corpus]
     part = Q.Block(pa.array(["x", *texts[:9]]).slice(1))
     assert part.name.digest() == Q.Block(pa.array(texts[:9])).name.digest() != Q.Block(pa.array(texts[:8])).name.digest()
