@@ -37,7 +37,7 @@ from rillflow.llm.bpe import first_rows, packed, reads_alike, unpacked
 from rillflow.llm.common import checkpointed, mixed, parts_for, split_words, text_chunks, tidy, word_hashes
 from rillflow.llm.lm import packed_sorted, unpacked_sorted
 
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 32_000_000
 #: Words that are worked on at a time.
 SLICE_WORDS = 200_000
 #: Rows that a lane of 16 bits can add.
