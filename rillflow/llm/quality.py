@@ -37,7 +37,7 @@ from rillflow.llm.bpe import first_rows, packed, reads_alike, unpacked
 from rillflow.llm.common import checkpointed, mixed, parts_for, split_words, text_chunks, tidy, word_hashes
 from rillflow.llm.lm import packed_sorted, unpacked_sorted
 
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 16_000_000
 #: Words that are worked on at a time.
 SLICE_WORDS = 200_000
 #: Rows that a lane of 16 bits can add.
@@ -67,6 +67,7 @@ def index_vectors(keys: np.ndarray) -> np.ndarray:
 
 def packed_sums(x: np.ndarray) -> bytes:
     """Signed numbers, byte plane by byte plane; most are near zero."""
+    x = x.astype(np.int64)
     raw = np.ascontiguousarray(((x << 1) ^ (x >> 63)).astype("<u8").ravel()).view(np.uint8).reshape(-1, 8)
     width = max(1, int(np.flatnonzero(raw.any(axis=0)).max(initial=0)) + 1)
     return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(raw[:, :width].T))
@@ -118,12 +119,13 @@ class Block:
             lanes = (np.take(near, order, axis=0).astype(np.uint16) + np.uint16(2 * WINDOW)).view("<u8")
             sums = np.add.reduceat(lanes, first, axis=0).view(np.uint16).astype(np.int32) - 2 * WINDOW * np.diff(np.append(first, stop - at)).astype(np.int32)[:, None]
             np.add.at(by_word, code[first], sums)
-        out = np.zeros((len(self.keys), SIZE), np.int64)
+        out = np.zeros((len(self.keys), SIZE), np.int32)
         for place in (self.word, self.shape):
             order = np.argsort(place, kind="stable")
-            first = np.flatnonzero(np.append(True, place[order][1:] != place[order][:-1]))[: len(place)]
+            place = place[order]
+            first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))[: len(place)]
             if len(first):
-                out[place[order][first]] += np.add.reduceat(by_word[order], first, axis=0)
+                out[place[first]] += np.add.reduceat(by_word[order], first, axis=0)
         return out
 
 
