@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+#: Rows of a small table that one partition holds.
+GATHERED = 100_000
+
+
 def shared_folder(context) -> str:
     """``spark.checkpoint.dir`` of the session; where it is unset a new folder, on a local master alone."""
     named = context.getConf().get("spark.checkpoint.dir")
@@ -31,7 +35,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def gathered(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+def gathered(df: DataFrame, rows: int, each: int = GATHERED) -> DataFrame:
     """Rows in as many partitions as they fill, ``each`` rows in one: what is small is not written as many tiny files."""
     return df.coalesce(max(1, -(-rows // each)))
 
@@ -123,6 +127,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct())
     rows = now.count()
     few = lambda df: gathered(df, rows)
+    # what is joined is written first, so that Spark can split the neighbours of a node that has many; not where one
+    # partition holds all of them, as every job leaves its plan in the driver's memory
+    written = checkpointed if rows > GATHERED else lambda df: df
     now = few(now)
     while True:
         # a star forest: what has a link has one, and is no other's root
@@ -132,12 +139,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         # Large star: each node sends its larger neighbours to the least node that it knows.
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # what is joined is written first, so that Spark can split the neighbours of a node that has many
-        least = checkpointed(few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
+        least = written(few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
         large = few(few(both.filter("v > u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v"))
         large = checkpointed(few(large.distinct()))
         # Small star: each node sends its smaller neighbours, and itself, to the least of them.
-        least = checkpointed(few(large.groupBy("u").agg(F.min("v").alias("m"))))
+        least = written(few(large.groupBy("u").agg(F.min("v").alias("m"))))
         small = few(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v"))
         now = checkpointed(few(small.distinct()))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
