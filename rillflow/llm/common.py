@@ -127,9 +127,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct())
     rows = now.count()
     few = lambda df: gathered(df, rows)
-    # what is joined is written first, so that Spark can split the neighbours of a node that has many; not where one
-    # partition holds all of them, as every job leaves its plan in the driver's memory
-    written = checkpointed if rows > GATHERED else lambda df: df
+    # what is joined is written first, so that Spark can split the neighbours of a node that has many, or broadcast where
+    # there are GATHERED links at most (no step makes more of them): every job leaves its plan in the driver's memory
+    written = checkpointed if rows > GATHERED else F.broadcast
     now = few(now)
     while True:
         # a star forest: what has a link has one, and is no other's root
