@@ -126,6 +126,16 @@ def unpacked(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def packed_set(x: np.ndarray) -> bytes:
+    """Distinct numbers, each by how far it is from the one below."""
+    x = np.unique(x).astype(np.int64)
+    return packed(np.diff(x, prepend=0))
+
+
+def unpacked_set(x: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(x).astype(np.int64))
+
+
 def packed_words(words: pa.Array) -> tuple[bytes, bytes]:
     """The bytes of some words, and how many each has."""
     lengths = pc.binary_length(words).to_numpy(zero_copy_only=False)
@@ -245,7 +255,7 @@ class Pieces:
 def answers_of(blocks: DataFrame, path: str, only_ids: bool) -> DataFrame:
     """What each part answers: (key, part, data, counts), the ids of each block's words and how many each word has.
 
-    only_ids: (key, ids), the distinct ids among them.
+    only_ids: (key, ids), the distinct ids among them, packed.
     """
 
     def answer(key, table):
@@ -265,19 +275,32 @@ def answers_of(blocks: DataFrame, path: str, only_ids: bool) -> DataFrame:
             n = count[own]
             ends = np.cumsum(n)
             some = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[own] - (ends - n), n)]
-            rows.append(np.unique(some).astype(np.int32) if only_ids else (packed(some), packed(n)))
+            rows.append(packed_set(some) if only_ids else (packed(some), packed(n)))
         names = [b.hex().upper() for b in table.column("block").to_pylist()]
         tidy()
         if only_ids:
-            return pa.table({"key": names, "ids": pa.array([r.tolist() for r in rows], pa.list_(pa.int32()))})
+            return pa.table({"key": names, "ids": pa.array(rows, pa.binary())})
         return pa.table({"key": names, "part": table.column("part"), "data": pa.array([r[0] for r in rows], pa.binary()), "counts": pa.array([r[1] for r in rows], pa.binary())})
 
-    return blocks.filter("part >= 0").groupBy("key").applyInArrow(answer, "key string, ids array<int>" if only_ids else "key string, part int, data binary, counts binary")
+    return blocks.filter("part >= 0").groupBy("key").applyInArrow(answer, "key string, ids binary" if only_ids else "key string, part int, data binary, counts binary")
+
+
+def united(wanted: DataFrame) -> DataFrame:
+    """(key, ids), each block once with its distinct ids, of (key, ids packed) from all parts.
+
+    The parts' answers of a block have many ids in common, the more parts there are: they are one set before they are rows.
+    """
+
+    def unite(key, table):
+        ids = np.unique(np.concatenate([unpacked_set(x.as_py()) for x in table.column("ids")]))
+        return pa.table({"key": [key[0].as_py()], "ids": pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))})
+
+    return wanted.groupBy("key").applyInArrow(unite, "key string, ids array<int>")
 
 
 def joined_pieces(wanted: DataFrame, path: str) -> DataFrame:
-    """(key, id, piece): the distinct ids of each block, joined with the table of pieces."""
-    return wanted.select("key", F.explode("ids").alias("id")).distinct().join(pieces_table(wanted.sparkSession, path), "id").select(F.col("key").alias("key"), "id", "piece")
+    """(key, id, piece) of (key, ids): the ids of each block, a row each, joined with the table of pieces."""
+    return wanted.select("key", F.explode("ids").alias("id")).join(pieces_table(wanted.sparkSession, path), "id").select(F.col("key").alias("key"), "id", "piece")
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", finish=None, schema: str = "doc_id long, ids binary", twice: bool = False, pieces: bool = False) -> DataFrame:
@@ -294,7 +317,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         blocks = checkpointed(blocks)
     answers = answers_of(blocks, path, False).select("*", F.lit(None).cast("int").alias("id"), F.lit(None).cast("string").alias("piece"))
     if pieces:
-        found = joined_pieces(answers_of(blocks, path, True), path)
+        found = joined_pieces(united(answers_of(blocks, path, True)), path)
         answers = answers.unionByName(found.select("key", "id", "piece", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("data"), F.lit(None).cast("binary").alias("counts")))
 
     def default(keys, ids, copy, _):
@@ -356,7 +379,7 @@ def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
             flat = np.concatenate([np.zeros(0, np.uint32), *(x for x in rows if x is not None)])
             keys, data, sizes = [k for k, _ in held], packed(flat), packed(lengths)
             name = hashlib.blake2b(repr(keys).encode() + data + sizes, digest_size=16).hexdigest()
-            return pa.RecordBatch.from_pydict({"key": [name], "data": pa.array([data], pa.binary()), "lengths": pa.array([sizes], pa.binary()), "keys": pa.array([keys], pa.list_(pa.int64())), "ids": pa.array([np.unique(flat).astype(np.int32).tolist()], pa.list_(pa.int32()))})
+            return pa.RecordBatch.from_pydict({"key": [name], "data": pa.array([data], pa.binary()), "lengths": pa.array([sizes], pa.binary()), "keys": pa.array([keys], pa.list_(pa.int64())), "ids": pa.array([packed_set(flat)], pa.binary())})
 
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -368,7 +391,7 @@ def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
         if held:
             yield block()
 
-    blocks = checkpointed(tokens.select(F.col(f"`{key}`").cast("long"), F.col(f"`{ids}`")).mapInArrow(gather, "key string, data binary, lengths binary, keys array<long>, ids array<int>"))
+    blocks = checkpointed(tokens.select(F.col(f"`{key}`").cast("long"), F.col(f"`{ids}`")).mapInArrow(gather, "key string, data binary, lengths binary, keys array<long>, ids binary"))
 
     def spelled(left, right):
         pieces, tables = Pieces(right.column("id"), right.column("piece")), []
@@ -378,4 +401,4 @@ def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
             tables.append(pa.table({"doc_id": pa.array(keys, pa.int64()), "decoded": pa.array([t if n else None for t, n in zip(texts, sizes, strict=True)], pa.string())}))
         return pa.concat_tables(tables)
 
-    return blocks.select("key", "data", "lengths", "keys").groupBy("key").cogroup(joined_pieces(blocks, path).groupBy("key")).applyInArrow(spelled, "doc_id long, decoded string").withColumnRenamed("doc_id", key)
+    return blocks.select("key", "data", "lengths", "keys").groupBy("key").cogroup(joined_pieces(united(blocks.select("key", "ids")), path).groupBy("key")).applyInArrow(spelled, "doc_id long, decoded string").withColumnRenamed("doc_id", key)

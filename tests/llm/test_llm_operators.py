@@ -142,6 +142,28 @@ def test_bpe_digests_of_files(spark, corpus, docs, tmp_path):
         assert collections.Counter(tuple(r) for r in bpe.encoded_and_decoded(df, tokenizer_path()).collect()) == truth
 
 
+def test_bpe_pieces_of_a_block_once(spark, corpus, docs, tmp_path, monkeypatch):
+    """The rows that are joined with the pieces do not grow with the number of parts."""
+    from rillflow.llm import bpe
+
+    spark.createDataFrame(corpus, docs.schema).repartition(3).write.parquet(str(tmp_path / "d"))
+    whole, rows, before = bpe.joined_pieces, [], spark.conf.get("spark.sql.shuffle.partitions")
+
+    def counted(wanted, path):
+        rows.append(wanted.select("key", F.explode("ids").alias("id")).collect())
+        return whole(wanted, path)
+
+    monkeypatch.setattr(bpe, "joined_pieces", counted)
+    try:
+        for parts in (2, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert bpe.encoded_and_decoded(spark.read.parquet(str(tmp_path / "d")), tokenizer_path()).count() == len(corpus)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    few, many = rows
+    assert len(few) == len(many) == len({tuple(r) for r in many}) > 0
+
+
 def test_blocks_of_equal_content(spark):
     """The same row alone in several partitions: its blocks share a name, and each still gives its row."""
     from rillflow.llm.bpe import encode, encoded_and_decoded
