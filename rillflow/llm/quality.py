@@ -5,10 +5,13 @@ the sum of the index vectors that stand up to two words away from it, over all w
 (letters, capitals, digits and other characters in their order) has the sum of the context vectors of its words. A document is
 the mean and the spread of its words' context vectors, the mean of its shapes', and the logarithm of its length.
 
-The table of vectors is exact, a row for each distinct word, and is never in one place: blocks of texts sum up their own
-words, parts of the hash's range add the sums of all blocks and answer each block for the words it has, and the block pools
-its texts. Sums are integers and vectors are rounded to 1/16,384, so no order of adding changes a score. A part has a
-share of all distinct words and of the blocks' asks; ``spark.sql.shuffle.partitions`` says how many parts there are.
+The table of vectors is exact, a row for each distinct word, and is never in one place: bundles of blocks of texts sum up
+their own words, parts of the hash's range add the sums of all bundles and answer each bundle for the words it has, and the
+bundle pools its texts. What most bundles ask for, ``MOST_SHARED`` words at most, is not answered to each: those vectors are
+broadcast, and an answer tells which of them the bundle has. Sums are integers and vectors are rounded to 1/16,384, so neither
+an order of adding nor the way of a vector changes a score. A part has a share of all distinct words and of the bundles' asks;
+``spark.sql.shuffle.partitions`` says how many parts there are, and a third of it how many tasks read texts, 12 at least:
+a bundle ends with its task or at ``BUNDLE_KEYS``, and the more text it has, the fewer asks it makes a word.
 
 Texts are read twice, once for the sums and once for the pooling. Where anything but files, projections and filters makes the rows
 they are written first, so that both passes cut them into the same blocks.
@@ -38,6 +41,10 @@ from rillflow.llm.common import checkpointed, mixed, parts_for, split_words, tex
 from rillflow.llm.lm import packed_sorted, unpacked_sorted
 
 BLOCK_BYTES = 16_000_000
+#: Keys of its blocks that a bundle holds, about.
+BUNDLE_KEYS = 2_000_000
+#: Vectors that are broadcast at most, of keys that so many bundles at least ask for.
+MOST_SHARED, LEAST_ASKS = 200_000, 3
 #: Words that are worked on at a time.
 SLICE_WORDS = 200_000
 #: Rows that a lane of 16 bits can add.
@@ -81,6 +88,25 @@ def unpacked_sums(x: bytes) -> np.ndarray:
     return ((z >> np.uint64(1)).astype(np.int64) ^ -(z & np.uint64(1)).astype(np.int64)).reshape(-1, SIZE)
 
 
+def by_count(counts: np.ndarray) -> np.ndarray:
+    """The words by key, the frequent ones first."""
+    return np.argsort(-counts.astype(np.int64), kind="stable")
+
+
+def unpacked_block(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, offsets, and where the word and the shape of each code stand among the block's sorted keys."""
+    numbers = {c: unpacked(row[c]).astype(np.int64 if c == "lengths" else np.int32) for c in ("codes", "lengths", "counts", "steps", "kind", "kinds")}
+    return numbers["codes"], np.concatenate([[0], np.cumsum(numbers["lengths"])]), np.cumsum(numbers["steps"])[by_count(numbers["counts"])], numbers["kinds"][numbers["kind"]]
+
+
+def packed_bits(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(np.packbits(x).tobytes())
+
+
+def unpacked_bits(x: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8), count=n).astype(bool)
+
+
 class Block:
     """The words of some texts: the code of each, and where the word and its shape stand among the sorted keys."""
 
@@ -90,17 +116,25 @@ class Block:
         self.name = hashlib.blake2b(lengths.tobytes(), digest_size=16)
         self.name.update(memoryview(texts.buffers()[2] or b"")[first : first + int(lengths.sum())])
         codes, self.offsets, words = split_words(texts)
-        often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+        own = (word_hashes(words) >> np.uint64(1)).astype(np.int64)
+        by_key = np.argsort(own, kind="stable")
+        #: How often each word stands, by key.
+        self.counts = np.bincount(codes, minlength=len(words))[by_key]
+        often = by_key[by_count(self.counts)]
         rank = np.empty(len(words), np.int32)
         rank[often] = np.arange(len(words), dtype=np.int32)
         # frequent words get the small codes, which pack well
-        self.codes, words = rank[codes], words.take(pa.array(often))
+        self.codes, words, own = rank[codes], words.take(pa.array(often)), own[often]
         kinds = shapes_of(words).dictionary_encode()
-        own = (word_hashes(words) >> np.uint64(1)).astype(np.int64)
         shapes = (mixed(word_hashes(kinds.dictionary) + np.uint64(1)) >> np.uint64(1)).astype(np.int64)
         self.index = own
         self.keys, place = np.unique(np.concatenate([own, shapes]), return_inverse=True)
-        self.word, self.shape = place[: len(own)], place[len(own) :][kinds.indices.to_numpy(zero_copy_only=False)]
+        self.kind, self.kinds = kinds.indices.to_numpy(zero_copy_only=False), place[len(own) :]
+        self.word, self.shape = place[: len(own)], self.kinds[self.kind]
+
+    def packed(self) -> dict[str, bytes]:
+        """What ``unpacked_block`` needs. The codes' order follows from the counts by key, so no place of a word is kept."""
+        return {c: packed(x) for c, x in (("codes", self.codes), ("lengths", np.diff(self.offsets)), ("counts", self.counts), ("steps", np.diff(np.sort(self.word), prepend=0)), ("kind", self.kind), ("kinds", self.kinds))}
 
     def sums(self) -> np.ndarray:
         """For each key the sum of the index vectors around its words."""
@@ -173,60 +207,132 @@ def features_of(codes: np.ndarray, offsets: np.ndarray, word: np.ndarray, shape:
     return np.column_stack([out, np.log1p(n)]).astype(np.float32)
 
 
+#: The columns of a block's row.
+CODED = {
+    "block": pa.binary(), "lead": pa.bool_(), "doc": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "wanted": pa.int64(),
+    **dict.fromkeys(("own", "codes", "lengths", "counts", "steps", "kind", "kinds"), pa.binary()),
+}
+
+
+def bundles(batches, made):
+    """Yield lists of ``made(block, batch, at, stop)`` and a name of their blocks, for some BUNDLE_KEYS keys each."""
+    held, size, name = [], 0, hashlib.blake2b(digest_size=16)
+    for batch in batches:
+        for at, stop in text_chunks(batch.column(2), BLOCK_BYTES):
+            block = Block(batch.column(2).slice(at, stop - at))
+            held.append(made(block, batch, at, stop))
+            size += len(block.keys)
+            name.update(block.name.digest())
+            del block
+            tidy()
+            if size >= BUNDLE_KEYS:
+                yield held, name.digest()
+                held, size, name = [], 0, hashlib.blake2b(digest_size=16)
+    if held:
+        yield held, name.digest()
+
+
+def part_sums(keys: list[np.ndarray], sums) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and for each the sum of its rows."""
+    every = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]))
+    total = np.zeros((len(every), SIZE), np.int64)
+    for k, x in zip(keys, sums, strict=True):
+        total[np.searchsorted(every, k)] += x
+    return every, total
+
+
 def pooled(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, features) of (doc_id, held_out, text)."""
     parts = parts_for(docs)
 
     def ask(batches):
-        for batch in batches:
-            for at, stop in text_chunks(batch.column(2), BLOCK_BYTES):
-                block = Block(batch.column(2).slice(at, stop - at))
-                sums, bounds = block.sums(), bounds_of(block.keys, parts)
-                some = np.flatnonzero(np.diff(bounds)).tolist()
-                own = [slice(bounds[p], bounds[p + 1]) for p in some]
-                columns = {"block": pa.array([block.name.digest()] * len(some), pa.binary()), "part": pa.array(some, pa.int32())}
-                yield pa.RecordBatch.from_pydict({**columns, "keys": pa.array([packed_sorted(block.keys[k]) for k in own], pa.binary()), "sums": pa.array([packed_sums(sums[k]) for k in own], pa.binary())})
-                del block, sums
-                tidy()
+        def made(block, *_):
+            sums = block.sums()
+            return block.keys, sums.astype(np.int16) if np.abs(sums).max(initial=0) < 1 << 15 else sums, bounds_of(block.keys, parts)
+
+        for held, name in bundles(batches, made):
+            rows = []
+            for p in range(parts):
+                some = [slice(b[p], b[p + 1]) for _, _, b in held]
+                keys, total = part_sums([k[x] for (k, _, _), x in zip(held, some, strict=True)], (s[x] for (_, s, _), x in zip(held, some, strict=True)))
+                if len(keys):
+                    rows.append((p, packed_sorted(keys), packed_sums(total)))
+            held.clear()
+            yield pa.RecordBatch.from_pydict({"block": pa.array([name] * len(rows), pa.binary()), **{c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate((("part", pa.int32()), ("keys", pa.binary()), ("sums", pa.binary())))}})
+            del rows
+            tidy()
 
-    def add(key, table):
+    def part_table(table):
+        """The names, where each first stands with its keys, the part's keys and sums, and which of them are shared."""
         names = table.column("block").to_pylist()
-        keys = np.unique(np.concatenate([unpacked_sorted(x.as_py()) for x in table.column("keys")]))
-        total = np.zeros((len(keys), SIZE), np.int64)
-        for x, s in zip(table.column("keys"), table.column("sums"), strict=True):
-            total[np.searchsorted(keys, unpacked_sorted(x.as_py()))] += unpacked_sums(s.as_py())
-        first = first_rows(names)
-        out = [packed_sums(total[np.searchsorted(keys, unpacked_sorted(table.column("keys")[k].as_py()))]) for k in first]
+        own = [unpacked_sorted(x.as_py()) for x in table.column("keys")]
+        keys, total = part_sums(own, (unpacked_sums(x.as_py()) for x in table.column("sums")))
+        first = {k: own[k] for k in first_rows(names)}
+        asks = np.zeros(len(keys), np.int64)
+        for x in first.values():
+            asks[np.searchsorted(keys, x)] += 1
+        most = np.argsort(-asks, kind="stable")[: MOST_SHARED // parts]
+        shared = np.zeros(len(keys), bool)
+        shared[most[asks[most] >= LEAST_ASKS]] = True
+        return names, first, keys, total, shared
+
+    def add(key, table):
+        names, first, keys, total, shared = part_table(table)
+        number, out = np.cumsum(shared) - 1, []
+        for k, own in first.items():
+            place = np.searchsorted(keys, own)
+            which, has = shared[place], np.zeros(int(shared.sum()), bool)
+            has[number[place[which]]] = True
+            out.append((names[k], len(place), packed_sums(total[place[~which]]), packed_bits(which), packed_bits(has)))
+        tidy()
+        return pa.table({"block": pa.array([r[0] for r in out], pa.binary()), "part": table.column("part").take(pa.array(list(first), pa.int64())), **{c: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate((("n", pa.int64()), ("sums", pa.binary()), ("which", pa.binary()), ("has", pa.binary())), 1)}})
+
+    def share(key, table):
+        _, _, _, total, shared = part_table(table)
+        vectors = zstandard.ZstdCompressor(level=3).compress(unit_vectors(total[shared]).astype("<i2").tobytes())
         tidy()
-        return pa.table({"block": pa.array([names[k] for k in first], pa.binary()), "part": table.column("part").take(first), "sums": pa.array(out, pa.binary())})
+        return pa.table({"part": table.column("part")[:1], "vectors": pa.array([vectors], pa.binary())})
 
     def code(batches):
-        for batch in batches:
-            for at, stop in text_chunks(batch.column(2), BLOCK_BYTES):
-                block = Block(batch.column(2).slice(at, stop - at))
-                keys, held = (batch.column(k).slice(at, stop - at).to_pylist() for k in (0, 1))
-                columns = {"block": pa.array([block.name.digest()], pa.binary()), "keys": pa.array([keys], pa.list_(pa.int64())), "held": pa.array([held], pa.list_(pa.bool_()))}
-                yield pa.RecordBatch.from_pydict({**columns, "wanted": pa.array([len(block.keys)], pa.int64()), **{c: pa.array([packed(x)], pa.binary()) for c, x in (("codes", block.codes), ("lengths", np.diff(block.offsets)), ("word", block.word), ("shape", block.shape))}})
-                del block
-                tidy()
+        def made(block, batch, at, stop):
+            keys, held = (batch.column(k).slice(at, stop - at).to_pylist() for k in (0, 1))
+            return block.keys, {"doc": keys, "held": held, **block.packed()}
+
+        for blocks, name in bundles(batches, made):
+            every = np.unique(np.concatenate([k for k, _ in blocks]))
+            for n, (own, row) in enumerate(blocks):
+                row |= {"block": name, "lead": n == 0, "wanted": len(every), "own": packed_bits(np.isin(every, own, assume_unique=True))}
+                yield pa.RecordBatch.from_pydict({c: pa.array([row[c]], t) for c, t in CODED.items()})
+            tidy()
 
     def pool(left, right):
-        vectors = np.concatenate([np.zeros((0, SIZE), np.int16), *(unit_vectors(unpacked_sums(x.as_py())) for x in right.sort_by("part").column("sums"))])
-        tables = []
-        for row in left.to_pylist():
-            if row["wanted"] != len(vectors):  # a block that was made again from rows in another order is not mixed up with the first
+        spread = zstandard.ZstdDecompressor().decompress
+        shared = next((x.as_py() for x in left.column("shared") if x.is_valid), [])
+        shared = {x["part"]: np.frombuffer(spread(x["vectors"]), "<i2").reshape(-1, SIZE) for x in shared}
+        vectors = [np.zeros((0, SIZE), np.int16)]
+        for row in right.sort_by("part").to_pylist():
+            common = shared[row["part"]]
+            which, own = unpacked_bits(row["which"], row["n"]), np.empty((row["n"], SIZE), np.int16)
+            own[which], own[~which] = common[unpacked_bits(row["has"], len(common))], unit_vectors(unpacked_sums(row["sums"]))
+            vectors.append(own)
+        vectors, shared, tables = np.concatenate(vectors), None, []
+        for row in left.drop_columns(["shared"]).to_pylist():
+            if row["wanted"] != len(vectors):  # a bundle that was made again from rows in another order is not mixed up with the first
                 raise RuntimeError("the words of a block of texts are incomplete: read the texts from files")
-            offsets = np.concatenate([[0], np.cumsum(unpacked(row["lengths"]).astype(np.int64))])
-            rows = features_of(*(x if k == 1 else unpacked(x).astype(np.int32) for k, x in enumerate((row["codes"], offsets, row["word"], row["shape"]))), vectors).astype("<f4")
-            tables.append(pa.table({"doc_id": pa.array(row["keys"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "features": pa.array([r.tobytes() for r in rows], pa.binary())}))
+            rows = features_of(*unpacked_block(row), vectors[unpacked_bits(row["own"], len(vectors))]).astype("<f4")
+            tables.append(pa.table({"doc_id": pa.array(row["doc"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "features": pa.array([r.tobytes() for r in rows], pa.binary())}))
             tidy()
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("features", pa.binary())])
         return pa.concat_tables([schema.empty_table(), *tables])
 
     docs = docs.select("doc_id", "held_out", "text")
-    docs = docs if reads_alike(docs) else checkpointed(docs)
-    answers = docs.mapInArrow(ask, "block binary, part int, keys binary, sums binary").groupBy("part").applyInArrow(add, "block binary, part int, sums binary")
-    blocks = docs.mapInArrow(code, "block binary, keys array<long>, held array<boolean>, wanted long, codes binary, lengths binary, word binary, shape binary")
+    docs = (docs if reads_alike(docs) else checkpointed(docs)).coalesce(max(12, parts // 3))
+    asks = docs.mapInArrow(ask, "block binary, part int, keys binary, sums binary").groupBy("part")
+    answers = asks.applyInArrow(add, "block binary, part int, n long, sums binary, which binary, has binary")
+    shared = asks.applyInArrow(share, "part int, vectors binary").agg(F.collect_list(F.struct("part", "vectors")).alias("shared")).withColumn("lead", F.lit(True))
+    blocks = docs.mapInArrow(code, "block binary, lead boolean, doc array<long>, held array<boolean>, wanted long, own binary, codes binary, lengths binary, counts binary, steps binary, kind binary, kinds binary")
+    # the blocks are dealt first, so that the shared vectors are in no shuffle
+    blocks = blocks.repartition("block").join(F.broadcast(shared), "lead", "left")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(pool, "doc_id long, held_out boolean, features binary")
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -749,6 +750,8 @@ def test_word_vectors(spark, docs, corpus, monkeypatch):
     block = Q.Block(pa.array(texts))
     rows = Q.features_of(block.codes, block.offsets, block.word, block.shape, Q.unit_vectors(block.sums()))
     assert [r.tobytes() for r in rows] == [one[k] for k, *_ in corpus]
+    for x, y in zip(Q.unpacked_block(block.packed()), (block.codes, block.offsets, block.word, block.shape), strict=True):
+        assert (x == y).all()
     part = Q.Block(pa.array(["x", *texts[:9]]).slice(1))
     assert part.name.digest() == Q.Block(pa.array(texts[:9])).name.digest() != Q.Block(pa.array(texts[:8])).name.digest()
     x = np.array([[0, -1, 5, 1 << 40, -(1 << 41), *[0] * 27]])
@@ -758,6 +761,36 @@ def test_word_vectors(spark, docs, corpus, monkeypatch):
     assert bounds[0] == 0 and bounds[-1] == 1000 and min(np.diff(bounds)) > 90
 
 
+def test_word_vectors_that_most_bundles_ask_for(spark, tmp_path):
+    """They are broadcast, so texts with the same words in many partitions write far less than a vector a word and partition."""
+    from rillflow.llm import quality as Q
+
+    rng, names = random.Random(5), ["".join(p) for p in itertools.product("abcdefghijklmn", repeat=3)]
+    rows = [(k, k % 4 == 0, " ".join(rng.choices(names, k=4000)) + f" own{k}") for k in range(24)]
+    spark.createDataFrame(spark.sparkContext.parallelize(rows, 24), "doc_id long, held_out boolean, text string").write.parquet(str(tmp_path / "t"))
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+    conf = {"spark.sql.files.openCostInBytes": str(1 << 30), "spark.sql.shuffle.partitions": "5"}
+    before = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        table = spark.read.parquet(str(tmp_path / "t"))
+        assert table.rdd.getNumPartitions() == 24
+        spark.sparkContext.setJobGroup("vectors", "vectors")
+        got = {r.doc_id: bytes(r.features) for r in Q.pooled(table).collect()}
+        spark.sparkContext.setJobGroup("other", "other")
+        whole = {r.doc_id: bytes(r.features) for r in Q.pooled(table.coalesce(1)).collect()}
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert got == whole and len(got) == len(rows)
+    status = spark.sparkContext.statusTracker()
+    stages = {k for j in status.getJobIdsForGroup("vectors") for k in status.getJobInfo(j).stageIds}
+    written = sum(tracker.lastStageAttempt(k).shuffleWriteBytes() for k in stages)
+    # a vector packs into some 20 bytes or more: those of all partitions alone would be above this
+    assert written < 24 * len(names) * 20
+
+
 def test_best_fit():
     from rillflow.llm.packing import best_fit
 
