@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rillflow.operators.base import Op, packed
 from rillflow.ordered import numbered
-from rillflow.records import ORD, path, plain
+from rillflow.records import ORD, path, plain, position
 
 __all__ = ["Buffer", "CollectAll", "Sort"]
 
@@ -51,7 +51,6 @@ class Sort(Op):
             c = applied(df, self.func, [self.key] if self.key else None)[0]
         else:
             c = path(df, self.key or self.func)[0]
-        ties = [plain(ORD)] if ORD in df.columns else []
         if self.mode == "batch":
             return df.agg(F.transform(F.sort_array(F.collect_list(F.struct(c.alias("k"), packed(df).alias("r"))), asc=not self.reverse), lambda x: x["r"]).alias("values"))
-        return df.orderBy(c.desc() if self.reverse else c.asc(), *ties)
+        return df.orderBy(c.desc() if self.reverse else c.asc(), position(df))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,6 +119,18 @@ def rejected(spark) -> int:
     return Rejects.of(spark).value
 
 
+def position(df: DataFrame) -> Column:
+    """Where a record stands in its source: its order if it has one, the file and row of Parquet, else as Spark reads it."""
+    if ORD in df.columns:
+        return plain(ORD)
+    where = F.struct("_metadata.file_path", "_metadata.row_index")
+    try:
+        df.select(where)
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    return where
+
+
 def with_order(df: DataFrame, *keys: str) -> DataFrame:
     """Add the position of each row, from 0: in the order of the keys, or as Spark reads the source."""
     from rillflow.ordered import numbered

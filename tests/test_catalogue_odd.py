@@ -46,3 +46,25 @@ def test_titles_as_written(spark, tmp_path):
 def test_texts_of_empty_lines_alone(spark, tmp_path):
     truth = like_the_oracle(spark, "remove_empty", tmp_path, documents=r"SELECT CAST(k AS BIGINT) AS doc_id, replace(v, '|', chr(10)) AS text FROM (VALUES (1, ''), (2, '|'), (3, '|||'), (4, 'a||b|'), (5, ' '), (6, NULL)) t(k, v)")
     assert (3, 0) in truth and (6, None) in truth
+
+
+def test_ties_in_the_order_of_the_source(spark, tmp_path):
+    """Of rows with the same price those come first that stand first in the files, whatever the files' sizes. DuckDB keeps any."""
+    (tmp_path / "lineitem.parquet").mkdir()
+    sizes, rows = (4, 20_000, 1), []
+    for k, n in enumerate(sizes):
+        part = [(1000 * k + i, i % 7, 9.0 if n == 1 else 5.0) for i in range(n, 0, -1)]
+        values = f"SELECT CAST({1000 * k} + i AS BIGINT) AS l_orderkey, CAST(i % 7 AS INTEGER) AS l_linenumber, {part[0][2]}::DOUBLE AS l_extendedprice FROM range({n}, 0, -1) t(i)"
+        duckdb.execute(f"COPY ({values}) TO '{tmp_path}/lineitem.parquet/part-{k}.parquet'")
+        rows += part
+    got = [tuple(r) for r in catalogue.queries()["sort_topk"](spark, str(tmp_path)).collect()]
+    assert got == sorted(rows, key=lambda r: -r[2])[:10]
+
+
+def test_sort_keeps_the_order_of_rows(spark):
+    from rillflow import operators as O
+
+    df = spark.range(0, 4000, 1, 8).selectExpr("id", "id % 3 AS k")
+    for reverse in (False, True):
+        got = [(r.k, r.id) for r in O.Sort(key="k", reverse=reverse)(df).collect()]
+        assert got == sorted(((k % 3, k) for k in range(4000)), key=lambda x: x[0], reverse=reverse)
