@@ -108,7 +108,7 @@ def io_files(spark, d):
 @query("SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, CAST(ceil(count(*) / 100.0) AS BIGINT) AS files FROM orders")
 def io_json_scroll(spark, d):
     at = scratch(spark)
-    O.WriteJsonScroll(at, scroll=100)(table(spark, d, "orders").select("o_orderkey").coalesce(1))
+    O.WriteJsonScroll(at, scroll=100)(table(spark, d, "orders").select("o_orderkey"))
     rows = S.JsonLine(at, schema="o_orderkey long")(spark).withColumn("f", F.input_file_name())
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"), F.count_distinct("f").alias("files"))
 

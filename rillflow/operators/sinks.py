@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import gzip
 import os
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillflow.operators.base import Op
 from rillflow.operators.filters import condition
+from rillflow.ordered import blocks
 from rillflow.records import plain
 
 __all__ = ["BufferedWriter", "DatabaseWriter", "WriteCSV", "WriteFiles", "WriteJson", "WriteJsonIf", "WriteJsonScroll", "WriteParquet", "WriteText"]
@@ -42,14 +46,15 @@ class WriteText(_Writer):
 class WriteJson(_Writer):
     """JSON lines; dates as text, bytes as an empty text, nulls kept."""
 
-    rows_per_file = 0
+    @staticmethod
+    def shown(df):
+        return df.select(*[F.lit("").alias(f.name) if isinstance(f.dataType, T.BinaryType) else plain(f.name).cast("string").alias(f.name) if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)) else plain(f.name) for f in df.schema.fields])
 
     def write(self, df):
-        out = df.select(*[F.lit("").alias(f.name) if isinstance(f.dataType, T.BinaryType) else plain(f.name).cast("string").alias(f.name) if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)) else plain(f.name) for f in df.schema.fields])
-        writer = out.write.mode(self.save).option("ignoreNullFields", "false").option("compression", "gzip" if self.gzip else "none")
-        if self.rows_per_file:
-            writer = writer.option("maxRecordsPerFile", self.rows_per_file)
-        writer.json(self.out)
+        self.saved(self.shown(df)).json(self.out)
+
+    def saved(self, out):
+        return out.write.mode(self.save).option("ignoreNullFields", "false").option("compression", "gzip" if self.gzip else "none")
 
 
 class WriteParquet(_Writer):
@@ -97,12 +102,58 @@ class WriteFiles(Op):
 
 
 class WriteJsonScroll(WriteJson):
-    """JSON lines in files of a number of rows."""
+    """JSON lines in files of a number of rows in their order; only the last has fewer.
+
+    On a file system that is mounted the tasks open the files themselves, for Hadoop starts a process for each. A file
+    appears whole and under a name that a repeated task gives it again; files of a job that failed stay, without ``_SUCCESS``.
+    """
 
     def __init__(self, output_dir: str, mode: str = "gzip", scroll: int = 10_000):
         super().__init__(output_dir, True, mode)
         self.rows_per_file = scroll
 
+    def write(self, df):
+        rows = blocks(self.shown(df), self.rows_per_file, "_row")
+        context = df.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(self.out)
+        files = at.getFileSystem(context._jsc.hadoopConfiguration())
+        if files.getUri().getScheme() != "file":
+            self.saved(rows.drop("_row")).option("maxRecordsPerFile", self.rows_per_file).json(self.out)
+            return
+        folder = at.toUri().getPath()
+        os.makedirs(folder, exist_ok=True)
+        lines = rows.select("_row", F.to_json(F.struct(*[plain(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias("line"))
+        lines.mapInArrow(self.files(folder), "files long").agg(F.sum("files")).collect()
+        open(os.path.join(folder, "_SUCCESS"), "w").close()
+
+    def files(self, folder):
+        size, pack, job = self.rows_per_file, self.gzip, uuid.uuid4().hex
+
+        def put(number, lines):
+            data = ("\n".join(lines) + "\n").encode()
+            name = f"part-{number:010d}-{job}.json{'.gz' if pack else ''}"
+            own = os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
+            with open(own, "wb") as f:
+                f.write(gzip.compress(data) if pack else data)
+            os.replace(own, os.path.join(folder, name))
+
+        def run(batches):
+            held, number, n = [], 0, 0
+            for batch in batches:
+                for row, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if not held:
+                        number = row // size
+                    held.append(line)
+                    if len(held) == size:
+                        put(number, held)
+                        held, n = [], n + 1
+            if held:
+                put(number, held)
+                n += 1
+            yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+
+        return run
+
 
 class WriteJsonIf(Op):
     """Records that fail the filter are written aside; the others pass."""

@@ -48,3 +48,13 @@ def runs(df: DataFrame, key: Column, order: list[Column], to: str = "run") -> Da
     ends = ends.withColumn("_opens", opens)
     before = ends.select("_slice", (F.sum("_opens").over(v.rowsBetween(W.unboundedPreceding, 0)) + F.coalesce(F.sum("_most").over(v.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
     return cut.join(before, "_slice").withColumn(to, (F.col("_own") + F.col("_before")).cast("long")).drop("_own", "_before", "_slice", "_runkey")
+
+
+def blocks(df: DataFrame, size: int, to: str) -> DataFrame:
+    """The rows as they are, numbered in ``to``; partitions hold blocks of ``size`` whole and in their order, and only the last block is shorter."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = checkpointed(df.withColumn("_slice", F.spark_partition_id()).withColumn(to, F.monotonically_increasing_id()))
+    first = cut.groupBy("_slice").agg(F.count(F.lit(1)).alias("_rows"), F.min(to).alias("_first"))
+    before = first.select("_slice", (F.sum("_rows").over(W.orderBy("_slice")) - F.col("_rows") - F.col("_first")).alias("_before"))
+    dealt = cut.join(F.broadcast(before), "_slice").withColumn(to, F.col(to) + F.col("_before")).drop("_slice", "_before")
+    return dealt.repartitionByRange(parts, F.floor(F.col(to) / size)).sortWithinPartitions(to)
