@@ -7,11 +7,14 @@ def column(f):
     return f
 
 
-def python(returns: str):
-    """Mark a function of plain values that runs as a pandas UDF, with the type that it returns."""
+def python(returns: str, of_text: bool = False):
+    """Mark a function of plain values that runs as a pandas UDF, with the type that it returns.
+
+    of_text: it is given one text, and runs as an Arrow UDF, which holds fewer texts at a time.
+    """
 
     def mark(f):
-        f.returns = returns
+        f.returns, f.of_text = returns, of_text
         return f
 
     return mark
@@ -25,7 +28,7 @@ def udf_of(f, strict: bool = False):
     from pyspark.sql import SparkSession
     from pyspark.sql import types as T
 
-    from rillflow.operators.mapping import _pandas
+    from rillflow.operators.mapping import _of_text, _pandas
     from rillflow.records import Rejects
 
     spark = SparkSession.getActiveSession()
@@ -41,4 +44,4 @@ def udf_of(f, strict: bool = False):
                 count.add(1)
             return None
 
-    return _pandas(one, T._parse_datatype_string(f.returns))
+    return (_of_text if getattr(f, "of_text", False) else _pandas)(one, T._parse_datatype_string(f.returns))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +17,9 @@ from rillflow.records import kind_of, path, plain
 
 __all__ = ["Flat", "FlatMap", "FlatProperty", "Function", "Map", "MapFill", "MapMulti", "MapRules", "applied"]
 
+#: Values that a UDF works out before it passes them on.
+PIECE = 256
+
 
 def applied(df: DataFrame, mapper, keys: list[str] | None = None, args: tuple = (), kwargs: dict | None = None, returns: str | None = None, quiet: bool = True):
     """(column, type) of a mapper over the record or the values of keys.
@@ -63,10 +67,9 @@ def _pandas(one: Callable, kind):
             if not isinstance(series, tuple):
                 series = (series,)
             rows = zip(*(s.to_dict("records") if isinstance(s, pd.DataFrame) else s for s in series), strict=True)
-            out = [one(*r) for r in rows]
-            yield pd.DataFrame([r or {} for r in out], columns=kind.names) if isinstance(kind, T.StructType) else pd.Series(out, dtype=object)
-
-    from collections.abc import Iterator
+            while out := [one(*r) for r in islice(rows, PIECE)]:
+                yield pd.DataFrame([r or {} for r in out], columns=kind.names) if isinstance(kind, T.StructType) else pd.Series(out, dtype=object)
+            del series, rows, out  # a batch is not held while the next is read
 
     def single(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         return run(batches)
@@ -83,6 +86,23 @@ def _pandas(one: Callable, kind):
     return call
 
 
+def _of_text(one: Callable, kind):
+    """As _pandas for a function of one text; of a batch no more texts are objects than a piece has."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    to = to_arrow_type(kind)
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, len(batch), PIECE):
+                yield pa.array([one(x.as_py()) for x in batch.slice(start, PIECE)], to)
+            del batch
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind)
+
+
 class Map(Op):
     """target = mapper(record or values of the keys); without a target the result is the record, and null drops it.
 

@@ -93,3 +93,36 @@ def test_scrolled_files_are_full_and_in_order(spark, tmp_path):
     blocks(df, 50, "n").drop("n").write.option("maxRecordsPerFile", 50).json(str(tmp_path / "hadoop"))
     sizes = sorted(len(f.read_text().splitlines()) for f in (tmp_path / "hadoop").glob("part-*.json"))
     assert sizes == [len(want) % 50] + [50] * (len(want) // 50)
+
+
+def test_udfs_pass_pieces_on(spark, monkeypatch):
+    """Of a batch, however many rows it has, a UDF holds the results of a piece."""
+    import pandas as pd
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from rillflow.functions import texts, udf_of
+
+    made = []
+    for kind in ("pandas_udf", "arrow_udf"):
+        monkeypatch.setattr(F, kind, lambda f, returns, kind=kind: lambda *c: made.append((kind, f)))
+    udf_of(texts.split_recursive)(None)
+    udf_of(texts.keywords)(None)
+    udf_of(texts.html_content)(None)
+    for kind, f in made:
+        values = ["some words"] * 1000
+        sizes = [len(x) for x in f(iter([pa.array(values) if kind == "arrow_udf" else pd.Series(values)]))]
+        assert sum(sizes) == 1000 and max(sizes) <= 256
+
+
+def test_splits_of_odd_texts(spark):
+    from rillflow.functions import texts, udf_of
+    from rillflow.records import rejected
+
+    odd = ["", " ", "\n\n", "a" * 9000, "😀 ä" * 3000, "x\n\n" * 4000, None] + [f"text {k}. " * k for k in range(600)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "k long, t string").coalesce(1)
+    for f in (texts.split_simple, texts.split_char, texts.split_recursive, texts.split_markdown, texts.split_chinese, texts.token_windows):
+        before = rejected(spark)
+        got = {r.k: r.v for r in df.select("k", udf_of(f)("t").alias("v")).collect()}
+        assert got == {k: None if t is None else f(t) for k, t in enumerate(odd)}
+        assert rejected(spark) == before + 1
